@@ -4,7 +4,7 @@ from importlib import import_module
 
 from lidarlake.catalog.registry import ORACLES, QUERIES
 
-_MODULES = ("points", "poses")
+_MODULES = ("points", "poses", "places")
 
 
 def _load():

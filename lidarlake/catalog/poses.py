@@ -134,13 +134,12 @@ _LIN = (
     + ", ".join(f"{e} as {c}" for e, c in zip(_LT + _LQ, S.cols("l_")))
     + " from keyframes k join keyframes j on k.map_id = j.map_id and k.kf_id = j.kf_id + 1)"
 )
-_LN = "sqrt(l_qx*l_qx+l_qy*l_qy+l_qz*l_qz+l_qw*l_qw)"
 
 
 @query(
     "pose_lerp",
     f"{_LIN} select map_id, kf_id, "
-    + S.rounded(["l_tx", "l_ty", "l_tz"] + [f"{c}/{_LN}" for c in ("l_qx", "l_qy", "l_qz", "l_qw")], "l_")
+    + S.rounded(["l_tx", "l_ty", "l_tz"] + [f"{c}" for c in ("l_qx", "l_qy", "l_qz", "l_qw")], "l_")
     + " from l",
 )
 def pose_lerp(spark, sf):
@@ -632,7 +631,6 @@ def _corr(k):
 _CB, _CA = S.cols("cb_"), S.cols("ca_")
 _CT, _CQ = _lerp_sql(_CB, _CA, "alpha")
 _C = S.cols("c_")
-_CN = "sqrt(c_qx*c_qx+c_qy*c_qy+c_qz*c_qz+c_qw*c_qw)"
 _FIX = S.compose(_pref("k", OPT), S.inverse(_ARAW))
 _DENSE = (
     f"{_SAMPLE_CTE}, kb as (select s.seq, k.kf_id from s asof join keyframes k on s.map_id = k.map_id and s.ts >= k.ts), ka as (select s.seq, k.kf_id from s asof join "
@@ -640,9 +638,8 @@ _DENSE = (
     "join kb on s.seq = kb.seq left join ka on s.seq = ka.seq), "
     f"cc as (select s.seq, case when a.ts - b.ts > 1e-9 then greatest(0e0, least(1e0, (s.ts - b.ts)/(a.ts - b.ts))) else 0e0 end as alpha, {S.named(_corr('b'), 'cb_')}, "
     f"{S.named(_corr('a'), 'ca_')} from s join br on s.seq = br.seq join keyframes b on b.map_id = s.map_id and b.kf_id = br.b_id join keyframes a on a.map_id = s.map_id "
-    f"and a.kf_id = br.a_id), c0 as (select seq, {', '.join(f'{e} as {c}' for e, c in zip(_CT + _CQ, _C))} from cc), c1 as (select seq, "
-    + ", ".join([*_C[:3], *(f"{q}/{_CN} as {q}" for q in _C[3:])])
-    + f" from c0), fx as (select s.seq, {S.named(_FIX, 'f_')} from s join keyframes k on s.map_id = k.map_id and s.anchor_id = k.kf_id), "
+    f"and a.kf_id = br.a_id), c0 as (select seq, {', '.join(f'{e} as {c}' for e, c in zip(_CT + _CQ, _C))} from cc), c1 as (select * from c0), "
+    + f"fx as (select s.seq, {S.named(_FIX, 'f_')} from s join keyframes k on s.map_id = k.map_id and s.anchor_id = k.kf_id), "
     f"j as (select s.*, {', '.join(f'c1.{c}' for c in _C)}, {', '.join(f'fx.{c}' for c in S.cols('f_'))} from s left join c1 on s.seq = c1.seq left join fx on s.seq = fx.seq) "
     "select map_id, seq, "
     + ", ".join(

@@ -1,5 +1,9 @@
 """Collects the named queries and their checking SQL."""
 
+from functools import wraps
+
+from lidarlake.session import ship_package
+
 QUERIES, ORACLES = {}, {}
 
 
@@ -9,7 +13,13 @@ def query(name, oracle=None):
     def add(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = fn
+
+        @wraps(fn)
+        def run(spark, sf_dir):
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
         return fn

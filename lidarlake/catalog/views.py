@@ -41,7 +41,7 @@ VIEWS = {
         "lineitem",
         f"select {_MAP_OF.format('l_suppkey')} as map_id, l_suppkey as kf_id, "
         f"{_ROW_ID} as pt_id, l_quantity - 25.37e0 as x, "
-        "(l_extendedprice % 1000.0e0) / 20.0e0 - 25.01323e0 as y, l_discount * 70.0e0 - 1.987e0 as z, "
+        "(l_extendedprice % 1000.0e0) / 20.0e0 - 25.01323e0 as y, l_discount * 70.0e0 - 1.98731459e0 as z, "
         "l_tax * 100.0e0 as intensity from {lineitem}",
     ),
     "keyframes": (

@@ -164,12 +164,10 @@ def pose_lerp(a, b, alpha, alpha_z=None) -> Column:
     wa = F.when(near, 1 - t).otherwise(F.sin((1 - t) * theta) / sin_theta)
     wb = F.when(near, t).otherwise(F.sin(t * theta) / sin_theta)
     wb = F.when(dot < 0, -wb).otherwise(wb)
-    return pose_normalize(
-        make_pose(
-            (1 - t) * atx + t * btx, (1 - t) * aty + t * bty, (1 - tz) * atz + tz * btz,
-            wa * ax + wb * bx, wa * ay + wb * by, wa * az + wb * bz, wa * aw + wb * bw,
-        )
-    )
+    return make_pose(
+        (1 - t) * atx + t * btx, (1 - t) * aty + t * bty, (1 - tz) * atz + tz * btz,
+        wa * ax + wb * bx, wa * ay + wb * by, wa * az + wb * bz, wa * aw + wb * bw,
+    )
 
 
 def map_odom(optimized, odom) -> Column:

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lidarlake.functions.pose import _col
 
@@ -48,6 +49,10 @@ def _flip_index():
 
 
 _FLIP = _flip_index()
+# Types as objects: workers import this module without a session to parse type names.
+_SHIFTED = T.StructType(
+    [T.StructField("distance", T.DoubleType()), T.StructField("shift", T.IntegerType())]
+)
 
 
 def rhpd_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -97,7 +102,7 @@ def polar_distance_one(a, b, channels, weights, eps=1e-6, search=3, order="near"
     return best, best_shift
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rhpd_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Distance of two full vectors; NULL when either has the wrong size."""
     ok = np.array(
@@ -110,14 +115,14 @@ def rhpd_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out).where(ok, None)
 
 
-@F.pandas_udf("struct<distance:double,shift:int>")
+@F.pandas_udf(_SHIFTED)
 def polar_distance(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Weighted channel-wise cosine distance under the best column shift of ``b``."""
     rows = [polar_distance_one(x, y, POLAR_CHANNELS, POLAR_WEIGHTS) for x, y in zip(a, b)]
     return pd.DataFrame(rows, columns=["distance", "shift"])
 
 
-@F.pandas_udf("struct<distance:double,shift:int>")
+@F.pandas_udf(_SHIFTED)
 def polar_distance_classic(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Same for the single-channel matrix; every non-zero column counts."""
     rows = [polar_distance_one(x, y, 1, (1.0,), eps=0.0, order="sorted") for x, y in zip(a, b)]
@@ -127,7 +132,7 @@ def polar_distance_classic(a: pd.Series, b: pd.Series) -> pd.DataFrame:
 def dense_vector(dim: int):
     """Column function (indices, values) -> dense array of ``dim`` zeros with the values set."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def scatter(idx: pd.Series, val: pd.Series) -> pd.Series:
         out = np.zeros((len(idx), dim))
         for row, i, v in zip(out, idx, val):

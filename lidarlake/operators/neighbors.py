@@ -81,6 +81,11 @@ def nearest_in_block(q, limit, b, b_pos, k, size=256, fan=16):
     return np.concatenate(out_q), np.concatenate(out_b), np.concatenate(out_d)
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """The same rows under new column identities, for grouping a table with a relative of it."""
+    return df.select(*(F.col(c).alias(c) for c in df.columns))
+
+
 def block_top_k(queries: DataFrame, base: DataFrame, keys, k: int) -> DataFrame:
     """k nearest base vectors per query.
 
@@ -93,8 +98,8 @@ def block_top_k(queries: DataFrame, base: DataFrame, keys, k: int) -> DataFrame:
     q = queries.select(
         *keys, "q_id", "q_block", F.explode("b_blocks").alias("b_block"), "limit", "vec"
     )
-    need = q.select(*keys, "q_block", "b_block").distinct()
-    b = base.select(*keys, "b_id", "b_block", "vec").join(need, [*keys, "b_block"])
+    need = fresh(q.select(*keys, "q_block", "b_block")).distinct()
+    b = fresh(base.select(*keys, "b_id", "b_block", "vec").join(need, [*keys, "b_block"]))
     on = [*keys, "q_block", "b_block"]
 
     def run(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
@@ -141,9 +146,6 @@ def _cells(size, prefix="c"):
     return {f"{prefix}{c}": F.floor(F.col(c) / F.lit(size)) for c in "xyz"}
 
 
-_STEPS = F.array(*(F.lit(i).cast("long") for i in (-1, 0, 1)))
-
-
 def nearest_in_grid(src: DataFrame, tgt: DataFrame, keys, max_dist: float, levels=(8, 1),
                     carry=()) -> DataFrame:
     """Nearest target point of each source point of the same key, within ``max_dist``.
@@ -155,6 +157,7 @@ def nearest_in_grid(src: DataFrame, tgt: DataFrame, keys, max_dist: float, level
     cells looked at. Points without one go to the next level.
     """
     keys = list(keys)
+    steps = F.array(*(F.lit(i).cast("long") for i in (-1, 0, 1)))
     extra = [F.first(c).alias(c) for c in carry]
     uniq = tgt.groupBy(*keys, "x", "y", "z").agg(F.min("tgt_id").alias("tgt_id"), *extra)
     open_src, found = src.select(*keys, "src_id", "x", "y", "z"), None
@@ -164,7 +167,7 @@ def nearest_in_grid(src: DataFrame, tgt: DataFrame, keys, max_dist: float, level
         cell = [*keys, "cx", "cy", "cz"]
         a = open_src.withColumns(_cells(size))
         for c in "xyz":
-            a = a.withColumn("_s", F.explode(_STEPS)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("_s"))
+            a = a.withColumn("_s", F.explode(steps)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("_s"))
         b = uniq.withColumns(_cells(size)).select(
             *cell, F.struct("tgt_id", "x", "y", "z", *carry).alias("_t")
         )

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lidarlake.functions.pose import (
     pose_between,
@@ -206,7 +207,7 @@ def _linearize(batches):
         )
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _edge_cost_terms(res: pd.DataFrame, info: pd.Series) -> pd.Series:
     """Squared whitened norm of each residual, as a one-element array."""
     r = res[list(POSE_FIELDS)].to_numpy()
@@ -214,7 +215,7 @@ def _edge_cost_terms(res: pd.DataFrame, info: pd.Series) -> pd.Series:
     return pd.Series(list(np.einsum("ni,nij,nj->n", e, _full(np.stack(info.to_numpy())), e)[:, None]))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _invert(h: pd.Series) -> pd.Series:
     m = np.stack(h.to_numpy()).reshape(-1, 6, 6)
     return pd.Series(list(np.linalg.inv(m + 1e-9 * np.eye(6)).reshape(-1, 36)))

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lidarlake.functions.pose import (
     identity_pose,
@@ -60,7 +61,7 @@ def normals_covariances(points: DataFrame, k=20, keys=("pair_id",), pt="tgt_id")
     ).select("*", "_n.*").drop("_n")
 
 
-@F.pandas_udf("struct<nx:double,ny:double,nz:double>")
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("nx", "ny", "nz")]))
 def _least_axis(cov: pd.Series) -> pd.DataFrame:
     c = np.stack(cov.to_numpy())
     m = c[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)
@@ -143,7 +144,7 @@ def plane_to_plane_equations(pairs_of_points: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve(h: pd.Series, b: pd.Series) -> pd.Series:
     """Step of each pair; directions the data does not constrain stay put."""
     out = []

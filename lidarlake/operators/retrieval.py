@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lidarlake.functions import vectors as V
 from lidarlake.functions.scores import fused_score
-from lidarlake.operators.neighbors import BLOCK, block_top_k
+from lidarlake.operators.neighbors import BLOCK, block_top_k, fresh
 from lidarlake.operators.sequence import dense_position
 
 NO_LIMIT = 2**62
@@ -84,7 +84,7 @@ def score_pairs(
         "map_id", F.floor(F.col("query_id") / block).alias("q_block"),
         F.floor(F.col("match_pos") / block).alias("b_block"), F.col("match_pos").alias("pos"),
     ).distinct()
-    right = used.join(base.select("map_id", "pos", F.col(vec).alias("vec")), ["map_id", "pos"])
+    right = fresh(used.join(base.select("map_id", "pos", F.col(vec).alias("vec")), ["map_id", "pos"]))
     names = [n for n, _ in fields]
     ddl = "map_id long, query_id long, match_pos long, " + ", ".join(f"{n} {t}" for n, t in fields)
 
@@ -276,10 +276,12 @@ def polar_scan(queries: DataFrame, base: DataFrame, keep=10, thr=0.3) -> DataFra
         .withColumn("q_block", F.floor(F.col("query_id") / size))
         .select("map_id", "q_block", "b_block", "query_id", F.col("polar").alias("vec"))
     )
-    need = q.select("map_id", "q_block", "b_block").distinct()
-    b = base.withColumn("b_block", F.floor(F.col("pos") / size)).select(
-        "map_id", "b_block", "pos", F.col("polar").alias("vec")
-    ).join(need, ["map_id", "b_block"])
+    need = fresh(q.select("map_id", "q_block", "b_block")).distinct()
+    b = fresh(
+        base.withColumn("b_block", F.floor(F.col("pos") / size))
+        .select("map_id", "b_block", "pos", F.col("polar").alias("vec"))
+        .join(need, ["map_id", "b_block"])
+    )
 
     def run(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
         rows = []

@@ -15,21 +15,17 @@ def dense_trajectory(samples: DataFrame, keyframes: DataFrame, key="map_id", chu
     use_bracket. Bracketed samples blend the corrections of the keyframes around their time;
     anchored ones move with their anchor; the rest stay raw. Output: key, seq, ts, pose.
     """
+    # The correction is a property of the keyframe; samples only blend two of them.
+    corrected = keyframes.withColumn("corr", map_odom("opt", "odom"))
     near = asof_bracket(
-        samples, keyframes, [key], payload=["ts", "odom", "opt"], chunk_seconds=chunk_seconds
+        samples, corrected, [key], payload=["ts", "corr"], chunk_seconds=chunk_seconds
     )
-    b = F.coalesce("before", "after")
-    a = F.coalesce("after", "before")
-    near = near.withColumns({"_b": b, "_a": a})
+    near = near.withColumns({"_b": F.coalesce("before", "after"), "_a": F.coalesce("after", "before")})
     dt = F.col("_a.ts") - F.col("_b.ts")
     alpha = F.when(dt > 1e-9, clamp((F.col("ts") - F.col("_b.ts")) / dt, 0.0, 1.0)).otherwise(0.0)
-    near = near.withColumns(
-        {
-            "_cb": map_odom(F.col("_b.opt"), F.col("_b.odom")),
-            "_ca": map_odom(F.col("_a.opt"), F.col("_a.odom")),
-            "_alpha": alpha,
-        }
-    ).withColumn("_corr", pose_lerp("_cb", "_ca", F.col("_alpha")))
+    near = near.withColumn("_alpha", alpha).withColumn(
+        "_corr", pose_lerp(F.col("_b.corr"), F.col("_a.corr"), F.col("_alpha"))
+    )
     anchors = keyframes.select(key, F.col("kf_id").alias("anchor_id"), F.col("opt").alias("_anchor"))
     joined = near.join(anchors, [key, "anchor_id"], "left").withColumn(
         "_fix", F.when(F.col("_anchor").isNotNull(), pose_compose("_anchor", pose_inverse("anchor_raw")))

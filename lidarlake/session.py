@@ -1,11 +1,26 @@
 """Cutting the lineage of iterative jobs."""
 
+import pathlib
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir = None
+_shipped = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of a session that was not started with --py-files."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    out = pathlib.Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp")) / root.name
+    zip_path = shutil.make_archive(str(out), "zip", root.parent, root.name)
+    sc.addPyFile(zip_path)
+    _shipped.add(sc.applicationId)
 
 
 def scratch_dir(spark: SparkSession) -> str:
