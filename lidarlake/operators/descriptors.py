@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lidarlake.functions import vectors as V
 from lidarlake.functions.scores import azimuth_bin, azimuth_deg, clamp, polar_bin
+from lidarlake.session import materialize
 
 CLOUD = ["map_id", "kf_id"]
 RANGE, Z_MIN, Z_MAX, MIN_POINTS = 30.0, -2.0, 6.0, 20
@@ -325,9 +326,10 @@ def assemble_descriptor(values: DataFrame, clouds: DataFrame) -> DataFrame:
 
 def rhpd_descriptors(points: DataFrame, min_points=MIN_POINTS, v3=False, confidence=True) -> DataFrame:
     """Full vector of every cloud in ``points``: map_id, kf_id, rhpd."""
-    pca = pca_2d(points, min_points, confidence)
+    pca = materialize(pca_2d(points, min_points, confidence))
     parts = ("plane", "front", "ring", "sector") if v3 else ("plane", "ring", "sector")
-    cells = cloud_cells(points, pca, parts)
+    # Written once: each part would otherwise bin the points again behind its own filter.
+    cells = materialize(cloud_cells(points, pca, parts))
     return assemble_descriptor(descriptor_values(cells, pca, min_points, v3), pca)
 
 
