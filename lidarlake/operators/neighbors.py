@@ -1,9 +1,10 @@
 """Nearest neighbours: exact top-k over vectors in blocks, and nearest points through grid cells.
 
-Neither form emits the pairs it looks at. The block form compares a block of queries with a block
+Neither form keeps the pairs it looks at. The block form compares a block of queries with a block
 of base vectors inside one task and returns the best few per query; big keys are cut into many
-blocks, so no task sees more than two blocks. The grid form joins on cell keys, starting with
-cells much smaller than the search distance and widening only for points still without a partner.
+blocks, so no task sees more than two blocks. The grid form joins on cell keys and feeds the rows
+straight into a partial minimum; it starts with cells much smaller than the search distance and
+widens only for points still without a partner.
 """
 
 import math
@@ -13,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lidarlake.session import materialize
+
 BLOCK = 8192
 
 
@@ -25,10 +28,10 @@ def _chunks(vec, size):
     return [order[i : i + size] for i in range(0, len(order), size)]
 
 
-def nearest_in_block(q, limit, b, b_pos, k, size=256, fan=16):
+def nearest_in_block(q, limit, b, b_pos, k, size=256, fan=16, bound=np.inf):
     """Exact k nearest rows of ``b`` per row of ``q`` by (distance, position).
 
-    ``limit`` bounds the position (exclusive) per query. Chunks that cannot hold a closer vector
+    ``limit`` bounds the position (exclusive) per query, ``bound`` the squared distance. Chunks that cannot hold a closer vector
     by the triangle inequality are skipped. Returns query rows, base rows, squared distances.
     """
     parts = _chunks(b, size)
@@ -44,13 +47,16 @@ def nearest_in_block(q, limit, b, b_pos, k, size=256, fan=16):
         visit = np.argsort(low, kind="stable")
         q_norm = (qv * qv).sum(1)
         best = (np.empty(0, int), np.empty(0, int), np.empty(0))
-        kth = np.full(len(rows), np.inf)
+        kth = np.full(len(rows), bound)
         for i in range(0, len(visit), fan):
             group = visit[i : i + fan]
             if low[group[0]] ** 2 > kth.max() * (1 + 1e-9) + 1e-12:
                 break
             cols = np.concatenate([parts[g] for g in group])
-            rough = q_norm[:, None] + b_norm[cols][None, :] - 2.0 * (qv @ b[cols].T)
+            if q.shape[1] <= 8:
+                rough = sum((qv[:, None, i] - b[cols][None, :, i]) ** 2 for i in range(q.shape[1]))
+            else:
+                rough = q_norm[:, None] + b_norm[cols][None, :] - 2.0 * (qv @ b[cols].T)
             rough[b_pos[cols][None, :] >= ql[:, None]] = np.inf
             # Rounding of the expanded form; candidates within it are measured again exactly.
             slack = 1e-11 * (q_norm + b_norm[cols].max()) + 1e-300
@@ -181,6 +187,9 @@ def nearest_in_grid(src: DataFrame, tgt: DataFrame, keys, max_dist: float, level
             .agg(F.min_by(hit, F.struct(d2, "_t.tgt_id")).alias("hit"))
         )
         joined = open_src.join(best, [*keys, "src_id"], "inner" if last else "left")
+        if not last:
+            # Read twice below; written so that the search is not repeated.
+            joined = materialize(joined)
         done = joined.filter(F.col("hit").isNotNull())
         found = done if found is None else found.unionByName(done)
         if not last:

@@ -283,61 +283,65 @@ def _sum_arrays(df, keys, **columns):
     return out.select(*keys, *(F.array(*(f"{n}{i}" for i in range(k))).alias(n) for n, k in columns.items()))
 
 
+def _times_matrix(blocks, nodes, vec, out):
+    """Add the product of the block system with the node vector ``vec`` as column ``out``."""
+    v = nodes.select(*NODE, F.col(vec).alias("_v"))
+    at_from = v.withColumnsRenamed({"kf_id": "from_id", "_v": "_f"})
+    at_to = v.withColumnsRenamed({"kf_id": "to_id", "_v": "_t"})
+    ends = blocks.join(at_from, ["map_id", "from_id"]).join(at_to, ["map_id", "to_id"])
+    both = F.array(
+        F.struct(F.col("from_id").alias("kf_id"), _matvec(F.col("h_ft"), F.col("_t")).alias("off")),
+        F.struct(F.col("to_id").alias("kf_id"), _matvec(F.col("h_ft"), F.col("_f"), True).alias("off")),
+    )
+    off = _sum_arrays(ends.select("map_id", F.explode(both).alias("e")).select("map_id", "e.*"), NODE, off=6)
+    own = _matvec(F.col("diag"), F.col(vec))
+    full = F.when(F.col("off").isNotNull(), _axpy(own, F.lit(1.0), F.col("off"))).otherwise(own)
+    return nodes.join(off, NODE, "left").withColumn(out, full).drop("off")
+
+
 def _solve_step(blocks, nodes, iterations, tol):
     """Conjugate gradient on the block system, preconditioned by the inverse diagonal blocks.
 
-    One written table per iteration; the scalars live in the plan, per map. Maps that reached
-    ``tol`` keep their step.
+    In the single-reduction form: one matrix product and one set of per-map sums per iteration,
+    so an iteration is one job and one written table. The scalars live in the plan. Maps that
+    reached ``tol`` keep their step.
     """
     zero = F.array(*(F.lit(0.0) for _ in range(6)))
+    none = F.lit(None).cast("double")
     state = materialize(
-        nodes.withColumn("x", zero)
-        .withColumn("r", F.transform("b", lambda v: -v))
-        .withColumn("p", _matvec(F.col("inv"), F.col("r")))
-        .withColumn("rz", _dot(F.col("r"), F.col("p")))
+        nodes.withColumn("r", F.transform("b", lambda v: -v))
         .drop("b")
+        .withColumns({"x": zero, "p": zero, "s": zero, "gamma": none, "alpha": none, "start": none})
     )
-    first = materialize(state.groupBy("map_id").agg(F.sum("rz").alias("_rz0")))
     for _ in range(iterations):
-        vec = state.select(*NODE, "p")
-        at_from = vec.withColumnsRenamed({"kf_id": "from_id", "p": "pf"})
-        at_to = vec.withColumnsRenamed({"kf_id": "to_id", "p": "pt"})
-        ends = blocks.join(at_from, ["map_id", "from_id"]).join(at_to, ["map_id", "to_id"])
-        both = F.array(
-            F.struct(F.col("from_id").alias("kf_id"), _matvec(F.col("h_ft"), F.col("pt")).alias("off")),
-            F.struct(F.col("to_id").alias("kf_id"), _matvec(F.col("h_ft"), F.col("pf"), True).alias("off")),
+        work = _times_matrix(blocks, state.withColumn("z", _matvec(F.col("inv"), F.col("r"))), "z", "w")
+        sums = work.groupBy("map_id").agg(
+            F.sum(_dot(F.col("r"), F.col("z"))).alias("_g"), F.sum(_dot(F.col("z"), F.col("w"))).alias("_d"),
+            F.max("gamma").alias("_g0"), F.max("alpha").alias("_a0"), F.max("start").alias("_s0"),
+        )
+        start = F.coalesce("_s0", "_g")
+        beta = F.when(F.col("_a0").isNull() | (F.col("_a0") == 0), 0.0).otherwise(F.col("_g") / F.col("_g0"))
+        scalars = sums.withColumn("_beta", beta).withColumn("_start", start).withColumn(
+            "_den",
+            F.when(F.col("_beta") == 0, F.col("_d")).otherwise(F.col("_d") - F.col("_beta") * F.col("_g") / F.col("_a0")),
         )
-        off = _sum_arrays(ends.select("map_id", F.explode(both).alias("e")).select("map_id", "e.*"), NODE, off=6)
-        own = _matvec(F.col("diag"), F.col("p"))
-        work = state.join(off, NODE, "left").withColumn(
-            "ap", F.when(F.col("off").isNotNull(), _axpy(own, F.lit(1.0), F.col("off"))).otherwise(own)
+        live = (F.col("_g") > tol * F.col("_start")) & (F.col("_den") > 0)
+        scalars = scalars.select(
+            "map_id", "_beta", "_start", "_g", F.when(live, F.col("_g") / F.col("_den")).otherwise(0.0).alias("_alpha")
         )
-        scalars = work.groupBy("map_id").agg(
-            F.sum("rz").alias("_rz"), F.sum(_dot(F.col("p"), F.col("ap"))).alias("_pap")
-        ).join(first, "map_id")
-        live = (F.col("_rz") > tol * F.col("_rz0")) & (F.col("_pap") > 0)
-        stepped = (
+        state = materialize(
             work.join(scalars, "map_id")
-            .withColumn("_alpha", F.when(live, F.col("_rz") / F.col("_pap")).otherwise(0.0))
-            .withColumn("x", _axpy(F.col("x"), F.col("_alpha"), F.col("p")))
-            .withColumn("r", _axpy(F.col("r"), -F.col("_alpha"), F.col("ap")))
-            .withColumn("z", _matvec(F.col("inv"), F.col("r")))
-            .withColumn("_new", _dot(F.col("r"), F.col("z")))
-            .drop("off", "ap", "_pap", "_rz0")
-        )
-        stepped = materialize(stepped)
-        beta = stepped.groupBy("map_id").agg(
-            (F.sum("_new") / F.max("_rz")).alias("_beta"), F.max("_alpha").alias("_a")
-        )
-        state = stepped.drop("rz", "_rz", "_alpha").join(beta, "map_id").select(
-            *NODE, "diag", "inv", "x", "r",
-            _axpy(F.col("z"), F.coalesce("_beta", F.lit(0.0)), F.col("p")).alias("p"),
-            F.col("_new").alias("rz"), "_a",
+            .withColumn("p", _axpy(F.col("z"), F.col("_beta"), F.col("p")))
+            .withColumn("s", _axpy(F.col("w"), F.col("_beta"), F.col("s")))
+            .select(
+                *NODE, "diag", "inv",
+                _axpy(F.col("r"), -F.col("_alpha"), F.col("s")).alias("r"),
+                _axpy(F.col("x"), F.col("_alpha"), F.col("p")).alias("x"),
+                "p", "s", F.col("_g").alias("gamma"), F.col("_alpha").alias("alpha"), F.col("_start").alias("start"),
+            )
         )
-        if state.filter("_a <> 0").isEmpty():
-            state = state.drop("_a")
+        if state.filter("alpha <> 0").isEmpty():
             break
-        state = state.drop("_a")
     return state.select(*NODE, "x")
 
 

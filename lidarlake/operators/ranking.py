@@ -16,6 +16,11 @@ def best_per_query(matches: DataFrame, keys=("map_id", "query_id")) -> DataFrame
     return matches.groupBy(*keys).agg(best.alias("_r")).select(*keys, "_r.*")
 
 
+def _planar(a, b):
+    dx, dy = a["x"] - b["x"], a["y"] - b["y"]
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def basins(candidates: DataFrame, radius=4.0, keys=("map_id", "query_id")) -> DataFrame:
     """Group ranked candidates of a query around at most three leaders in the ground plane.
 
@@ -24,12 +29,13 @@ def basins(candidates: DataFrame, radius=4.0, keys=("map_id", "query_id")) -> Da
     that outranks it, or none. The candidates of a query are few (the kept top k).
     """
     w = Window.partitionBy(*keys)
+    here = {"x": F.col("x"), "y": F.col("y")}
     out = candidates
     leaders = []
     for i in range(3):
         far = F.lit(True)
         for name in leaders:
-            far = far & (F.hypot(F.col("x") - F.col(f"{name}.x"), F.col("y") - F.col(f"{name}.y")) > radius)
+            far = far & (_planar(here, F.col(name)) > radius)
         spot = F.when(far, F.struct("x", "y", "rank", "match_id"))
         if leaders:
             spot = F.when(F.col(leaders[-1]).isNotNull(), spot)
@@ -37,7 +43,7 @@ def basins(candidates: DataFrame, radius=4.0, keys=("map_id", "query_id")) -> Da
         leaders.append(f"_l{i}")
     options = []
     for i, name in enumerate(leaders):
-        d = F.hypot(F.col("x") - F.col(f"{name}.x"), F.col("y") - F.col(f"{name}.y"))
+        d = _planar(here, F.col(name))
         usable = F.col(name).isNotNull() & (F.col(f"{name}.rank") <= F.col("rank"))
         options.append(
             F.when(usable, F.struct(d.alias("d"), F.lit(i).alias("basin"), F.col(f"{name}.match_id").alias("m")))
@@ -76,7 +82,7 @@ def ambiguous_basins(best: DataFrame, min_sep=3.0, gap=0.03, keys=("map_id", "qu
     top = best.withColumn("_n", F.row_number().over(w)).filter("_n <= 2")
     side = [F.max(F.when(F.col("_n") == i, F.struct("x", "y", "fitness"))).alias(f"b{i}") for i in (1, 2)]
     a, b = F.col("b1"), F.col("b2")
-    clash = (F.hypot(a["x"] - b["x"], a["y"] - b["y"]) >= min_sep) & (
+    clash = (_planar(a, b) >= min_sep) & (
         F.abs(a["fitness"] - b["fitness"]) <= gap
     )
     return top.groupBy(*keys).agg(*side).select(*keys, F.coalesce(clash, F.lit(False)).alias("ambiguous"))

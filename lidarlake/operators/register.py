@@ -33,7 +33,7 @@ UPPER = [(i, j) for i in range(6) for j in range(i, 6)]
 MIN_POINTS = 10
 
 
-def correspondences(src: DataFrame, tgt: DataFrame, max_dist: float, leaf=None, carry=()) -> DataFrame:
+def correspondences(src: DataFrame, tgt: DataFrame, max_dist: float, carry=(), leaf=None) -> DataFrame:
     """Nearest target point within ``max_dist`` for each source point of the same pair.
 
     ``src``: pair_id, src_id, x, y, z (already moved). ``tgt``: pair_id, tgt_id, x, y, z.
@@ -194,7 +194,7 @@ def _align(pairs, source, target, leaf, max_dist, rounds, kind, k, eps_t=1e-3, e
     for pairs with fewer than ten points on either side.
     """
     src = materialize(_thin(source.join(pairs.select("pair_id"), "pair_id", "left_semi"), leaf, "src_id"))
-    tgt = _thin(target.join(pairs.select("pair_id"), "pair_id", "left_semi"), leaf, "tgt_id")
+    tgt = materialize(_thin(target.join(pairs.select("pair_id"), "pair_id", "left_semi"), leaf, "tgt_id"))
     tgt = materialize(normals_covariances(tgt, k).drop("cov"))
     if kind == "gicp":
         src = materialize(
@@ -225,7 +225,7 @@ def _align(pairs, source, target, leaf, max_dist, rounds, kind, k, eps_t=1e-3, e
             m = transform_xyz(zero, "mx", "my", "mz")
             moved = moved.withColumn("_m", F.struct(*(c.alias(f"m{a}") for c, a in zip(m, "xyz"))))
         spots = moved.select("pair_id", "src_id", "_p.*")
-        hits = correspondences(spots, tgt, max_dist, leaf, ("nx", "ny", "nz"))
+        hits = correspondences(spots, tgt, max_dist, ("nx", "ny", "nz"), leaf)
         if kind == "gicp":
             hits = hits.join(moved.select("pair_id", "src_id", "_m.*"), ["pair_id", "src_id"])
             sums = plane_to_plane_equations(hits)
