@@ -55,7 +55,7 @@ _GATE = (
 
 @query("keyframe_gate", _GATE)
 def keyframe_gate(spark, sf):
-    return stateful.keyframe_gate(odom_frames(spark, sf), chunk_size=20)
+    return stateful.keyframe_gate(odom_frames(spark, sf), chunk_size=50)
 
 
 @query("keyframe_gate_stream", _GATE)
@@ -162,7 +162,7 @@ def tracked():
 
 @query("lock_tracker")
 def lock_tracker(spark, sf):
-    return stateful.fold_batch(scored(spark, sf), folds.lock_step(), folds.LOCK_DDL, chunk_size=40)
+    return stateful.fold_batch(scored(spark, sf), folds.lock_step(), folds.LOCK_DDL)
 
 
 @query("lock_tracker_stream")
@@ -185,13 +185,13 @@ def tracking_rows(spark, sf):
 
 @query("tracking_fusion")
 def tracking_fusion(spark, sf):
-    return stateful.fold_batch(tracking_rows(spark, sf), folds.track_step(), folds.TRACK_DDL, chunk_size=40)
+    return stateful.fold_batch(tracking_rows(spark, sf), folds.track_step(), folds.TRACK_DDL)
 
 
 @query("localize_frame")
 def localize_frame(spark, sf):
     rows = scored(spark, sf).withColumns(tracked())
-    return stateful.fold_batch(rows, folds.localize_step(), folds.LOCALIZE_DDL, chunk_size=40)
+    return stateful.fold_batch(rows, folds.localize_step(), folds.LOCALIZE_DDL)
 
 
 _MODE = (

@@ -506,7 +506,7 @@ _TRUE_LOOP = (
 def verify_loops(spark, sf):
     """Loops found from drifted poses; true if the result is within 2 cm of the real transform."""
     k, body, truth = common_world(spark, sf)
-    out = loops.verify_loops(revisits(k, 5, 3), k, body, radius=0, refine=False, rounds=5, k=6)
+    out = loops.verify_loops(revisits(k, 5, 3), k, body, radius=0, refine=False, rounds=12, k=6)
     pose = truth.select("map_id", "kf_id", F.col("opt").alias("p"))
     q = pose.withColumnsRenamed({"kf_id": "query_id", "p": "q"})
     m = pose.withColumnsRenamed({"kf_id": "match_id", "p": "m"})

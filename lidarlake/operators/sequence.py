@@ -165,10 +165,9 @@ def chunked_fold(
         for c, v in head.items():
             out[c] = v
         out["_exit"] = None
-        last = pd.DataFrame([{**head, "_exit": json.dumps(state)}])
-        return pd.concat([out, last.reindex(columns=out.columns)], ignore_index=True)[
-            [*keys, "_chunk", "_exit", *out_cols]
-        ]
+        last = pd.DataFrame([{**dict.fromkeys(out_cols), **head, "_exit": json.dumps(state)}])
+        parts = [p.astype(object) for p in (out, last) if len(p)]
+        return pd.concat(parts, ignore_index=True)[[*keys, "_chunk", "_exit", *out_cols]]
 
     pending = rows.withColumn("_entry", F.lit(start))
     outputs, settled, round_no = [], None, 0
