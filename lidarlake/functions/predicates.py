@@ -8,13 +8,21 @@ from pyspark.sql import functions as F
 from lidarlake.functions.pose import _col, _fields
 from lidarlake.schema import MAX_DESCRIPTOR_VALUES, MAX_POINTS_PER_CLOUD
 
-_INF = float("inf")
+def _finite(values) -> Column:
+    """True if no value is NULL, NaN or infinite.
+
+    Zero times a value is zero only for finite values. Each value is used once, so long
+    coordinate expressions are not repeated in the generated code.
+    """
+    total = None
+    for v in values:
+        part = _col(v) * F.lit(0.0)
+        total = part if total is None else total + part
+    return F.coalesce(total == F.lit(0.0), F.lit(False))
 
 
 def is_finite(value) -> Column:
-    """Neither NULL, NaN nor infinite."""
-    v = _col(value)
-    return v.isNotNull() & ~F.isnan(v) & (F.abs(v) < _INF)
+    return _finite([value])
 
 
 def _all(conditions) -> Column:
@@ -25,14 +33,13 @@ def _all(conditions) -> Column:
 
 
 def is_finite_point(x="x", y="y", z="z", intensity=None) -> Column:
-    values = [x, y, z] + ([intensity] if intensity is not None else [])
-    return _all(is_finite(v) for v in values)
+    return _finite([x, y, z] + ([intensity] if intensity is not None else []))
 
 
 def is_finite_pose(pose) -> Column:
     f = _fields(pose)
     norm2 = f[3] * f[3] + f[4] * f[4] + f[5] * f[5] + f[6] * f[6]
-    return F.coalesce(_all(is_finite(v) for v in f) & is_finite(norm2) & (norm2 > 1e-12), F.lit(False))
+    return F.coalesce(_finite(f) & is_finite(norm2) & (norm2 > 1e-12), F.lit(False))
 
 
 def all_finite(values) -> Column:
