@@ -15,6 +15,7 @@ from lidarlake.functions.pose import (
 )
 from lidarlake.functions.predicates import is_finite_pose
 from lidarlake.functions.scores import NOISE, edge_information, robust_weight
+from lidarlake.operators.binding import bind
 from lidarlake.operators.ranking import anchor_row
 from lidarlake.operators.register import step_pose
 from lidarlake.operators.sequence import dense_position
@@ -29,11 +30,12 @@ def edge_residuals(edges: DataFrame, poses: DataFrame) -> DataFrame:
     a = poses.select("map_id", F.col("kf_id").alias("from_id"), F.col("pose").alias("_a"))
     b = poses.select("map_id", F.col("kf_id").alias("to_id"), F.col("pose").alias("_b"))
     both = edges.join(a, ["map_id", "from_id"]).join(b, ["map_id", "to_id"])
+    both = bind(both, "_rel", pose_between("_a", "_b"))
+    both = bind(both, "residual", pose_compose(pose_inverse("meas"), "_rel"))
     return (
-        both.withColumn("residual", pose_compose(pose_inverse("meas"), pose_between("_a", "_b")))
-        .withColumn("residual_t", translation_norm("residual"))
+        both.withColumn("residual_t", translation_norm("residual"))
         .withColumn("residual_r", rotation_angle("residual"))
-        .drop("_a", "_b")
+        .drop("_a", "_b", "_rel")
     )
 
 
@@ -48,7 +50,7 @@ def pose_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     moved = before.select(*NODE, F.col("pose").alias("_a")).join(
         after.select(*NODE, F.col("pose").alias("_b")), NODE
     )
-    d = pose_between("_a", "_b")
+    moved, d = bind(moved, "_d", pose_between("_a", "_b")), "_d"
     per = moved.select("map_id", translation_norm(d).alias("t"), rotation_angle(d).alias("r"))
     return running_mean_combine(
         per.groupBy("map_id").agg(
@@ -242,11 +244,11 @@ def _with_cost(edges, poses, kind, delta):
 def _prior_residual(poses, priors):
     """Residual of the anchored node against its prior pose."""
     t, r = NOISE["PRIOR"]
-    e = pose_between("_prior", "pose")
+    e = F.col("_d")
     w = [1 / (t * t)] * 3 + [1 / (r * r)] * 3
     sign = F.when(e["qw"] < 0, -1.0).otherwise(1.0)
     err = F.array(e["tx"], e["ty"], e["tz"], *(2 * sign * e[f"q{c}"] for c in "xyz"))
-    out = poses.join(priors, NODE).withColumn("_e", err)
+    out = bind(poses.join(priors, NODE), "_d", pose_between("_prior", "pose")).withColumn("_e", err)
     cost = sum((F.get("_e", F.lit(i)) ** 2 * (w[i] / 2) for i in range(6)), F.lit(0.0))
     return out.withColumn("_cost", cost), w
 
@@ -365,7 +367,7 @@ def relax_pose_graph(
         if live.isEmpty():
             break
         lin = _with_cost(edges.join(live, "map_id", "left_semi"), poses, kind, delta)
-        rel = pose_compose("meas", "residual")
+        lin, rel = bind(lin, "_rel", pose_compose("meas", "residual")), F.col("_rel")
         flat = lin.select(
             "map_id", "from_id", "to_id", "info", "weight",
             *(F.col(f"residual.{f}").alias(f"r_{f}") for f in POSE_FIELDS),
@@ -396,10 +398,10 @@ def _take_step(poses, step, cost, edges, priors, kind, delta, min_gain, halvings
     todo, scale = cost.filter("active").select("map_id", "cost"), 1.0
     taken = None
     for _ in range(halvings + 1):
-        moved = poses.join(todo.select("map_id"), "map_id", "left_semi").join(step, NODE).select(
-            *NODE, pose_compose("pose", step_pose(F.transform("x", lambda v: v * scale))).alias("pose")
-        )
-        moved = materialize(moved)
+        moved = poses.join(todo.select("map_id"), "map_id", "left_semi").join(step, NODE)
+        moved = bind(moved, "_x", F.transform("x", lambda v, k=scale: v * k))
+        moved = bind(moved, "_s", step_pose(F.col("_x")))
+        moved = materialize(moved.select(*NODE, pose_compose("pose", "_s").alias("pose")))
         now = objective(edges.join(todo, "map_id", "left_semi"), moved, priors, kind, delta)
         judged = materialize(
             now.withColumnRenamed("cost", "_new").join(todo, "map_id").withColumn("ok", F.col("_new") <= F.col("cost"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lidarlake.functions.pose import map_odom, pose_compose, pose_inverse, pose_lerp
 from lidarlake.functions.scores import clamp
+from lidarlake.operators.binding import bind
 from lidarlake.operators.sequence import asof_backward, asof_bracket
 
 
@@ -23,13 +24,11 @@ def dense_trajectory(samples: DataFrame, keyframes: DataFrame, key="map_id", chu
     near = near.withColumns({"_b": F.coalesce("before", "after"), "_a": F.coalesce("after", "before")})
     dt = F.col("_a.ts") - F.col("_b.ts")
     alpha = F.when(dt > 1e-9, clamp((F.col("ts") - F.col("_b.ts")) / dt, 0.0, 1.0)).otherwise(0.0)
-    near = near.withColumn("_alpha", alpha).withColumn(
-        "_corr", pose_lerp(F.col("_b.corr"), F.col("_a.corr"), F.col("_alpha"))
-    )
+    near = bind(near, "_alpha", alpha)
+    near = bind(near, "_corr", pose_lerp(F.col("_b.corr"), F.col("_a.corr"), F.col("_alpha")))
     anchors = keyframes.select(key, F.col("kf_id").alias("anchor_id"), F.col("opt").alias("_anchor"))
-    joined = near.join(anchors, [key, "anchor_id"], "left").withColumn(
-        "_fix", F.when(F.col("_anchor").isNotNull(), pose_compose("_anchor", pose_inverse("anchor_raw")))
-    )
+    fix = F.when(F.col("_anchor").isNotNull(), pose_compose("_anchor", pose_inverse("anchor_raw")))
+    joined = bind(near.join(anchors, [key, "anchor_id"], "left"), "_fix", fix)
     bracketed = F.col("use_bracket") & F.col("_b").isNotNull()
     anchored = ~F.col("use_bracket") & F.col("_fix").isNotNull()
     return joined.select(
