@@ -19,6 +19,7 @@ from lidarlake.functions.pose import (
 )
 from lidarlake.functions.scores import diagonal_information, edge_information
 from lidarlake.operators import evaluate, posegraph, ranking, register
+from lidarlake.operators.clouds import transform_points
 from lidarlake.plans import loops
 from lidarlake.session import materialize
 
@@ -479,7 +480,7 @@ def common_world(spark, sf):
     """Keyframes placed by drifting odometry, all seeing the cloud of their map's first keyframe."""
     k = keyframes(spark, sf)
     first = k.groupBy("map_id").agg(F.min("kf_id").alias("kf_id"))
-    world = points(spark, sf).join(first, CLOUD).drop("kf_id")
+    world = transform_points(points(spark, sf).join(first, CLOUD, "left_semi"), k).drop("kf_id")
     seen = k.select("map_id", "kf_id", pose_inverse("opt").alias("_view")).join(world, ["map_id"])
     x, y, z = transform_xyz("_view", "x", "y", "z")
     body = seen.withColumn("_m", F.struct(x.alias("x"), y.alias("y"), z.alias("z"))).withColumns(
