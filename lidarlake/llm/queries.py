@@ -2,9 +2,10 @@
 
 from functools import wraps
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from lidarlake.llm import line_dedup, mixing, ogg
+from lidarlake.llm import line_dedup, mixing, ogg, token_counts
 from lidarlake.llm.common import table
 from lidarlake.session import ship_package
 
@@ -96,3 +97,9 @@ def op4(spark, sf_dir):
 def op8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return ogg.read_media(ogg.store_text(docs)).drop("error")
+
+
+@query("op10_token_counts")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
