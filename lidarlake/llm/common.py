@@ -1,5 +1,7 @@
 """Helpers shared by the text operators."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -7,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Text handled at once inside a task; longer single texts are handled alone.
 SLICE_BYTES = 4 << 20
+#: A longer text is cut into blocks of about this size where that changes nothing.
+BLOCK_CHARS = 2 << 20
 #: The six ASCII white space characters that separate words everywhere here.
 SPACE = "[\\x20\\x09-\\x0D]"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -56,3 +60,18 @@ def fixed_binary(data: bytes, width: int) -> pa.Array:
 def lower_ascii(column: Column) -> Column:
     """A-Z in lower case, all other characters as they are."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
+def blocks(text: str):
+    """Cut a text before single blanks between words, where a word always starts."""
+    at = 0
+    while len(text) - at > BLOCK_CHARS:
+        m = _CUT.search(text, at + BLOCK_CHARS)
+        if m is None:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]

@@ -5,7 +5,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lidarlake.llm import line_dedup, mixing, ogg, token_counts
+from lidarlake.llm import bpe, line_dedup, mixing, ogg, token_counts
 from lidarlake.llm.common import table
 from lidarlake.session import ship_package
 
@@ -103,3 +103,9 @@ def op8(spark, sf_dir):
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op9_bpe")
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encoded_digests(docs, public_tokenizers.path("word_bpe_49k.json"))

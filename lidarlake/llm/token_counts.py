@@ -15,6 +15,7 @@ Defined results: a null or empty text has no tokens; special strings in a text c
 starts into blocks of bounded size.
 """
 
+import heapq
 import json
 import re
 import unicodedata
@@ -24,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lidarlake.llm.common import slices
+from lidarlake.llm.common import BLOCK_CHARS, blocks, slices
 
 CHUNK = 256
-BLOCK_CHARS = 2 << 20
 #: Compiled states kept at once; beyond it compilation starts anew with the same results.
 MAX_STATES = 200_000
 _BIAS = 1 << 9
+_NEVER = 1 << 60
 _GROW = 1 << 15
 
 # Fixed values of the pre-tokenizer: white space, and the endings split off after an apostrophe.
@@ -61,17 +62,47 @@ def load_bpe(path: str):
 
 def merge(parts: list, ranks: dict) -> list:
     """Byte-pair encoding of a list of symbols: the lowest ranked pair is joined first, leftmost first."""
-    parts = list(parts)
-    while len(parts) > 1:
-        pairs = [ranks.get(p, 1 << 60) for p in zip(parts, parts[1:])]
-        best = min(pairs)
-        if best == 1 << 60:
+    if len(parts) > 128:
+        return _merge_long(parts, ranks)
+    parts, get = list(parts), ranks.get
+    found = [get(p, _NEVER) for p in zip(parts, parts[1:])]
+    while found:
+        best = min(found)
+        if best == _NEVER:
             break
-        i = pairs.index(best)
+        i = found.index(best)
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del found[i]
+        if i:
+            found[i - 1] = get((parts[i - 1], parts[i]), _NEVER)
+        if i < len(found):
+            found[i] = get((parts[i], parts[i + 1]), _NEVER)
     return parts
 
 
+def _merge_long(parts, ranks):
+    """The same with a heap of pairs over a linked list, for long words."""
+    parts, n = list(parts), len(parts)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(ranks[p], i) for i, p in enumerate(zip(parts, parts[1:])) if p in ranks]
+    heapq.heapify(heap)
+    while heap:
+        rank, i = heapq.heappop(heap)
+        j = after[i]
+        if parts[i] is None or j >= n or ranks.get((parts[i], parts[j])) != rank:
+            continue
+        parts[i], parts[j] = parts[i] + parts[j], None
+        after[i] = after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        for k in (before[i], i):
+            if k >= 0 and after[k] < n:
+                rank = ranks.get((parts[k], parts[after[k]]))
+                if rank is not None:
+                    heapq.heappush(heap, (rank, k))
+    return [p for p in parts if p is not None]
+
+
 class Transducer:
     """Transitions of the count transducer, compiled on demand. State 0 waits for a word start, 1 is a word start."""
 
@@ -234,21 +265,6 @@ def word_starts(points: np.ndarray, first: np.ndarray, classes: np.ndarray) -> n
     return start
 
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-
-
-def blocks(text: str):
-    """Cut a text before single blanks between words, where a word always starts."""
-    at = 0
-    while len(text) - at > BLOCK_CHARS:
-        m = _CUT.search(text, at + BLOCK_CHARS)
-        if m is None:
-            break
-        yield text[at : m.start()]
-        at = m.start()
-    yield text[at:]
-
-
 class Counter:
     def __init__(self, path: str):
         self.transducer = Transducer(path)
