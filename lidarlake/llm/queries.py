@@ -5,7 +5,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lidarlake.llm import bpe, line_dedup, mixing, ogg, token_counts
+from lidarlake.llm import bpe, jaccard_join, langid, line_dedup, mixing, ogg, token_counts
 from lidarlake.llm.common import table
 from lidarlake.session import ship_package
 
@@ -109,3 +109,37 @@ def op10(spark, sf_dir):
 def op9(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encoded_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op2_langid")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    sample = langid.labelled_sample(docs)
+    rows = docs.select("doc_id", "text", langid.hold_out().alias("held_out"))
+    return langid.predict_language(rows, sample).select("doc_id", "held_out", "lang_pred", "score")
+
+
+JACCARD_SQL = f"""
+with recursive words as (
+  select doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} as w from documents
+), shingles as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from words
+), sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c
+  from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all
+), links as (
+  select a, b from common join sizes x on a = x.doc_id join sizes y on b = y.doc_id
+  where 100 * c >= 75 * (x.n + y.n - c)
+), edges as (select a, b from links union all select b, a from links),
+reach as (select doc_id, doc_id as least from documents union select e.b, r.least from reach r join edges e on e.a = r.doc_id where r.least < e.b)
+select documents.doc_id, coalesce(any_value(sizes.n), 0) as n_shingles, min(least) as component_id
+from documents join reach using (doc_id) left join sizes using (doc_id) group by documents.doc_id
+"""
+
+
+@query("op3_jaccard_join", JACCARD_SQL)
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.similarity_components(docs)
