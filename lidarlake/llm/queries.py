@@ -5,7 +5,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lidarlake.llm import bpe, jaccard_join, langid, line_dedup, mixing, ogg, token_counts
+from lidarlake.llm import bpe, fingerprints, jaccard_join, langid, line_dedup, mixing, ogg, token_counts
 from lidarlake.llm.common import table
 from lidarlake.session import ship_package
 
@@ -143,3 +143,8 @@ from documents join reach using (doc_id) left join sizes using (doc_id) group by
 def op3(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_join.similarity_components(docs)
+
+
+@query("op1_fingerprints")
+def op1(spark, sf_dir):
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
