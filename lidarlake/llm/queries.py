@@ -5,7 +5,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lidarlake.llm import bpe, fingerprints, jaccard_join, langid, line_dedup, mixing, ogg, token_counts
+from lidarlake.llm import bpe, fingerprints, html_text, jaccard_join, langid, line_dedup, mixing, ogg, token_counts, warc
 from lidarlake.llm.common import table
 from lidarlake.session import ship_package
 
@@ -148,3 +148,15 @@ def op3(spark, sf_dir):
 @query("op1_fingerprints")
 def op1(spark, sf_dir):
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op6_warc")
+def op6(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    rows = warc.derivatives(warc.page_responses(pages))
+    return rows.select(*[c for c in rows.columns if c not in ("record", "error")], F.sha2("record", 256).alias("record_sha256"))
+
+
+@query("op7_html_text")
+def op7(spark, sf_dir):
+    return html_text.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
