@@ -17,7 +17,7 @@ of an empty table is empty.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lidarlake.llm.common import WORD
+from lidarlake.llm.common import SPACE, WORD
 from lidarlake.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -141,7 +141,8 @@ def mixed_documents(df: DataFrame, id_col="doc_id", text_col="text", source_col=
     taken = taken.groupBy("row_id", "copy").agg(F.sum("words").alias("words"))
     taken = taken.join(sizes.select("row_id", "size"), "row_id").where("words > 0")
     rows = marked.join(taken, "row_id")
-    pattern = F.concat(F.lit("^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){"), F.col("words"), F.lit("}"))
-    cut = F.when(F.col("words") < F.col("size"), F.regexp_substr(text, pattern)).otherwise(text)
+    pieces = F.regexp_extract_all(text, F.lit(f"{SPACE}*{WORD}"), F.lit(0))
+    leading = F.array_join(F.slice(pieces, 1, F.col("words").cast("int")), "")
+    cut = F.when(F.col("words") < F.col("size"), leading).otherwise(text)
     columns = [cut.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns]
     return rows.select(*columns)
