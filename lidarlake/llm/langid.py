@@ -112,7 +112,7 @@ class CrossParser:
                 start[self.code[b]] = 2 * (base + s * width) + 1
             t = np.tile(start, (len(to), 1))
             for k, moves in enumerate(to):
-                if moves:
+                if k and moves:
                     t[k, self.code[list(moves)]] = 2 * (base + np.fromiter(moves.values(), np.int64, len(moves)) * width)
             tables.append(t.ravel())
             base += t.size
@@ -140,7 +140,7 @@ class CrossParser:
         lanes = np.ascontiguousarray(lanes.T)
         active = np.searchsorted(-size[order], -np.arange(BLOCK), side="left")
         state = np.repeat(np.array(self.roots, np.int32)[:, None], len(parts), axis=1)
-        count = np.ones(state.shape, np.int32)
+        count = np.zeros(state.shape, np.int32)
         for k in range(BLOCK):
             n = active[k]
             if not n:
@@ -148,9 +148,6 @@ class CrossParser:
             entry = self.table.take(state[:, :n] + lanes[k, :n])
             count[:, :n] += entry & 1
             state[:, :n] = entry >> 1
-        # The first byte of a block starts a phrase once, whether or not the automaton knows it.
-        known = self.table.take(np.array(self.roots)[:, None] + lanes[0]) >> 1 != np.array(self.roots)[:, None]
-        count -= ~known
         np.add.at(out, np.array(owner)[order], count.T)
         return out
 

@@ -65,7 +65,7 @@ def parse(data: bytes) -> tuple[list, bytes, bytes]:
 
 
 def get(headers: list, name: str) -> str:
-    return next((v for k, v in headers if k.lower() == name), "")
+    return next((v for k, v in headers if k.lower() == name.lower()), "")
 
 
 def payload(block: bytes) -> tuple[list, bytes]:
