@@ -241,19 +241,24 @@ def global_map_refresh_rows(spark, sf):
 # --- stored maps and reports ------------------------------------------------------------------
 
 
+_STORED_RHPD = "transform(sequence(0, 3036), i -> cast((i * 7 + kf_id) % 11 as double) / 8.0)"
+
+
 def map_tables(spark, sf):
     """A stored map built from the views: only edges that are in order."""
     k = keyframes(spark, sf)
     odo = ranking.odometry_edges(k)
     maps = k.select("map_id").distinct().select(
-        "map_id", F.lit("2.3.0").alias("version"), F.lit(mapcheck.descriptor_schema()).alias("rhpd_schema"),
+        "map_id", F.lit("2.3.0").alias("version"),
+        F.when(F.col("map_id") % 5 == 1, "dim=1").otherwise(mapcheck.descriptor_schema()).alias("rhpd_schema"),
         F.lit("map").alias("map_frame"), F.lit("body").alias("body_frame"), F.lit(False).alias("filter_applied"),
         F.lit("").alias("filter_policy"), *(F.lit(0).cast("long").alias(c) for c in ("raw_points", "kept_points", "removed_points")),
-        F.lit("").alias("trajectory_source"), F.lit(False).alias("trajectory_degraded"),
+        F.when(F.col("map_id") % 4 == 2, "mixed_keyframe_fallback_and_high_rate").otherwise("").alias("trajectory_source"),
+        (F.col("map_id") % 4 == 2).alias("trajectory_degraded"),
     )
     track = k.filter("map_id % 2 = 0").select("map_id", F.col("kf_id").alias("seq"), "ts", F.col("opt").alias("pose"))
     none = F.lit(None).cast("array<double>")
-    desc = k.select("map_id", "kf_id", none.alias("polar"), none.alias("rhpd"))
+    desc = k.select("map_id", "kf_id", none.alias("polar"), F.expr(_STORED_RHPD).alias("rhpd"))
     return {"maps": maps, "keyframes": k, "points": points(spark, sf), "descriptors": desc, "edges": odo, "trajectory": track}
 
 
@@ -262,20 +267,33 @@ _KF_COUNT = f"{with_views('keyframes', 'points')}"
 
 @query(
     "read_map",
-    f"{_KF_COUNT} select k.map_id, n_kf, n_pts, n_kf - 1 as n_edges, case when k.map_id % 2 = 0 then n_kf else 0 end as n_track, case when k.map_id % 2 = 0 then 'native' else 'none' end as trajectory_source from (select map_id, "
-    "count(*) as n_kf from keyframes group by 1) k join (select map_id, count(*) as n_pts from points group by 1) p on k.map_id = p.map_id",
+    f"{_KF_COUNT} select k.map_id, n_kf, n_pts, n_kf - 1 as n_edges, case when k.map_id % 2 = 0 then n_kf else 0 end as n_track, "
+    "case when k.map_id % 4 = 2 then 'mixed_keyframe_fallback_and_high_rate' when k.map_id % 2 = 0 then 'native' else 'none' end as trajectory_source, "
+    "k.map_id % 5 = 1 as rebuilt, case when k.map_id % 5 = 1 then 3037.0 * n_kf else stored end as rhpd_sum, x_sum from (select map_id, "
+    "count(*) as n_kf, sum(list_sum(list_transform(range(3037), lambda i: ((i * 7 + kf_id) % 11)::double / 8.0))) as stored from keyframes group by 1) k "
+    "join (select map_id, count(*) as n_pts, round(sum(x), 3) as x_sum from points group by 1) p on k.map_id = p.map_id",
 )
 def read_map(spark, sf):
-    path = fresh_path(spark)
-    M.write_map(map_tables(spark, sf), path)
-    t = M.read_map(spark, path, "STRICT")
+    """Two saves into one store, then all maps read back with their values."""
+    path, whole = fresh_path(spark), map_tables(spark, sf)
+    for half in (0, 1):
+        M.write_map({n: df.filter(F.col("map_id") % 2 == half) for n, df in whole.items()}, path)
+
+    def ones(keyframes, _):
+        return keyframes.select("map_id", "kf_id", F.expr("array_repeat(1.0D, 3037)").alias("rhpd"))
+
+    t = M.read_map(spark, path, "STRICT", rebuild=ones)
 
     def n(name, alias):
         return t[name].groupBy("map_id").agg(F.count(F.lit(1)).alias(alias))
 
     out = n("keyframes", "n_kf")
-    for name, alias in (("points", "n_pts"), ("edges", "n_edges"), ("trajectory", "n_track")):
+    for name, alias in (("edges", "n_edges"), ("trajectory", "n_track")):
         out = out.join(n(name, alias), ["map_id"], "left")
+    clouds = t["points"].groupBy("map_id").agg(F.count(F.lit(1)).alias("n_pts"), F.round(F.sum("x"), 3).alias("x_sum"))
+    total = F.aggregate("rhpd", F.lit(0.0), lambda a, v: a + v)
+    desc = t["descriptors"].groupBy("map_id").agg(F.bool_and("rebuilt").alias("rebuilt"), F.sum(total).alias("rhpd_sum"))
+    out = out.join(clouds, ["map_id"]).join(desc, ["map_id"])
     return out.join(t["maps"].select("map_id", "trajectory_source"), ["map_id"]).fillna(0)
 
 
@@ -287,7 +305,6 @@ def read_map_salvage(spark, sf):
     path, t = fresh_path(spark), map_tables(spark, sf)
     nan = F.when(F.col("kf_id") % 7 == 3, F.lit(float("nan"))).otherwise(F.col("ts"))
     t["keyframes"] = t["keyframes"].withColumn("ts", nan)
-    t["trajectory"] = t["trajectory"].filter("false")
     M.write_map(t, path, check=False)
     return M.read_map(spark, path, "SALVAGE")["keyframes"].groupBy("map_id").agg(F.count(F.lit(1)).alias("n_kf"))
 
@@ -305,7 +322,9 @@ def save_problems(spark, sf):
 
 @query(
     "read_nav_resource",
-    f"{_KF_COUNT} select map_id, map_id % 2 = 0 as has_native_dense, map_id % 2 = 1 as from_keyframe_fallback, count(*) as n_track from keyframes group by map_id",
+    f"{_KF_COUNT} select map_id, case when map_id % 4 = 2 then 'mixed_keyframe_fallback_and_high_rate' when map_id % 2 = 0 then 'native' "
+    "else 'keyframe_fallback' end as source, map_id % 4 <> 0 as degraded, map_id % 4 = 0 as has_native_dense, "
+    "map_id % 4 <> 0 as from_keyframe_fallback, count(*) as n_track from keyframes group by map_id",
 )
 def read_nav_resource(spark, sf):
     path = fresh_path(spark)

@@ -44,7 +44,7 @@ def pose_normalize(pose) -> Column:
     """Scale the quaternion to unit length."""
     tx, ty, tz, qx, qy, qz, qw = _fields(pose)
     n = F.sqrt(qx * qx + qy * qy + qz * qz + qw * qw)
-    return make_pose(tx, ty, tz, qx / n, qy / n, qz / n, qw / n)
+    return make_pose(tx, ty, tz, *(F.try_divide(q, n) for q in (qx, qy, qz, qw)))
 
 
 def quat_to_rot(pose) -> Column:
@@ -161,8 +161,8 @@ def pose_lerp(a, b, alpha, alpha_z=None) -> Column:
     near = F.abs(dot) >= 1.0 - 1e-15
     theta = F.acos(F.least(F.abs(dot), F.lit(1.0)))
     sin_theta = F.sin(theta)
-    wa = F.when(near, 1 - t).otherwise(F.sin((1 - t) * theta) / sin_theta)
-    wb = F.when(near, t).otherwise(F.sin(t * theta) / sin_theta)
+    wa = F.when(near, 1 - t).otherwise(F.try_divide(F.sin((1 - t) * theta), sin_theta))
+    wb = F.when(near, t).otherwise(F.try_divide(F.sin(t * theta), sin_theta))
     wb = F.when(dot < 0, -wb).otherwise(wb)
     return make_pose(
         (1 - t) * atx + t * btx, (1 - t) * aty + t * bty, (1 - tz) * atz + tz * btz,

@@ -6,8 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lidarlake.functions.pose import _col, _fields
-from lidarlake.schema import MAX_DESCRIPTOR_VALUES, MAX_POINTS_PER_CLOUD
-
 def _finite(values) -> Column:
     """True if no value is NULL, NaN or infinite.
 
@@ -56,16 +54,19 @@ def voxel_coord_in_range(x, y, z, leaf, bits=20) -> Column:
     return is_finite_point(x, y, z) & _all((c >= -bound) & (c <= bound - 1) for c in cells)
 
 
-def cloud_layout_ok(values, n, cap=MAX_POINTS_PER_CLOUD) -> Column:
-    """A flat cloud holds four values per point and respects the cap."""
+def cloud_layout_ok(values, n, cap=None) -> Column:
+    """A flat cloud holds four values per point and respects the cap, if one is given."""
     n = _col(n)
-    return F.coalesce((n <= cap) & (F.size(_col(values)) == n * 4), F.lit(False))
+    fits = F.lit(True) if cap is None else n <= cap
+    return F.coalesce(fits & (F.size(_col(values)) == n * 4), F.lit(False))
 
 
-def valid_descriptor(values, rows, cols=1) -> Column:
-    """The array itself if its shape is right and all values are finite, else NULL."""
+def valid_descriptor(values, rows, cols=1, cap=None) -> Column:
+    """The array itself if its shape is right and all values are finite, else NULL; ``cap`` bounds its length."""
     v, n = _col(values), F.lit(rows) * F.lit(cols)
-    ok = (n > 0) & (n <= MAX_DESCRIPTOR_VALUES) & (F.size(v) == n) & all_finite(v)
+    ok = (n > 0) & (F.size(v) == n) & all_finite(v)
+    if cap is not None:
+        ok = ok & (n <= cap)
     return F.when(ok, v)
 
 

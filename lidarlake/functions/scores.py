@@ -147,7 +147,7 @@ def robust_weight(norm, kind="Cauchy", delta=1.0) -> Column:
     """Weight of a whitened residual norm under a robust loss."""
     e = F.abs(_col(norm))
     if kind == "Huber":
-        return F.when(e <= delta, F.lit(1.0)).otherwise(delta / e)
+        return F.when(e <= delta, F.lit(1.0)).otherwise(F.try_divide(F.lit(float(delta)), e))
     if kind == "Cauchy":
         return 1.0 / (1.0 + e * e / (delta * delta))
     if kind == "DCS":

@@ -31,7 +31,7 @@ def pca_2d(points: DataFrame, min_points=MIN_POINTS, confidence=True) -> DataFra
     half_gap = F.sqrt(((F.col("cxx") - F.col("cyy")) / 2) ** 2 + F.col("cxy") ** 2)
     mid = (F.col("cxx") + F.col("cyy")) / 2
     l1, l2 = F.greatest(mid + half_gap, F.lit(0.0)), F.greatest(mid - half_gap, F.lit(0.0))
-    elongation = F.when(l1 + l2 <= 1e-9, 0.0).otherwise(clamp((l1 - l2) / (l1 + l2), 0.0, 1.0))
+    elongation = F.when(l1 + l2 <= 1e-9, 0.0).otherwise(clamp(F.try_divide(l1 - l2, l1 + l2), 0.0, 1.0))
     few = F.col("n") < min_points
     conf = F.when(few, 0.0).otherwise(elongation) if confidence else F.lit(1.0)
     return stats.withColumn(

@@ -10,13 +10,16 @@ from lidarlake.functions.predicates import (
     is_finite_pose,
     keep_reason,
 )
-from lidarlake.schema import MAP_VERSION, MAX_POINTS_PER_CLOUD
+from lidarlake.schema import MAP_VERSION
 
 CLOUD = ["map_id", "kf_id"]
 
 
-def validate_keyframes(keyframes: DataFrame, points: DataFrame, cap=MAX_POINTS_PER_CLOUD) -> DataFrame:
-    """Add ``reason``: NULL for a good keyframe, else why it is refused."""
+def validate_keyframes(keyframes: DataFrame, points: DataFrame, cap=None) -> DataFrame:
+    """Add ``reason``: NULL for a good keyframe, else why it is refused.
+
+    ``cap`` refuses clouds with more points; without it a cloud may have any size.
+    """
     clouds = points.groupBy(*CLOUD).agg(
         F.count(F.lit(1)).alias("_n"),
         F.count_if(~is_finite_point("x", "y", "z", "intensity")).alias("_bad"),
@@ -28,7 +31,7 @@ def validate_keyframes(keyframes: DataFrame, points: DataFrame, cap=MAX_POINTS_P
     )
     cloud = (
         F.when(F.col("_n").isNull(), "empty cloud")
-        .when(F.col("_n") > cap, "malformed cloud")
+        .when(F.lit(False) if cap is None else F.col("_n") > cap, "malformed cloud")
         .when(F.col("_bad") > 0, "non-finite point")
     )
     checked = keyframes.join(clouds, CLOUD, "left").withColumn("_r", F.coalesce(own, cloud))
@@ -196,13 +199,25 @@ def map_counts(keyframes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(links, ["map_id"], "full").fillna(zero)
 
 
-def trajectory_or_fallback(trajectory: DataFrame, keyframes: DataFrame, allow=True) -> DataFrame:
-    """Stored poses, else one pose per keyframe of maps that have none, marked degraded."""
+def trajectory_or_fallback(trajectory: DataFrame, keyframes: DataFrame, allow=True, maps=None) -> DataFrame:
+    """Stored poses, else one pose per keyframe of maps that have none, marked degraded.
+
+    ``maps`` (map_id, trajectory_source, trajectory_degraded) tells where stored poses came from;
+    without it, or with an empty source, they are native and not degraded.
+    """
     from lidarlake.operators.sequence import dense_position
 
-    native = trajectory.select(
-        "map_id", "seq", "ts", "pose", F.lit(False).alias("degraded"), F.lit("native").alias("source")
-    )
+    rows = trajectory.select("map_id", "seq", "ts", "pose")
+    if maps is not None:
+        rows = rows.join(maps.select("map_id", "trajectory_source", "trajectory_degraded"), ["map_id"], "left")
+    else:
+        none = F.lit(None)
+        rows = rows.withColumns({"trajectory_source": none.cast("string"), "trajectory_degraded": none.cast("boolean")})
+    native = rows.select(
+        "map_id", "seq", "ts", "pose",
+        F.coalesce("trajectory_degraded", F.lit(False)).alias("degraded"),
+        F.coalesce(F.nullif("trajectory_source", F.lit("")), F.lit("native")).alias("source"),
+    )
     if not allow:
         return native
     bare = keyframes.join(trajectory.select("map_id").distinct(), ["map_id"], "left_anti")

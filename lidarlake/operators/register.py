@@ -147,27 +147,27 @@ def plane_to_plane_equations(pairs_of_points: DataFrame) -> DataFrame:
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve(h: pd.Series, b: pd.Series) -> pd.Series:
     """Step of each pair; directions the data does not constrain stay put."""
-    out = []
-    for hv, bv in zip(h, b):
-        m = np.zeros((6, 6))
-        for v, (i, j) in zip(hv, UPPER):
-            m[i, j] = m[j, i] = v
-        out.append(np.linalg.lstsq(m, -np.asarray(bv), rcond=1e-10)[0])
-    return pd.Series(out)
+    if h.empty:
+        return pd.Series([], dtype=object)
+    values, m = np.stack(h.to_numpy()), np.zeros((len(h), 6, 6))
+    for k, (i, j) in enumerate(UPPER):
+        m[:, i, j] = m[:, j, i] = values[:, k]
+    inverse = np.linalg.pinv(m, rcond=1e-10, hermitian=True)
+    return pd.Series(list(np.einsum("nij,nj->ni", inverse, -np.stack(b.to_numpy()))))
 
 
 def step_pose(x):
     """Pose of a small step: three translations, then a rotation vector."""
     v = [F.get(x, F.lit(i)) for i in range(6)]
     angle = F.sqrt(v[3] * v[3] + v[4] * v[4] + v[5] * v[5])
-    k = F.when(angle > 1e-12, F.sin(angle / 2) / angle).otherwise(0.5)
+    k = F.when(angle > 1e-12, F.try_divide(F.sin(angle / 2), angle)).otherwise(0.5)
     return make_pose(v[0], v[1], v[2], k * v[3], k * v[4], k * v[5], F.cos(angle / 2))
 
 
 def match_quality(sums: DataFrame, source_counts: DataFrame, thr=0.3, min_inlier=0.03) -> DataFrame:
     """Fitness, inlier ratio and success of each pair; no inliers leaves the fitness NULL."""
-    fitness = F.when(F.col("inliers") > 0, F.col("error") / F.col("inliers"))
-    ratio = F.when(F.col("n_source") > 0, F.col("inliers") / F.col("n_source")).otherwise(0.0)
+    fitness = F.try_divide("error", "inliers")
+    ratio = F.coalesce(F.try_divide("inliers", "n_source"), F.lit(0.0))
     good = F.col("converged") & (F.col("fitness") < thr) & (F.col("inlier_ratio") >= min_inlier)
     return (
         sums.join(source_counts, ["pair_id"], "left")
@@ -178,13 +178,15 @@ def match_quality(sums: DataFrame, source_counts: DataFrame, thr=0.3, min_inlier
 
 
 def _thin(points: DataFrame, leaf: float, name: str) -> DataFrame:
-    """Safe points, one per cell; the id is the packed cell index, unique within the pair."""
-    safe = points.filter(voxel_coord_in_range("x", "y", "z", leaf))
-    half, side = 1 << 20, 1 << 21
-    packed = ((F.col("vx") + half) * side + (F.col("vy") + half)) * side + (F.col("vz") + half)
-    return voxel_centroid(
+    """One mean point per cell, written, with an id that follows the order of the cells in a task.
+
+    Only points whose cell index does not fit a long are left out; no length is that large.
+    """
+    safe = points.filter(voxel_coord_in_range("x", "y", "z", leaf, bits=62))
+    cells = voxel_centroid(
         safe.select("pair_id", "x", "y", "z", F.lit(0.0).alias("intensity")), leaf, ["pair_id"]
-    ).select("pair_id", packed.cast("long").alias(name), "x", "y", "z")
+    ).sortWithinPartitions("pair_id", "vx", "vy", "vz")
+    return materialize(cells.select("pair_id", F.monotonically_increasing_id().alias(name), "x", "y", "z"))
 
 
 def _align(pairs, source, target, leaf, max_dist, rounds, kind, k, eps_t=1e-3, eps_r=math.radians(1.0)):
@@ -193,8 +195,8 @@ def _align(pairs, source, target, leaf, max_dist, rounds, kind, k, eps_t=1e-3, e
     ``pairs``: pair_id, T. Returns pair_id, T, converged, error, inliers, h, n_source, or no row
     for pairs with fewer than ten points on either side.
     """
-    src = materialize(_thin(source.join(pairs.select("pair_id"), "pair_id", "left_semi"), leaf, "src_id"))
-    tgt = materialize(_thin(target.join(pairs.select("pair_id"), "pair_id", "left_semi"), leaf, "tgt_id"))
+    src = _thin(source.join(pairs.select("pair_id"), "pair_id", "left_semi"), leaf, "src_id")
+    tgt = _thin(target.join(pairs.select("pair_id"), "pair_id", "left_semi"), leaf, "tgt_id")
     tgt = materialize(normals_covariances(tgt, k).drop("cov"))
     if kind == "gicp":
         src = materialize(

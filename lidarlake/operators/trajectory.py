@@ -23,7 +23,7 @@ def dense_trajectory(samples: DataFrame, keyframes: DataFrame, key="map_id", chu
     )
     near = near.withColumns({"_b": F.coalesce("before", "after"), "_a": F.coalesce("after", "before")})
     dt = F.col("_a.ts") - F.col("_b.ts")
-    alpha = F.when(dt > 1e-9, clamp((F.col("ts") - F.col("_b.ts")) / dt, 0.0, 1.0)).otherwise(0.0)
+    alpha = F.when(dt > 1e-9, clamp(F.try_divide(F.col("ts") - F.col("_b.ts"), dt), 0.0, 1.0)).otherwise(0.0)
     near = bind(near, "_alpha", alpha)
     near = bind(near, "_corr", pose_lerp(F.col("_b.corr"), F.col("_a.corr"), F.col("_alpha")))
     anchors = keyframes.select(key, F.col("kf_id").alias("anchor_id"), F.col("opt").alias("_anchor"))

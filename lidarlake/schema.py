@@ -33,5 +33,3 @@ MAP_TABLES = {
 
 # Fixed values that stored maps agree on.
 MAP_VERSION = "2.3.0"
-MAX_POINTS_PER_CLOUD = 5_000_000
-MAX_DESCRIPTOR_VALUES = 1_000_000
