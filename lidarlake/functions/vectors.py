@@ -68,40 +68,59 @@ def rhpd_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.minimum(one(a), one(a[:, _FLIP])))
 
 
-def polar_distance_one(a, b, channels, weights, eps=1e-6, search=3, order="near"):
-    """Distance and column shift (of ``b``) between two polar matrices."""
-    if a is None or b is None or len(a) == 0 or len(a) != len(b):
-        return 1.0, 0
-    a = np.asarray(a, float).reshape(channels, -1, POLAR_SECTORS)
-    b = np.asarray(b, float).reshape(channels, -1, POLAR_SECTORS)
-    s = POLAR_SECTORS
-    ka, kb = a.mean((0, 1)), b.mean((0, 1))
-    # turned[k, c] = kb[c - k]: the key of b after shifting its columns by k.
-    turned = kb[(np.arange(s)[None, :] - np.arange(s)[:, None]) % s]
-    coarse = int(np.argmin(((ka - turned) ** 2).sum(1)))
-    near = [coarse]
-    for i in range(1, search + 1):
-        near += [(coarse + i) % s, (coarse - i) % s]
+def polar_distances(a, b, channels, weights, eps=1e-6, search=3, order="near", batch=256):
+    """Distances and column shifts (of ``b``) between two equally long lists of polar matrices.
+
+    A missing or ill-sized matrix gives distance 1 and shift 0.
+    """
+    good = [k for k, (x, y) in enumerate(zip(a, b)) if x is not None and y is not None and 0 < len(x) == len(y)]
+    distance, shift = np.ones(len(a)), np.zeros(len(a), int)
+    by_size = {}
+    for k in good:
+        by_size.setdefault(len(a[k]), []).append(k)
+    for rows in by_size.values():
+        for i in range(0, len(rows), batch):
+            part = rows[i : i + batch]
+            x, y = (np.stack([np.asarray(m[k], float) for k in part]) for m in (a, b))
+            shape = (len(part), channels, -1, POLAR_SECTORS)
+            distance[part], shift[part] = _polar_batch(x.reshape(shape), y.reshape(shape), np.asarray(weights), eps, search, order)
+    return distance, shift
+
+
+def _polar_batch(a, b, weights, eps, search, order):
+    s, each = POLAR_SECTORS, np.arange(POLAR_SECTORS)
+    ka, kb = a.mean((1, 2)), b.mean((1, 2))
+    # turned[n, k, c] = kb[n, c - k]: the key of b after shifting its columns by k.
+    turned = kb[:, (each[None, :] - each[:, None]) % s]
+    coarse = ((ka[:, None, :] - turned) ** 2).sum(2).argmin(1)
+    steps = [0, *(v for i in range(1, search + 1) for v in (i, -i))]
+    near = (coarse[:, None] + np.array(steps)) % s
     if order == "sorted":
-        near = sorted(near)
-    na, nb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
-    best, best_shift = None, 0
-    for k in near:
-        bk, nk = np.roll(b, k, axis=2), np.roll(nb, k, axis=1)
+        near = np.sort(near, axis=1)
+    na, nb = np.sqrt((a * a).sum(2)), np.sqrt((b * b).sum(2))
+    best, best_shift = np.full(len(a), np.inf), np.zeros(len(a), int)
+    for k in near.T:
+        cols = (each[None, :] - k[:, None]) % s
+        bk = np.take_along_axis(b, cols[:, None, None, :], axis=3)
+        nk = np.take_along_axis(nb, cols[:, None, :], axis=2)
         ok = (na >= eps) & (nk >= eps) if eps > 0 else (na > 0) & (nk > 0)
-        sim = np.where(ok, (a * bk).sum(1) / np.where(ok, na * nk, 1.0), 0.0)
-        n = ok.sum(1)
-        used = n > 0
-        if not used.any():
-            d = 1.0
-        else:
-            w = np.asarray(weights)[used]
-            d = float((w * (1.0 - sim.sum(1)[used] / n[used])).sum() / w.sum())
-        if best is None or d < best:
-            best, best_shift = d, k
+        sim = np.where(ok, (a * bk).sum(2) / np.where(ok, na * nk, 1.0), 0.0)
+        n = ok.sum(2)
+        w = weights * (n > 0)
+        total = w.sum(1)
+        d = (w * (1.0 - sim.sum(2) / np.maximum(n, 1))).sum(1) / np.where(total > 0, total, 1.0)
+        d = np.where((n > 0).any(1), d, 1.0)
+        better = d < best
+        best, best_shift = np.where(better, d, best), np.where(better, k, best_shift)
     return best, best_shift
 
 
+def polar_distance_one(a, b, channels, weights, eps=1e-6, search=3, order="near"):
+    """Distance and column shift of one pair."""
+    d, k = polar_distances([a], [b], channels, weights, eps, search, order)
+    return float(d[0]), int(k[0])
+
+
 @F.pandas_udf(T.DoubleType())
 def rhpd_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Distance of two full vectors; NULL when either has the wrong size."""
@@ -118,15 +137,15 @@ def rhpd_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(_SHIFTED)
 def polar_distance(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Weighted channel-wise cosine distance under the best column shift of ``b``."""
-    rows = [polar_distance_one(x, y, POLAR_CHANNELS, POLAR_WEIGHTS) for x, y in zip(a, b)]
-    return pd.DataFrame(rows, columns=["distance", "shift"])
+    d, k = polar_distances(a.to_numpy(), b.to_numpy(), POLAR_CHANNELS, POLAR_WEIGHTS)
+    return pd.DataFrame({"distance": d, "shift": k})
 
 
 @F.pandas_udf(_SHIFTED)
 def polar_distance_classic(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Same for the single-channel matrix; every non-zero column counts."""
-    rows = [polar_distance_one(x, y, 1, (1.0,), eps=0.0, order="sorted") for x, y in zip(a, b)]
-    return pd.DataFrame(rows, columns=["distance", "shift"])
+    d, k = polar_distances(a.to_numpy(), b.to_numpy(), 1, (1.0,), eps=0.0, order="sorted")
+    return pd.DataFrame({"distance": d, "shift": k})
 
 
 def dense_vector(dim: int):

@@ -353,19 +353,22 @@ def _solve_step(blocks, nodes, iterations, tol):
 
 def relax_pose_graph(
     nodes: DataFrame, edges: DataFrame, iterations=10, cg_iterations=50, cg_tol=1e-10, kind="Cauchy",
-    delta=1.0, min_gain=1e-6, halvings=4,
-) -> DataFrame:
+    delta=1.0, min_gain=1e-6, halvings=4, report=False,
+):
     """Poses that minimise the weighted edge residuals with a prior on each map's first node.
 
     ``nodes``: map_id, kf_id, pose. ``edges``: map_id, from_id, to_id, meas, info, type. Gauss-Newton;
     a map takes a step only if its objective falls, halving the step a few times before giving up,
-    and stops when the gain is small. Output: map_id, kf_id, pose.
+    and stops when the gain is small. Output: map_id, kf_id, pose; with ``report`` also a table
+    map_id, cost, steps, gradient (norm at the last linearization), converged (false if the steps ran
+    out first).
     """
     edges = materialize(edge_noise(edges))
     poses = materialize(nodes.select(*NODE, "pose"))
     roots = anchor_row(poses.withColumnRenamed("pose", "opt"))
     priors = materialize(roots.select(*NODE, F.col("opt").alias("_prior")))
-    cost = materialize(objective(edges, poses, priors, kind, delta).withColumn("active", F.lit(True)))
+    start = {"active": F.lit(True), "steps": F.lit(0), "gradient": F.lit(None).cast("double")}
+    cost = materialize(objective(edges, poses, priors, kind, delta).withColumns(start))
     for _ in range(iterations):
         live = cost.filter("active").select("map_id")
         if live.isEmpty():
@@ -390,11 +393,19 @@ def relax_pose_graph(
             .unionByName(prior.select(*NODE, eye.alias("diag"), grad.alias("b")))
         )
         system = _sum_arrays(ends, NODE, diag=36, b=6).withColumn("inv", _invert("diag"))
+        system = materialize(system)
+        square = F.aggregate("b", F.lit(0.0), lambda total, v: total + v * v)
+        norm = system.groupBy("map_id").agg(F.sqrt(F.sum(square)).alias("_norm"))
+        cost = cost.join(norm, "map_id", "left").withColumns(
+            {"gradient": F.coalesce("_norm", "gradient"), "steps": F.col("steps") + F.col("active").cast("int")}
+        ).drop("_norm")
         step = materialize(
             _solve_step(blocks.select("map_id", "from_id", "to_id", "h_ft"), system, cg_iterations, cg_tol)
         )
-        poses, cost = _take_step(poses, step, cost, edges, priors, kind, delta, min_gain, halvings)
-    return poses
+        poses, cost = _take_step(poses, step, materialize(cost), edges, priors, kind, delta, min_gain, halvings)
+    if not report:
+        return poses
+    return poses, cost.select("map_id", "cost", "steps", "gradient", (~F.col("active")).alias("converged"))
 
 
 def _take_step(poses, step, cost, edges, priors, kind, delta, min_gain, halvings):
@@ -428,6 +439,8 @@ def _take_step(poses, step, cost, edges, priors, kind, delta, min_gain, halvings
     new_cost = cost.join(gain, "map_id", "left").select(
         "map_id",
         F.coalesce("_cost", "cost").alias("cost"),
+        "steps",
+        "gradient",
         (F.col("active") & F.coalesce("_go", F.lit(False))).alias("active"),
     )
     return materialize(new_poses), materialize(new_cost)

@@ -117,13 +117,11 @@ def _l2_kernel(a, b):
 
 
 def _polar_kernel(a, b):
-    rows = [V.polar_distance_one(x, y, V.POLAR_CHANNELS, V.POLAR_WEIGHTS) for x, y in zip(a, b)]
-    return [[r[0] for r in rows], [r[1] for r in rows]]
+    return V.polar_distances(a, b, V.POLAR_CHANNELS, V.POLAR_WEIGHTS)
 
 
 def _classic_kernel(a, b):
-    rows = [V.polar_distance_one(x, y, 1, (1.0,), eps=0.0, order="sorted") for x, y in zip(a, b)]
-    return [[r[0] for r in rows], [r[1] for r in rows]]
+    return V.polar_distances(a, b, 1, (1.0,), eps=0.0, order="sorted")
 
 
 def _rank(df, by, name, part=("map_id", "query_id")):
@@ -137,12 +135,10 @@ def knn_two_stage(
     """Nearest frames by full descriptor among the preselected nearest by coarse key.
 
     Output: map_id, query_id, match_pos, distance, rank. ``limit`` of the queries is applied
-    before the preselection.
+    before the preselection. Without one (``preselect`` 0 or less) every allowed frame is scored.
     """
     top_k = max(1, top_k)
-    m = max(top_k, preselect) if preselect > 0 else None
-    if m is None:
-        raise ValueError("preselect must be positive")
+    m = max(top_k, preselect) if preselect > 0 else 1 << 40
     chosen = top_by_key(queries, base, m, coarse, block)
     kernel = _rhpd_kernel if metric == "rhpd" else _l2_kernel
     scored = score_pairs(chosen, queries, base, full, kernel, [("distance", "double")])

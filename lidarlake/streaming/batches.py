@@ -17,6 +17,7 @@ from lidarlake.plans.loops import (
     close_loops,
     cross_map_only,
     loop_edges,
+    thin_queries,
     verify_cross_loops,
 )
 from lidarlake.session import materialize
@@ -97,8 +98,8 @@ def changed_maps(spark: SparkSession, path: str, published: DataFrame) -> DataFr
 def loop_microbatch(path: str, frames_of, keyframes_of, edges_of, points_of, gap=5, detect=None, options=None):
     """Batch function: candidates of the new keyframes, one loop round, new poses, edges and log.
 
-    ``frames_of()`` gives the descriptors with positions; tables of earlier versions supply poses
-    and edges once there are any.
+    ``frames_of()`` gives the descriptors with positions; tables of earlier versions supply poses,
+    edges and the last query id kept per map once there are any, so that ``gap`` holds across batches.
     """
 
     def run(batch: DataFrame, batch_id: int):
@@ -107,7 +108,8 @@ def loop_microbatch(path: str, frames_of, keyframes_of, edges_of, points_of, gap
         frames = frames_of()
         queries = frames.join(new, ["map_id", "kf_id"], "left_semi")
         candidates = materialize(detect_loops(frames, queries, **(detect or {})))
-        old = read_version(spark, path, ("poses", "loops"), batch_id)
+        old = read_version(spark, path, ("poses", "loops", "gaps"), batch_id)
+        candidates, gaps = after_gap(candidates, old.get("gaps"), gap)
         keyframes, edges = keyframes_of(), edges_of()
         history = None
         if old:
@@ -122,7 +124,7 @@ def loop_microbatch(path: str, frames_of, keyframes_of, edges_of, points_of, gap
         write_version(
             spark, path, batch_id,
             {
-                "poses": poses, "loops": every, "pairs": loop_pair_history(every),
+                "poses": poses, "loops": every, "pairs": loop_pair_history(every), "gaps": gaps,
                 "log": optimization_rows(keyframes, "loop", report),
             },
         )
@@ -130,6 +132,20 @@ def loop_microbatch(path: str, frames_of, keyframes_of, edges_of, points_of, gap
     return run
 
 
+def after_gap(candidates: DataFrame, gaps: DataFrame | None, gap: int):
+    """Candidates at least ``gap`` after the last query of an earlier batch, and the new last ids.
+
+    ``gaps``: map_id, last_id. What is left is thinned as if all batches had been one.
+    """
+    if gaps is not None:
+        far = F.col("last_id").isNull() | (F.col("query_id") - F.col("last_id") >= gap)
+        candidates = candidates.join(gaps, ["map_id"], "left").filter(far).drop("last_id")
+    kept = thin_queries(candidates, gap).groupBy("map_id").agg(F.max("query_id").alias("last_id"))
+    if gaps is not None:
+        kept = kept.unionByName(gaps).groupBy("map_id").agg(F.max("last_id").alias("last_id"))
+    return candidates, materialize(kept)
+
+
 def cross_loop_microbatch(path: str, frames_of, keyframes_of, points_of, detect=None, min_inlier=0.5,
                           max_fitness=0.3, options=None):
     """Batch function for sessions that extend a loaded map: loops from new keyframes into it.

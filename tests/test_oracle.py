@@ -11,7 +11,6 @@ SF = "/root/testdata/sf0.001"
 # Iterative jobs; run them with LIDARLAKE_SLOW=1 or through tests.compare.
 SLOW = {
     "register_pairs", "refine_pairs", "verify_pairs_keyframe", "align_batch", "seeded_best", "verify_loops",
-    "read_map", "read_map_salvage", "read_nav_resource",
 }
 NAMES = [n for n in all_oracles() if os.environ.get("LIDARLAKE_SLOW") or n not in SLOW]
 
