@@ -10,7 +10,8 @@ many shingles first, since they say most. Should a set fill no more than D words
 band also meet on the smallest shingle hashes of their prefix.
 
 Equal sets are one class from the start. Members of a word meet its smallest member only; candidates
-are compared on whole texts, linked ones are joined to components, and only members of different
+that dense parity sketches of a few bits per shingle do not rule out are compared on whole texts,
+linked ones are joined to components, and only members of different
 components that still share a word are compared after that. So a group of copies, of any size, needs
 about one comparison per member, and no link between components is lost.
 
@@ -36,21 +37,12 @@ FILL = 2.2
 SMALL = 32
 #: Members compared with one other document in one group.
 GROUP = 500
+#: Rows (of 40 bytes) of a table of pairs that is broadcast at most.
+MOST_SENT = 100_000
 _LAST = (1 << 63) - 1
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word):
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_word_hash = _WordHashes().__getitem__
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * _M2
@@ -58,18 +50,71 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _powers(n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, _M1)]))
+
+
+# One random number per byte value; a word's hash is their sum times powers of an odd number.
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * _M3)
+_LOW, _PAGE = _powers(1 << 16), 16
+
+
+def _word_hashes(data: np.ndarray):
+    """(hash, first byte) of each word of a buffer of lower-case text."""
+    word = ~_SPACE[data]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    first = np.flatnonzero(first)
+    if not len(first):
+        return np.zeros(0, np.uint64), first
+    start = first[0]
+    span = np.diff(np.append(first, len(data)))
+    place = np.arange(start, len(data)) - np.repeat(first, span)
+    value = _BYTES[data[start:]] * word[start:]
+    value *= _LOW[place & ((1 << _PAGE) - 1)]
+    if span.max() > 1 << _PAGE:
+        value *= _powers_of(int(span.max() >> _PAGE) + 1)[place >> _PAGE]
+    return mixed(np.add.reduceat(value, first - start)), first
+
+
+def _powers_of(n):
+    """Powers of the multiplier of a whole page."""
+    step = _LOW[-1] * _M1
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, step)]))
+
+
+def shingle_sets(texts: list, width=5) -> list:
+    """Sorted distinct 64-bit hashes of the word shingles of each text."""
+    size = np.array([len(t) + 1 for t in texts])
+    begin = np.cumsum(size) - size
+    h, first = _word_hashes(np.frombuffer(b"\n".join(texts).lower(), np.uint8))
+    at = np.searchsorted(first, np.append(begin, size.sum()))
+    whole = max(0, len(h) - width + 1)
+    runs = np.full(whole, width, np.uint64)
+    for j in range(width):
+        runs = runs * _M1 + h[j : j + whole]
+    runs = mixed(runs)
+    out = []
+    for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+        if j - i >= width:
+            s = np.sort(runs[i : j - width + 1])
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+        elif j > i:
+            one = np.uint64([j - i])
+            for k in range(i, j):
+                one = one * _M1 + h[k]
+            out.append(mixed(one))
+        else:
+            out.append(h[:0])
+    return out
+
+
 def shingle_set(text: bytes, width=5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a text."""
-    words = text.lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_word_hash, words), np.uint64, n)
-    size = min(n, width)
-    out = np.full(n - size + 1, size, np.uint64)
-    for j in range(size):
-        out = out * _M1 + h[j : n - size + 1 + j]
-    return np.unique(mixed(out))
+    return shingle_sets([text], width)[0]
 
 
 def band(n: int) -> int:
@@ -125,22 +170,45 @@ def short_bands(hashes: np.ndarray, percent: int, fill=FILL) -> list:
     return out
 
 
+def parity_bits(hashes: np.ndarray) -> bytes:
+    """Dense parity sketch: each shingle toggles one of about two to four bits per shingle."""
+    size = max(64, 4 << band(max(1, len(hashes))))
+    flips = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
+
+
+def parity_distance(a: bytes, b: bytes) -> int:
+    """Bits in which two dense sketches differ, at most the size of the symmetric difference."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    x, y = (x, y) if len(x) >= len(y) else (y, x)
+    # Sizes are powers of two and positions the low bits of a hash: a longer sketch folds onto a shorter.
+    x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def shingle_classes(df: DataFrame, id_col="doc_id", text_col="text", width=5, percent=75, fill=FILL) -> DataFrame:
-    """Written narrow table (doc, n, cls, short): set size, hash of the whole set, bands it is short in."""
+    """Written narrow table (doc, n, cls, short, bits): set size, hash of the set, bands it is short in, sketch."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                n, cls, short = [], [], []
-                for t in as_bytes(part.column("text")):
-                    s = shingle_set(t, width)
-                    n.append(len(s))
-                    cls.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    short.append(short_bands(s, percent, fill) if len(s) else [])
-                arrays = [part.column("doc"), pa.array(n, pa.int64()), fixed_binary(b"".join(cls), 16)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(short, pa.list_(pa.int32()))], ["doc", "n", "cls", "short"])
+                sets = shingle_sets(as_bytes(part.column("text")), width)
+                short = [short_bands(s, percent, fill) if len(s) else [] for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc"), pa.array([len(s) for s in sets], pa.int64()),
+                        fixed_binary(b"".join(map(_class_of, sets)), 16), pa.array(short, pa.list_(pa.int32())),
+                        pa.array(map(parity_bits, sets), pa.binary()),
+                    ],
+                    ["doc", "n", "cls", "short", "bits"],
+                )
+
+    ddl = "doc long, n long, cls binary, short array<int>, bits binary"
+    return materialize(_rows(df, id_col, text_col).mapInArrow(run, ddl))
 
-    return materialize(_rows(df, id_col, text_col).mapInArrow(run, "doc long, n long, cls binary, short array<int>"))
+
+def _class_of(s):
+    return xxhash.xxh3_128_digest(s.tobytes())
 
 
 def _rows(df, id_col, text_col):
@@ -149,22 +217,58 @@ def _rows(df, id_col, text_col):
 
 
 def candidate_words(rows: DataFrame, width=5, percent=75, fill=FILL, lost_bands=()) -> DataFrame:
-    """Rows (word, doc, n) of the sketch words the documents meet on."""
+    """Rows (word, node, n) of the sketch words that sets meet on.
+
+    A node is the first half of a set's hash, so copies are one node; a task emits it once.
+    """
 
     def run(batches):
+        seen = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                keys, size = [], []
-                for t in as_bytes(part.column("text")):
-                    s = shingle_set(t, width)
-                    keys.append(signatures(s, percent, fill, lost_bands) if len(s) else s)
+                keys, size, nodes = [np.zeros(0, np.uint64)], [0], [0]
+                for s in shingle_sets(as_bytes(part.column("text")), width):
+                    node = int.from_bytes(_class_of(s)[:8], "little", signed=True)
+                    if not len(s) or node in seen:
+                        continue
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(node)
+                    keys.append(signatures(s, percent, fill, lost_bands))
                     size.append(len(s))
+                    nodes.append(node)
                 many = [len(k) for k in keys]
-                docs = np.repeat(part.column("doc").to_numpy(), many)
-                arrays = [np.concatenate(keys).view(np.int64), docs, np.repeat(np.array(size, np.int32), many)]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["word", "doc", "n"])
+                arrays = [np.concatenate(keys).view(np.int64), np.repeat(np.array(nodes, np.int64), many), np.repeat(np.array(size, np.int32), many)]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["word", "node", "n"])
+
+    return rows.mapInArrow(run, "word long, node long, n int")
 
-    return rows.mapInArrow(run, "word long, doc long, n int")
+
+def _node(cls):
+    """The node of a set hash, as candidate_words has it."""
+    little = F.concat(*[F.substring(F.hex(cls), 2 * i + 1, 2) for i in range(7, -1, -1)])
+    high, low = F.conv(F.substring(little, 1, 8), 16, 10).cast("long"), F.conv(F.substring(little, 9, 8), 16, 10).cast("long")
+    return F.shiftleft(high, 32).bitwiseOR(low)
+
+
+def close_pairs(pairs: DataFrame, classes: DataFrame, percent=75) -> DataFrame:
+    """Pairs of nodes (x, y) as pairs of documents (a, b) whose dense sketches do not rule them out."""
+    side = classes.select("node", "rep", "n", "bits")
+    rows = pairs.join(side.toDF("x", "a", "na", "bits_a"), "x").join(side.toDF("y", "b", "nb", "bits_b"), "y")
+    rows = rows.where(_fits(F.col("na"), F.col("nb"), percent)).where("a <> b")
+
+    def run(batches):
+        for batch in batches:
+            n = [batch.column(c).to_pylist() for c in ("na", "nb")]
+            bits = [batch.column(c).to_pylist() for c in ("bits_a", "bits_b")]
+            keep = [
+                parity_distance(x, y) * (100 + percent) <= (a + b) * (100 - percent)
+                for a, b, x, y in zip(*n, *bits)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    found = rows.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _fits(a, b, percent):
@@ -177,8 +281,10 @@ def linked_pairs(rows: DataFrame, pairs: DataFrame, width=5, percent=75) -> Data
     members = pairs.join(groups, "a").withColumn("chunk", F.abs(F.hash("b")) % (F.col("chunks") + 1))
     members = members.select(F.col("b").alias("doc"), F.col("a").alias("hub"), "chunk", F.lit(1).alias("role"))
     heads = groups.select(F.col("a").alias("doc"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), "chunks")).alias("chunk"))
-    wanted = members.union(heads.withColumn("role", F.lit(0)))
-    texts = wanted.join(rows, "doc").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role")
+    wanted = materialize(members.union(heads.withColumn("role", F.lit(0))))
+    # Few pairs go to the texts; beyond the limit texts and pairs are shuffled.
+    small = wanted.count() <= MOST_SENT
+    texts = rows.join(F.broadcast(wanted) if small else wanted, "doc").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role")
 
     def run(batches):
         hub, heads = None, []
@@ -186,8 +292,7 @@ def linked_pairs(rows: DataFrame, pairs: DataFrame, width=5, percent=75) -> Data
             for part in slices(batch, "text"):
                 a, b = [], []
                 ids = zip(*(part.column(c).to_pylist() for c in ("hub", "chunk", "role", "doc")))
-                for (h, c, role, doc), text in zip(ids, as_bytes(part.column("text"))):
-                    s = shingle_set(text, width)
+                for (h, c, role, doc), s in zip(ids, shingle_sets(as_bytes(part.column("text")), width)):
                     if (h, c) != hub:
                         hub, heads = (h, c), []
                     if role == 0:
@@ -214,37 +319,43 @@ def similarity_components(df: DataFrame, id_col="doc_id", text_col="text", width
     sets = shingle_classes(df, id_col, text_col, width, percent, fill)
     lost = [r[0] for r in sets.select(F.explode("short")).distinct().collect()]  # at most 64 values
     full = sets.where("n > 0")
-    classes = materialize(full.groupBy("cls").agg(F.min("doc").alias("rep")))
-    reps = classes.select(F.col("rep").alias("doc")).distinct()
+    classes = full.groupBy("cls").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    classes = materialize(classes.withColumn("node", _node(F.col("cls"))))
     rows = _rows(df, id_col, text_col)
-    words = candidate_words(rows.join(reps, "doc", "left_semi"), width, percent, fill, lost)
+    words = candidate_words(rows, width, percent, fill, lost)
     same = Window.partitionBy("word")
-    words = words.withColumn("hub", F.min(F.struct("doc", "n")).over(same)).withColumn("last", F.max("doc").over(same))
-    words = materialize(words.where(F.col("hub.doc") < F.col("last")).select("word", "doc", "n", "hub"))
-    first = words.where(F.col("doc") > F.col("hub.doc")).where(_fits(F.col("n"), F.col("hub.n"), percent))
-    first = materialize(first.select(F.col("hub.doc").alias("a"), F.col("doc").alias("b")).distinct())
+    words = words.withColumn("hub", F.min(F.struct("node", "n")).over(same)).withColumn("last", F.max("node").over(same))
+    words = words.where(F.col("hub.node") < F.col("last"))
+    words = materialize(words.select("word", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")))
+    first = words.where(F.col("node") > F.col("hub")).where(_fits(F.col("n"), F.col("hub_n"), percent))
+    first = materialize(first.select(F.col("hub").alias("x"), F.col("node").alias("y")).distinct())
+    # Different sets with one node, should there be any, are compared as well.
+    twins = classes.groupBy("node").agg(F.min("rep").alias("r"), F.max("rep").alias("s")).where("r < s").select("node")
+    twins = twins.select(F.col("node").alias("x"), F.col("node").alias("y"))
+    tried = close_pairs(first.union(twins), classes, percent)
     # Rows of one doc_id with different texts belong together.
-    owners = full.join(classes, "cls").groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("z"))
-    owners = owners.where("a < z").select("doc", "a")
-    several = full.join(classes, "cls").join(owners, "doc").select("a", F.col("rep").alias("b")).where("a <> b")
-    links = materialize(linked_pairs(rows, first, width, percent).union(several))
+    placed = full.join(classes.select("cls", "rep"), "cls")
+    owners = placed.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc", "a")
+    several = placed.join(owners, "doc").select("a", F.col("rep").alias("b")).where("a <> b")
+    links = materialize(linked_pairs(rows, tried, width, percent).union(several))
     parts = components(links)
     # What still shares a word across components has to be compared as well.
-    placed = words.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left")
-    placed = placed.select("word", "doc", "n", F.coalesce("component", "doc").alias("part"))
-    mixed_words = placed.groupBy("word").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q")
-    placed = materialize(placed.join(mixed_words.select("word"), "word"))
-    other = placed.select("word", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("part").alias("part_b"))
-    left = placed.withColumnRenamed("doc", "a").join(other, "word").where("part <> part_b and a < b")
-    left = left.where(_fits(F.col("n"), F.col("m"), percent)).select("a", "b").distinct()
-    left = materialize(left.join(first, ["a", "b"], "left_anti"))
+    homes = classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    homes = homes.select("node", F.coalesce("component", "rep").alias("part"))
+    placed = words.select("word", "node", "n").join(homes, "node")
+    apart = placed.groupBy("word").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("word")
+    placed = materialize(placed.join(apart, "word"))
+    other = placed.select("word", F.col("node").alias("y"), F.col("n").alias("m"), F.col("part").alias("part_y"))
+    left = placed.withColumnRenamed("node", "x").join(other, "word").where("part <> part_y and x < y")
+    left = left.where(_fits(F.col("n"), F.col("m"), percent)).select("x", "y").distinct()
+    left = materialize(close_pairs(left.join(first, ["x", "y"], "left_anti"), classes, percent))
     if not left.isEmpty():
         links = materialize(links.union(linked_pairs(rows, left, width, percent)))
         parts = components(links)
     known = materialize(parts.distinct())
-    out = sets.join(classes, "cls", "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc")))
+    out = sets.join(classes.select("cls", "rep"), "cls", "left")
+    out = out.withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc")))
     out = out.join(known.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep")
+    out = out.withColumn("found", F.coalesce("component", "rep"))
     ids = [F.when(F.col(c) < _LAST, F.col(c)) for c in ("doc", "found")]
-    out = out.withColumn("found", component).select(ids[0].alias(id_col), F.col("n").alias("n_shingles"), ids[1].alias("component_id"))
-    return out
+    return out.select(ids[0].alias(id_col), F.col("n").alias("n_shingles"), ids[1].alias("component_id"))
