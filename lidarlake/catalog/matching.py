@@ -254,8 +254,8 @@ _RAY = (
     "ray as (select map_id, kf_id, sqrt(x*x+y*y+z*z) as r, (case when degrees(atan2(y, x)) < 0 then degrees(atan2(y, x)) + 360 else degrees(atan2(y, x)) end) as az, degrees(atan2(z, sqrt(x*x+y*y))) as el, "
     "x, y, z, pt_id from {src})"
 )
-# Only the forward half of each cloud, so that the field of view is not full.
-_HALF = f"{with_views('points')}, half as (select * from points where x > 1.0), {_RAY.format(src='half')}"
+# The rear half of each cloud is mirrored to the front, so that the field of view is not full.
+_HALF = f"{with_views('points')}, half as (select * replace (abs(x) + 1.0 as x) from points), {_RAY.format(src='half')}"
 _ENV = (
     f"{_HALF}, ok as (select * from ray where r between 0.5 and 30), gp as (select map_id, kf_id, az as a, coalesce(lead(az) over w, first_value(az) over (partition by map_id, kf_id order by az) + 360) as b from "
     "ok window w as (partition by map_id, kf_id order by az)), g as (select map_id, kf_id, max(b - a) as gap, arg_max(b, (b - a, -a)) as b from gp group by 1, 2), q as (select map_id, kf_id, quantile_cont(el, 0.01) as v1, "
@@ -266,7 +266,7 @@ _ENV = (
 
 
 def half_points(spark, sf):
-    return points(spark, sf).filter("x > 1.0")
+    return points(spark, sf).withColumn("x", F.abs("x") + 1.0)
 
 
 def envelope(spark, sf):

@@ -575,11 +575,11 @@ def by_id(spark, sf):
 @query(
     "assign_ids",
     f"{with_views('odom', 'keyframes')}, m as (select map_id, max(kf_id) as max_id from keyframes group by 1) select o.map_id, event_id, coalesce(max_id, -1) + "
-    "row_number() over (partition by o.map_id order by event_id) as kf_id from (select session_id % 7 as map_id, event_id from odom where event_type = 'view') o "
+    "row_number() over (partition by o.map_id order by event_id) as kf_id from (select session_id % 7 as map_id, event_id from odom) o "
     "left join m on o.map_id = m.map_id",
 )
 def assign_ids(spark, sf):
-    o = view(spark, sf, "odom").filter("event_type = 'view'").select((F.col("session_id") % 7).alias("map_id"), "event_id")
+    o = view(spark, sf, "odom").select((F.col("session_id") % 7).alias("map_id"), "event_id")
     top = keyframes(spark, sf).groupBy("map_id").agg(F.max("kf_id").alias("max_id"))
     return ranking.assign_ids(o, top, "event_id")
 
