@@ -9,6 +9,7 @@ decodes to an empty text; special strings in a text become their ids (the tokeni
 an empty table gives no rows; long texts are taken in blocks cut at word boundaries.
 """
 
+import hashlib
 import json
 import unicodedata
 
@@ -23,7 +24,7 @@ from lidarlake.llm.common import blocks, slices
 from lidarlake.llm.token_counts import byte_alphabet, merge
 
 #: Words and fragments remembered per worker process; the memory starts anew beyond it.
-MAX_REMEMBERED = 400_000
+MAX_REMEMBERED = 300_000
 
 
 class _Words(dict):
@@ -78,6 +79,8 @@ class WordBpe:
         letters = "".join(map(self.letters.__getitem__, data))
         b = np.frombuffer(data, np.uint8)
         cuts = [0, *(np.flatnonzero(~self.joined[b[:-1], b[1:]]) + 1).tolist(), len(b)]
+        if len(cuts) == 2:
+            return self._fragment((letters, True))
         parts = [(letters[i:j], j == len(b)) for i, j in zip(cuts, cuts[1:])]
         return b"".join(map(self.fragments.__getitem__, parts))
 
@@ -113,20 +116,25 @@ def word_bpe(path: str) -> WordBpe:
 
 
 def _with(df, column, kind, fields, types, run):
-    """``df`` with result columns computed from one column; others of the same name give way."""
+    """``df`` with result columns computed from one column, which comes back as ``kind``.
+
+    Columns of the same name give way.
+    """
     names = [f.name for f in fields]
     kept = [c for c in df.columns if c not in names]
-    rows = df.select(F.struct(*kept).alias("row"), F.col(column).cast(kind).alias("value"))
+    rest = F.struct(F.lit(True).alias("_"), *[c for c in kept if c != column])
+    rows = df.select(rest.alias("row"), F.col(column).cast(kind).alias("value"))
 
     def apply(batches):
         for batch in batches:
             for part in slices(batch, "value"):
                 values = list(zip(*map(run, part.column("value").to_pylist())))
                 arrays = [pa.array(v, t) for v, t in zip(values, types)]
-                yield pa.RecordBatch.from_arrays([part.column("row"), *arrays], ["row", *names])
+                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], ["row", "value", *names])
 
-    done = rows.mapInArrow(apply, StructType([StructField("row", rows.schema["row"].dataType), *fields]))
-    return done.select(*[F.col("row").getField(c).alias(c) for c in kept], *names)
+    done = rows.mapInArrow(apply, StructType([*rows.schema.fields, *fields]))
+    columns = [(F.col("value") if c == column else F.col("row").getField(c)).alias(c) for c in kept]
+    return done.select(*columns, *names)
 
 
 def encode(df: DataFrame, tokenizer: str, text_col="text") -> DataFrame:
@@ -149,10 +157,27 @@ def decode(df: DataFrame, tokenizer: str, ids_col="ids") -> DataFrame:
     return _with(df, ids_col, "binary", [StructField("decoded", StringType())], [pa.string()], run)
 
 
+def round_trip(df: DataFrame, tokenizer: str, text_col="text", with_ids=True) -> DataFrame:
+    """``df`` with n_tokens, ids (if wanted) and the SHA-256 of the ids and of the decoded text.
+
+    Both directions in one pass, so decoded texts stay in the worker.
+    """
+
+    def run(text):
+        own = word_bpe(tokenizer)
+        ids = own.encode(text or "")
+        digests = hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()
+        return (len(ids) // 4, *digests, ids) if with_ids else (len(ids) // 4, *digests)
+
+    fields = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
+    types = [pa.int64(), pa.string(), pa.string()]
+    if with_ids:
+        fields, types = [*fields, StructField("ids", BinaryType())], [*types, pa.binary()]
+    return _with(df, text_col, "string", fields, types, run)
+
+
 def encoded_digests(df: DataFrame, tokenizer: str, id_col="doc_id", text_col="text") -> DataFrame:
     """Per row: the id, n_tokens and the SHA-256 of ids and of the decoded text."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = encode(rows, tokenizer).select("id", "n_tokens", "ids")
-    rows = decode(rows, tokenizer)
-    digests = F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    return rows.select(F.col("id").alias(id_col), "n_tokens", *digests)
+    rows = round_trip(rows, tokenizer, with_ids=False)
+    return rows.select(F.col("id").alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256")

@@ -234,8 +234,10 @@ def test_encoding_and_counts(spark, rows):
         raw = np.array(ids, "<u4").tobytes()
         want.append((d, len(ids), hashlib.sha256(raw).hexdigest(), plain.sha(library.decode(ids, skip_special_tokens=False))))
     assert ordered(map(tuple, got)) == ordered(want)
-    kept = bpe.encode(table_of(spark, rows), path)
-    assert kept.count() == len(rows) and kept.first()["row"] == "own row"
+    kept = bpe.decode(bpe.encode(table_of(spark, rows), path), path)
+    assert kept.columns[-1] == "decoded" and kept.first()["row"] == "own row"
+    assert ordered((r.doc_id, r.n_tokens, hashlib.sha256(r.ids).hexdigest(), plain.sha(r.decoded)) for r in kept.collect()) == ordered(want)
+    assert bpe.encode(kept.select("text"), path).count() == len(rows)
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
     got = token_counts.count_tokens(table_of(spark, rows), path).collect()

@@ -151,10 +151,13 @@ def test_sketch_words_bound_the_difference():
         b = np.unique(np.concatenate([a[: -max(1, n // 8)] if n > 2 else a, rnd.integers(0, 1 << 63, n // 9).astype(np.uint64)]))
         apart = len(np.setxor1d(a, b))
         for k in {k for k, _ in jaccard_join.bands(len(a), 75)} & {k for k, _ in jaccard_join.bands(len(b), 75)}:
-            words = [dict(zip(*(x.tolist() for x in jaccard_join.sketch(s, k, 2.2)[::-2]))) for s in (a, b)]
+            words = [dict(zip(*(x.tolist() for x in jaccard_join.sketch(s, k, 2.2)[2::-2]))) for s in (a, b)]
             assert sum(words[0].get(i) != words[1].get(i) for i in {*words[0], *words[1]}) <= apart
         if 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b)):
-            assert set(jaccard_join.signatures(a, 75).tolist()) & set(jaccard_join.signatures(b, 75).tolist())
+            for common in (jaccard_join.NOTHING, (a[::2], np.full(len(a[::2]), 5, np.uint8))):
+                found = [set(jaccard_join.signatures(s, 75, common=common).tolist()) for s in (a, b)]
+                assert found[0] & found[1]
+        assert jaccard_join.parity_distance(jaccard_join.parity_bits(a), jaccard_join.parity_bits(b)) <= apart
 
 
 PAGE = """<!doctype html><html><head><title>t</title><style>p{}</style></head><body class="has-sidebar">
