@@ -5,8 +5,10 @@ is XORed into it. Every shingle that only one of two documents has changes one w
 words in which two sketches differ is at most the size of the symmetric difference. Two sets of sizes a
 and b that reach the similarity differ in at most D = (a + b)(1 - t) / (1 + t) shingles; of any D + 1
 non-empty words of one document at least one is a word of the other. Documents meet per size band (a
-power of two and its lower neighbours) on D + 1 of their words, chosen in one global order: words of
-many shingles first, since they say most. Should a set fill no more than D words, all documents of its
+power of two and its lower neighbours) on D + 1 of their words, chosen in one global order: first words
+that hold a shingle not known to be common, then words of many shingles, since they say most. Common
+shingles are counted over all documents, block by block, and summed; the list only shapes the order,
+so its bounded length costs speed at most, never a link. Should a set fill no more than D words, all documents of its
 band also meet on the smallest shingle hashes of their prefix.
 
 Equal sets are one class from the start. Members of a word meet its smallest member only; candidates
@@ -37,6 +39,8 @@ FILL = 2.2
 SMALL = 32
 #: Members compared with one other document in one group.
 GROUP = 500
+#: A shingle counts as common in a block of documents from so many sets on; so many of them are kept.
+COMMON, MOST_COMMON = 3, 200_000
 #: Rows (of 40 bytes) of a table of pairs that is broadcast at most.
 MOST_SENT = 100_000
 _LAST = (1 << 63) - 1
@@ -133,25 +137,40 @@ def bands(n: int, percent: int):
 
 
 def sketch(hashes: np.ndarray, k: int, fill: float):
-    """(words, shingle counts, positions) of the non-empty sketch words in band k."""
+    """(words, shingle counts, positions, first shingles) of the non-empty sketch words in band k."""
     top = 2 << k
     size = top * 64 if top <= SMALL else int(top / fill) + 1
     at = ((hashes >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)
     # Hashes are sorted, so their positions are too.
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     words = np.bitwise_xor.reduceat(hashes, first)
-    return words, np.diff(np.append(first, len(hashes))), at[first]
+    return words, np.diff(np.append(first, len(hashes))), at[first], first
 
 
-def signatures(hashes: np.ndarray, percent: int, fill=FILL, lost_bands=()) -> np.ndarray:
+def commonness(hashes: np.ndarray, common: tuple) -> np.ndarray:
+    """0 for a shingle that is not in the list (sorted hashes, levels), else its level."""
+    known, level = common
+    if not len(known):
+        return np.zeros(len(hashes), np.uint8)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, level[at], 0).astype(np.uint8)
+
+
+NOTHING = (np.zeros(0, np.uint64), np.zeros(0, np.uint8))
+
+
+def signatures(hashes: np.ndarray, percent: int, fill=FILL, lost_bands=(), common=NOTHING) -> np.ndarray:
     """Keys on which a set meets all sets that may be similar."""
     n, out = len(hashes), []
+    level = commonness(hashes, common)
     for k, most in bands(n, percent):
         differ = (n + most) * (100 - percent) // (100 + percent)
-        words, counts, at = sketch(hashes, k, fill)
+        words, counts, at, first = sketch(hashes, k, fill)
         keys = mixed(words ^ mixed(at * _M1 + np.uint64(k)))
         if len(keys) > differ + 1:
-            order = (np.minimum(255, 255 - np.minimum(counts, 255)).astype(np.uint64) << np.uint64(56)) | (keys >> np.uint64(8))
+            # The least common shingle of a word, then the number of its shingles, then the key.
+            order = np.minimum.reduceat(level, first).astype(np.uint64) << np.uint64(58)
+            order |= (255 - np.minimum(counts, 255)).astype(np.uint64) << np.uint64(50) | keys >> np.uint64(14)
             keys = keys[np.argpartition(order, differ)[: differ + 1]]
         out.append(keys)
         if k in lost_bands:
@@ -187,23 +206,33 @@ def parity_distance(a: bytes, b: bytes) -> int:
 
 
 def shingle_classes(df: DataFrame, id_col="doc_id", text_col="text", width=5, percent=75, fill=FILL) -> DataFrame:
-    """Written narrow table (doc, n, cls, short, bits): set size, hash of the set, bands it is short in, sketch."""
+    """Written narrow table, a row per document.
+
+    doc, n (set size), cls (hash of the set), short (bands it fills too few words in), bits (dense
+    sketch), and on one row of each block of documents shared and times: the shingles that several
+    sets of the block hold, and how many.
+    """
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(as_bytes(part.column("text")), width)
                 short = [short_bands(s, percent, fill) if len(s) else [] for s in sets]
+                shared, times = np.unique(np.concatenate(list({s.tobytes(): s for s in sets}.values())), return_counts=True)
+                often = times >= COMMON
+                rest = [[]] * (len(sets) - 1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc"), pa.array([len(s) for s in sets], pa.int64()),
                         fixed_binary(b"".join(map(_class_of, sets)), 16), pa.array(short, pa.list_(pa.int32())),
                         pa.array(map(parity_bits, sets), pa.binary()),
+                        pa.array([shared[often].view(np.int64), *rest], pa.list_(pa.int64())),
+                        pa.array([times[often], *rest], pa.list_(pa.int64())),
                     ],
-                    ["doc", "n", "cls", "short", "bits"],
+                    ["doc", "n", "cls", "short", "bits", "shared", "times"],
                 )
 
-    ddl = "doc long, n long, cls binary, short array<int>, bits binary"
+    ddl = "doc long, n long, cls binary, short array<int>, bits binary, shared array<long>, times array<long>"
     return materialize(_rows(df, id_col, text_col).mapInArrow(run, ddl))
 
 
@@ -216,7 +245,17 @@ def _rows(df, id_col, text_col):
     return df.select(doc, F.col(text_col).cast("string").alias("text"))
 
 
-def candidate_words(rows: DataFrame, width=5, percent=75, fill=FILL, lost_bands=()) -> DataFrame:
+def common_shingles(sets: DataFrame, most=MOST_COMMON) -> tuple:
+    """(sorted hashes, levels 1 to 62 by the logarithm of their count) of the ``most`` common shingles."""
+    pairs = sets.where(F.size("shared") > 0).select(F.explode(F.arrays_zip("shared", "times")).alias("p"))
+    counts = pairs.groupBy(F.col("p.shared").alias("h")).agg(F.sum("p.times").alias("c"))
+    found = counts.orderBy(F.col("c").desc(), "h").limit(most).toPandas()
+    h, level = found["h"].to_numpy(np.int64).view(np.uint64), np.log2(found["c"].to_numpy(float).clip(1))
+    order = np.argsort(h)
+    return h[order], np.clip(level[order].astype(np.uint8), 1, 62)
+
+
+def candidate_words(rows: DataFrame, width=5, percent=75, fill=FILL, lost_bands=(), common=NOTHING) -> DataFrame:
     """Rows (word, node, n) of the sketch words that sets meet on.
 
     A node is the first half of a set's hash, so copies are one node; a task emits it once.
@@ -234,7 +273,7 @@ def candidate_words(rows: DataFrame, width=5, percent=75, fill=FILL, lost_bands=
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(node)
-                    keys.append(signatures(s, percent, fill, lost_bands))
+                    keys.append(signatures(s, percent, fill, lost_bands, common))
                     size.append(len(s))
                     nodes.append(node)
                 many = [len(k) for k in keys]
@@ -322,7 +361,7 @@ def similarity_components(df: DataFrame, id_col="doc_id", text_col="text", width
     classes = full.groupBy("cls").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     classes = materialize(classes.withColumn("node", _node(F.col("cls"))))
     rows = _rows(df, id_col, text_col)
-    words = candidate_words(rows, width, percent, fill, lost)
+    words = candidate_words(rows, width, percent, fill, lost, common_shingles(sets))
     same = Window.partitionBy("word")
     words = words.withColumn("hub", F.min(F.struct("node", "n")).over(same)).withColumn("last", F.max("node").over(same))
     words = words.where(F.col("hub.node") < F.col("last"))
