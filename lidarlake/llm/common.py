@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once inside a task; longer single texts are handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: A longer text is cut into blocks of about this size where that changes nothing.
 BLOCK_CHARS = 2 << 20
 #: The six ASCII white space characters that separate words everywhere here.
@@ -20,18 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batch: pa.RecordBatch, column: str):
+def slices(batch: pa.RecordBatch, column: str, most=None):
     """Cut a record batch into runs of rows with at most SLICE_BYTES of text each, or one row."""
+    most = most or SLICE_BYTES
     values = batch.column(column)
     width = np.diff(text_offsets(values))
     start = total = 0
     for i, n in enumerate(width):
-        if i > start and total + n > SLICE_BYTES:
+        if i > start and total + n > most:
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += int(n)
     if start < batch.num_rows:
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
 
 
 def text_offsets(values: pa.Array) -> np.ndarray:

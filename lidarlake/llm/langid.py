@@ -188,19 +188,24 @@ def parser(sample: dict) -> CrossParser:
     return _parsers[key]
 
 
-def predict_language(df: DataFrame, sample: dict, text_col="text") -> DataFrame:
-    """``df`` with lang_pred and score; ``sample`` as labelled_sample gives it."""
-    names = ["lang_pred", "score"]
+def predict_language(df: DataFrame, sample: dict, text_col="text", names=("lang_pred", "score")) -> DataFrame:
+    """``df`` with the predicted language and its score; ``sample`` as labelled_sample gives it.
+
+    The text comes back as a string.
+    """
+    names = list(names)
     kept = [c for c in df.columns if c not in names]
-    rows = df.select(F.struct(*kept).alias("row"), F.col(text_col).cast("string").alias("text"))
+    rest = F.struct(F.lit(True).alias("_"), *[c for c in kept if c != text_col])
+    rows = df.select(rest.alias("row"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 lang, score = parser(sample).predict(part.column("text").to_pylist())
-                arrays = [part.column("row"), pa.array(lang, pa.string()), pa.array(score, pa.float64())]
-                yield pa.RecordBatch.from_arrays(arrays, ["row", *names])
+                arrays = [*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())]
+                yield pa.RecordBatch.from_arrays(arrays, ["row", "text", "_lang", "_score"])
 
-    fields = [StructField("row", rows.schema["row"].dataType), StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+    fields = [*rows.schema.fields, StructField("_lang", StringType()), StructField("_score", DoubleType())]
     done = rows.mapInArrow(run, StructType(fields))
-    return done.select(*[F.col("row").getField(c).alias(c) for c in kept], *names)
+    columns = [(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in kept]
+    return done.select(*columns, F.col("_lang").alias(names[0]), F.col("_score").alias(names[1]))

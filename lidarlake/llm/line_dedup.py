@@ -69,8 +69,9 @@ def drop_repeated_lines(df: DataFrame, id_col="doc_id", text_col="text", min_cha
     # is one that adaptive execution splits.
     lost = lines.join(shared.select("key", "first"), "key").where("doc <> first")
     lost = lost.groupBy("doc").agg(F.collect_list("key").alias("lost"))
-    rows = df.select(F.struct(*df.columns).alias("row"), _doc(id_col).alias("doc")).join(lost, "doc", "left")
-    rows = rows.select("row", F.col(f"row.{text_col}").cast("string").alias("text"), "lost")
+    rest = F.struct(F.lit(True).alias("_"), *[c for c in df.columns if c != text_col])
+    rows = df.select(rest.alias("row"), F.col(text_col).cast("string").alias("text"), _doc(id_col).alias("doc"))
+    rows = rows.join(lost, "doc", "left").select("row", "text", "lost")
 
     def run(batches):
         for batch in batches:
