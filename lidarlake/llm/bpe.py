@@ -23,21 +23,25 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from lidarlake.llm.common import blocks, slices
 from lidarlake.llm.token_counts import byte_alphabet, merge
 
-#: Words and fragments remembered per worker process; the memory starts anew beyond it.
-MAX_REMEMBERED = 300_000
+#: Words, and fragments, a worker process remembers: so many new ones, and those of the generation before.
+MAX_REMEMBERED = 200_000
 
 
 class _Words(dict):
-    """Encoded ids of each word met so far."""
+    """Encoded ids of the words met lately; those met again move on to the next generation."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
     def __missing__(self, word):
+        ids = self.older.pop(word, None)
+        if ids is None:
+            ids = self.encode(word)
         if len(self) >= MAX_REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        ids = self[word] = self.encode(word)
+        self[word] = ids
         return ids
 
 
@@ -61,10 +65,11 @@ class WordBpe:
         self.find = regex.compile(split["pattern"]["Regex"]).findall
         self.letters = byte_alphabet()
         number = {c: b for b, c in self.letters.items()}
-        self.joined = np.zeros((256, 256), bool)
+        self.joined = set()
         for token in self.vocab:
             b = [number[c] for c in token.removesuffix(self.end)]
-            self.joined[b[:-1], b[1:]] = True
+            self.joined.update(zip(b, b[1:]))
+        self.raw = {t: i.to_bytes(4, "little") for t, i in self.vocab.items()}
         self.words, self.fragments = _Words(self._word), _Words(self._fragment)
 
     def _fragment(self, key):
@@ -72,16 +77,17 @@ class WordBpe:
         symbols = list(symbols)
         if last:
             symbols[-1] += self.end
-        return np.array([self.vocab[t] for t in merge(symbols, self.ranks)], "<u4").tobytes()
+        return b"".join(map(self.raw.__getitem__, merge(symbols, self.ranks)))
 
     def _word(self, word):
         data = word.encode()
-        letters = "".join(map(self.letters.__getitem__, data))
-        b = np.frombuffer(data, np.uint8)
-        cuts = [0, *(np.flatnonzero(~self.joined[b[:-1], b[1:]]) + 1).tolist(), len(b)]
-        if len(cuts) == 2:
+        plain = word.isascii() and word.isalpha()
+        letters = word if plain else "".join(map(self.letters.__getitem__, data))
+        inner = [i for i, pair in enumerate(zip(data, data[1:]), 1) if pair not in self.joined]
+        if not inner:
             return self._fragment((letters, True))
-        parts = [(letters[i:j], j == len(b)) for i, j in zip(cuts, cuts[1:])]
+        cuts = [0, *inner, len(data)]
+        parts = [(letters[i:j], j == len(data)) for i, j in zip(cuts, cuts[1:])]
         return b"".join(map(self.fragments.__getitem__, parts))
 
     def normalise(self, text):

@@ -8,13 +8,13 @@ non-empty words of one document at least one is a word of the other. Documents m
 power of two and its lower neighbours) on D + 1 of their words, chosen in one global order: first words
 that hold a shingle not known to be common, then words of many shingles, since they say most. Common
 shingles are counted over all documents, block by block, and summed; the list only shapes the order,
-so its bounded length costs speed at most, never a link. Should a set fill no more than D words, all documents of its
-band also meet on the smallest shingle hashes of their prefix.
+so its bounded length costs speed at most, never a link. Should a set fill no more than D words, all
+documents of its band also meet on the smallest shingle hashes of their prefix.
 
-Equal sets are one class from the start. Members of a word meet its smallest member only; candidates
-that dense parity sketches of a few bits per shingle do not rule out are compared on whole texts,
-linked ones are joined to components, and only members of different
-components that still share a word are compared after that. So a group of copies, of any size, needs
+Equal sets are one class from the start. Members of a word meet one of them, the hub, a set meets a
+few hubs; candidates that dense parity sketches of a few bits per shingle do not rule out are compared on whole texts,
+linked ones are joined to components. Members of different components that still share a word meet new
+hubs while that joins components, then each other. So a group of copies, of any size, needs
 about one comparison per member, and no link between components is lost.
 
 Defined results: a null text or one without words has no shingle and is linked with nothing; fewer than
@@ -37,10 +37,14 @@ from lidarlake.session import materialize
 FILL = 2.2
 #: Bands of sets up to this size get sparse sketches.
 SMALL = 32
+#: Hubs that a set meets at most in one turn, and more turns before all pairs left are compared.
+HUBS, MOST_TURNS = 4, 3
 #: Members compared with one other document in one group.
 GROUP = 500
 #: A shingle counts as common in a block of documents from so many sets on; so many of them are kept.
-COMMON, MOST_COMMON = 3, 200_000
+COMMON, MOST_COMMON = 2, 400_000
+#: Bytes of text of such a block.
+COMMON_BLOCK = 4 << 20
 #: Rows (of 40 bytes) of a table of pairs that is broadcast at most.
 MOST_SENT = 100_000
 _LAST = (1 << 63) - 1
@@ -215,7 +219,7 @@ def shingle_classes(df: DataFrame, id_col="doc_id", text_col="text", width=5, pe
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", COMMON_BLOCK):
                 sets = shingle_sets(as_bytes(part.column("text")), width)
                 short = [short_bands(s, percent, fill) if len(s) else [] for s in sets]
                 shared, times = np.unique(np.concatenate(list({s.tobytes(): s for s in sets}.values())), return_counts=True)
@@ -353,6 +357,21 @@ def _similar(s, t, percent):
     return 100 * common >= percent * (len(s) + len(t) - common)
 
 
+def _with_hub(words, turn):
+    """Each word's hub: the member of least hash, another in each turn."""
+    order = F.xxhash64("node", F.lit(turn))
+    hub = F.struct(order.alias("order"), "node", "n", "part")
+    return words.withColumn("hub", F.min(hub).over(Window.partitionBy("word")))
+
+
+def _to_hub(words, percent):
+    """Distinct pairs (x, y), x < y, of each node and its first few hubs not known to belong to it."""
+    far = (F.col("part") != F.col("hub.part")) & _fits(F.col("n"), F.col("hub.n"), percent)
+    hubs = words.where(far).groupBy("node").agg(F.collect_set(F.struct("hub.order", "hub.node")).alias("hubs"))
+    met = hubs.select("node", F.explode(F.slice(F.array_sort("hubs"), 1, HUBS)).alias("hub"))
+    return met.select(F.least("node", "hub.node").alias("x"), F.greatest("node", "hub.node").alias("y")).distinct()
+
+
 def similarity_components(df: DataFrame, id_col="doc_id", text_col="text", width=5, percent=75, fill=FILL) -> DataFrame:
     """One row per input row: the id, n_shingles and component_id (least id reachable by links)."""
     sets = shingle_classes(df, id_col, text_col, width, percent, fill)
@@ -362,32 +381,42 @@ def similarity_components(df: DataFrame, id_col="doc_id", text_col="text", width
     classes = materialize(classes.withColumn("node", _node(F.col("cls"))))
     rows = _rows(df, id_col, text_col)
     words = candidate_words(rows, width, percent, fill, lost, common_shingles(sets))
-    same = Window.partitionBy("word")
-    words = words.withColumn("hub", F.min(F.struct("node", "n")).over(same)).withColumn("last", F.max("node").over(same))
-    words = words.where(F.col("hub.node") < F.col("last"))
-    words = materialize(words.select("word", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")))
-    first = words.where(F.col("node") > F.col("hub")).where(_fits(F.col("n"), F.col("hub_n"), percent))
-    first = materialize(first.select(F.col("hub").alias("x"), F.col("node").alias("y")).distinct())
+    words = words.withColumn("part", F.col("node"))
+    words = materialize(_with_hub(words, 0).where(F.col("node") != F.col("hub.node")).select("word", "node", "n", "hub"))
+    first = materialize(_to_hub(words.withColumn("part", F.col("node")), percent))
     # Different sets with one node, should there be any, are compared as well.
     twins = classes.groupBy("node").agg(F.min("rep").alias("r"), F.max("rep").alias("s")).where("r < s").select("node")
     twins = twins.select(F.col("node").alias("x"), F.col("node").alias("y"))
-    tried = close_pairs(first.union(twins), classes, percent)
     # Rows of one doc_id with different texts belong together.
     placed = full.join(classes.select("cls", "rep"), "cls")
     owners = placed.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc", "a")
-    several = placed.join(owners, "doc").select("a", F.col("rep").alias("b")).where("a <> b")
-    links = materialize(linked_pairs(rows, tried, width, percent).union(several))
-    parts = components(links)
-    # What still shares a word across components has to be compared as well.
-    homes = classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    homes = homes.select("node", F.coalesce("component", "rep").alias("part"))
-    placed = words.select("word", "node", "n").join(homes, "node")
-    apart = placed.groupBy("word").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("word")
-    placed = materialize(placed.join(apart, "word"))
-    other = placed.select("word", F.col("node").alias("y"), F.col("n").alias("m"), F.col("part").alias("part_y"))
-    left = placed.withColumnRenamed("node", "x").join(other, "word").where("part <> part_y and x < y")
+    links = placed.join(owners, "doc").select("a", F.col("rep").alias("b")).where("a <> b")
+    seen, pairs, before, turn = first, first.union(twins), None, 0
+    hubs = words.select("word", F.col("hub.node").alias("node"), F.col("hub.n").alias("n")).distinct()
+    words = words.select("word", "node", "n").union(hubs)
+    while True:
+        links = materialize(links.union(linked_pairs(rows, close_pairs(pairs, classes, percent), width, percent)))
+        parts = components(links)
+        # What still shares a word across components has to be compared as well.
+        homes = classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        homes = homes.select("node", F.coalesce("component", "rep").alias("part"))
+        same = Window.partitionBy("word")
+        words = words.join(homes, "node").withColumn("low", F.min("part").over(same)).withColumn("high", F.max("part").over(same))
+        words = materialize(words.where("low < high").select("word", "node", "n", "part"))
+        count, turn = words.count(), turn + 1
+        if before is not None and count > 0.8 * before or turn > MOST_TURNS:
+            break
+        # A new hub for each word, as long as that joins components.
+        pairs = _to_hub(_with_hub(words, turn), percent).join(seen, ["x", "y"], "left_anti")
+        pairs, before = materialize(pairs), count
+        if pairs.isEmpty():
+            break
+        seen, words = seen.union(pairs), words.drop("part")
+    # Now every pair that is left, whatever its number.
+    other = words.select("word", F.col("node").alias("y"), F.col("n").alias("m"), F.col("part").alias("part_y"))
+    left = words.withColumnRenamed("node", "x").join(other, "word").where("part <> part_y and x < y")
     left = left.where(_fits(F.col("n"), F.col("m"), percent)).select("x", "y").distinct()
-    left = materialize(close_pairs(left.join(first, ["x", "y"], "left_anti"), classes, percent))
+    left = materialize(close_pairs(left.join(seen, ["x", "y"], "left_anti"), classes, percent))
     if not left.isEmpty():
         links = materialize(links.union(linked_pairs(rows, left, width, percent)))
         parts = components(links)
