@@ -44,7 +44,7 @@ GROUP = 500
 #: A shingle counts as common in a block of documents from so many sets on; so many of them are kept.
 COMMON, MOST_COMMON = 2, 400_000
 #: Bytes of text of such a block.
-COMMON_BLOCK = 4 << 20
+COMMON_BLOCK = 2 << 20
 #: Rows (of 40 bytes) of a table of pairs that is broadcast at most.
 MOST_SENT = 100_000
 _LAST = (1 << 63) - 1
