@@ -24,7 +24,7 @@ from lidarlake.llm.common import blocks, slices
 from lidarlake.llm.token_counts import byte_alphabet, merge
 
 #: Words, and fragments, a worker process remembers: so many new ones, and those of the generation before.
-MAX_REMEMBERED = 100_000
+MAX_REMEMBERED = 150_000
 
 
 class _Words(dict):
