@@ -412,9 +412,6 @@ def _truth_sql(yaw):
     )
 
 
-_OPTIONS = {"rounds": 5, "k": 6}
-
-
 def _recovered(found):
     def r2(c):
         return F.round(c, 2) + F.lit(0.0)
@@ -435,9 +432,7 @@ def _starts(spark, sf):
 
 @query("register_pairs", _truth_sql(0.01))
 def register_pairs(spark, sf):
-    return _recovered(
-        register.register_pairs(_starts(spark, sf), source(spark, sf), _target(spark, sf), refine=False, **_OPTIONS)
-    )
+    return _recovered(register.register_pairs(_starts(spark, sf), source(spark, sf), _target(spark, sf)))
 
 
 @query("refine_pairs", _truth_sql(0.01))
@@ -448,32 +443,26 @@ def refine_pairs(spark, sf):
         "pair_id", "T", F.lit(True).alias("converged"), F.lit(0.1).alias("fitness"), F.lit(0.9).alias("inlier_ratio"),
         F.lit(10).cast("long").alias("inliers"), F.lit(None).cast("array<double>").alias("info"), F.lit(True).alias("success"),
     )
-    return _recovered(
-        register.refine_pairs(rough, start, source(spark, sf), _target(spark, sf), rounds=5, k=6)
-    )
+    return _recovered(register.refine_pairs(rough, start, source(spark, sf), _target(spark, sf)))
 
 
 @query("verify_pairs_keyframe", _truth_sql(0.01))
 def verify_pairs_keyframe(spark, sf):
     start = _starts(spark, sf).withColumn("yaw", F.lit(0.005))
-    return _recovered(
-        register.verify_pairs_keyframe(start, source(spark, sf), _target(spark, sf), **_OPTIONS)
-    )
+    return _recovered(register.verify_pairs_keyframe(start, source(spark, sf), _target(spark, sf)))
 
 
 @query("align_batch", _truth_sql(0.01))
 def align_batch(spark, sf):
     ids = _starts(spark, sf)
     guesses = ids.filter("pair_id % 2 = 0").select("pair_id", _shift(0.2, -0.1, 0.1, 0.0).alias("T"))
-    return _recovered(register.align_batch(ids, source(spark, sf), _target(spark, sf), guesses, **_OPTIONS))
+    return _recovered(register.align_batch(ids, source(spark, sf), _target(spark, sf), guesses))
 
 
 @query("seeded_best", _truth_sql(0.01))
 def seeded_best(spark, sf):
     cands = _starts(spark, sf).withColumn("yaw", F.lit(0.0))
-    return _recovered(
-        register.seeded_best(cands, source(spark, sf), _target(spark, sf), sector_deg=1.0, refine=False, rounds=5, k=6)
-    )
+    return _recovered(register.seeded_best(cands, source(spark, sf), _target(spark, sf), sector_deg=1.0))
 
 
 def common_world(spark, sf):
@@ -507,7 +496,7 @@ _TRUE_LOOP = (
 def verify_loops(spark, sf):
     """Loops found from drifted poses; true if the result is within 2 cm of the real transform."""
     k, body, truth = common_world(spark, sf)
-    out = loops.verify_loops(revisits(k, 5, 3), k, body, radius=0, refine=False, rounds=12, k=6)
+    out = loops.verify_loops(revisits(k, 5, 3), k, body)
     pose = truth.select("map_id", "kf_id", F.col("opt").alias("p"))
     q = pose.withColumnsRenamed({"kf_id": "query_id", "p": "q"})
     m = pose.withColumnsRenamed({"kf_id": "match_id", "p": "m"})
@@ -534,22 +523,22 @@ def graph(spark, sf):
 
 @query("relax_pose_graph")
 def relax_pose_graph(spark, sf):
-    """Objective of each map before and after the relaxation."""
+    """Objective of each map before and after the relaxation, and the report of the relaxation."""
     k, e = graph(spark, sf)
     start = materialize(posegraph.initial_values(e, ranking.anchor_row(k)))
     priors = ranking.anchor_row(start.withColumnRenamed("pose", "opt")).select(*CLOUD, F.col("opt").alias("_prior"))
-    end = posegraph.relax_pose_graph(start, e, iterations=1, cg_iterations=8)
+    end, report = posegraph.relax_pose_graph(start, e, report=True)
     a = posegraph.objective(e, start, priors).withColumnRenamed("cost", "before")
     b = posegraph.objective(e, end, priors).withColumnRenamed("cost", "after")
-    return a.join(b, ["map_id"]).select("map_id", (F.col("after") <= F.col("before")).alias("fell"), "before", "after")
+    fell = (F.col("after") <= F.col("before")).alias("fell")
+    return a.join(b, ["map_id"]).join(report, ["map_id"], "left").select(
+        "map_id", fell, "before", "after", "converged", "steps", "gradient"
+    )
 
 
 @query("close_loops")
 def close_loops(spark, sf):
     """Report of one loop round over drifted poses."""
     k, body, _ = common_world(spark, sf)
-    _, _, _, report = loops.close_loops(
-        revisits(k, 10, 6), k, ranking.odometry_edges(k), body, radius=0, refine=False, rounds=5, k=6,
-        graph_options={"iterations": 1, "cg_iterations": 4},
-    )
+    _, _, _, report = loops.close_loops(revisits(k, 10, 6), k, ranking.odometry_edges(k), body)
     return report
