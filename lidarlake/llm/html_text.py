@@ -2,10 +2,12 @@
 
 A page is cut into text blocks, each at a path of block-level tags from the root. Per path the text
 length and the punctuation are added up and divided by its number of blocks; both ratios are fused to
-a score, scores are smoothed over neighbouring blocks, and paths whose mean score reaches a threshold
-hold content. The element around most of the content text is the article: all its blocks are kept, in
-page order, but for those in menus, headers, footers, sidebars, notices, adverts, forms, hidden parts
-and reader comments.
+a score, scores are smoothed over neighbouring blocks, and the blocks of all paths whose mean score
+reaches a threshold are the text, in page order. Blocks inside <article> or <main>, or in the element
+around most of the content found so far, get a term on their score that lies below the threshold, so a
+path without any ratio of its own or of its neighbours is left out there, too. Menus, headers, footers,
+sidebars, forms and hidden parts never count; notices, adverts, reader comments and what else a class,
+id or role names do not count either, unless the named element holds half of the content or more.
 
 Defined results: a null or empty page, or one without text, has the empty text; broken markup is read
 as far as it goes (a new block ends an open paragraph, unknown end tags are ignored, an unfinished tag
@@ -48,6 +50,9 @@ OTHER_NAMES = frozenset(
     "share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget complementary "
     "contentinfo".split()
 )
+FLOW = frozenset(
+    "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption table thead tbody tfoot tr td th".split()
+)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？«»\"'()¿¡-]")
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*+)>""")
@@ -58,10 +63,14 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Page:
-    """Elements (parent, tag, path, other, ...) and text blocks (element, text, link characters) of a page."""
+    """Elements (parent, tag, path, other, named, ...) and text blocks (element, text, link characters) of a page.
+
+    ``other`` holds for all inside an element, ``named`` only for the element whose class, id or role says so.
+    """
 
     def __init__(self, source: str):
         self.parent, self.tag, self.path, self.other, self.main = [-1], [""], [0], [False], [False]
+        self.named = [False]
         self.paths, self.blocks = {}, []
         self._stack, self._text, self._linked, self._link = [0], [], 0, False
         self._read(source)
@@ -138,6 +147,7 @@ class Page:
         self.path.append(self.paths.setdefault(key, len(self.paths) + 1))
         self.main.append(inside or tag in ("article", "main") or given.get("role") == "main")
         self.other.append(self.other[top] or self._is_other(tag, given, inside))
+        self.named.append(self._is_named(tag, given, inside))
         self._stack.append(len(self.parent) - 1)
 
     @staticmethod
@@ -146,8 +156,12 @@ class Page:
             return True
         if tag in ("html", "body", "main", "article") or not given:
             return False
-        if "hidden" in given or given.get("aria-hidden") == "true" or _HIDDEN.search(given.get("style", "")):
-            return True
+        return "hidden" in given or given.get("aria-hidden") == "true" or bool(_HIDDEN.search(given.get("style", "")))
+
+    @staticmethod
+    def _is_named(tag, given, inside):
+        if tag in ("html", "body", "main", "article") or not given:
+            return False
         names = " ".join(given.get(k, "") for k in ("class", "id", "role"))
         found = {w.lower() for w in _NAME.findall(names)}
         return bool(found & OTHER_NAMES) or ("header" in found and not inside)
@@ -173,24 +187,75 @@ class Page:
                 return
 
 
-def content_paths(page: Page, share=0.5) -> set:
-    """Paths whose smoothed and fused ratios reach ``share`` of the standard deviation over blocks."""
-    path = np.array([page.path[e] for e, _, _ in page.blocks])
-    use = np.array([not page.other[e] for e, _, _ in page.blocks])
-    # Text inside links counts against a path.
-    size = np.array([max(0, len(t) - 2 * linked) for _, t, linked in page.blocks], float) * use
-    marks = np.array([len(PUNCTUATION.findall(t)) for _, t, _ in page.blocks], float) * use
-    _, place, many = np.unique(path, return_inverse=True, return_counts=True)
-    score = (np.bincount(place, size) / many * (np.bincount(place, marks) / many))[place] * use
-    padded = np.concatenate([score[:1], score, score[-1:]])
-    smooth = (padded[:-2] + 2 * padded[1:-1] + padded[2:]) / 4
-    mean = (np.bincount(place, smooth * use) / many)[place]
-    chosen = use & (mean > 0) & (mean >= share * smooth.std())
-    if not chosen.any():
-        chosen = use & (size > 0)
-        if chosen.any():
-            chosen &= np.bincount(place, size)[place] == np.bincount(place, size)[place][chosen].max()
-    return set(path[chosen].tolist())
+class Ratios:
+    """Text and punctuation ratios of the paths of a page, over blocks that are not ``other``."""
+
+    def __init__(self, page: Page, other: list):
+        path = np.array([page.path[e] for e, _, _ in page.blocks])
+        self.use = np.array([not other[e] for e, _, _ in page.blocks])
+        # Text inside links counts against a path.
+        self.size = np.array([max(0, len(t) - 2 * linked) for _, t, linked in page.blocks], float) * self.use
+        marks = np.array([len(PUNCTUATION.findall(t)) for _, t, _ in page.blocks], float) * self.use
+        _, place, many = np.unique(path, return_inverse=True, return_counts=True)
+        length, points = np.bincount(place, self.size) / many, np.bincount(place, marks) / many
+        # Without any punctuation the length of the text has to do.
+        score = (length * points if (length * points).any() else length)[place] * self.use
+        # Neighbours are the blocks before and after that count: an advert between two does not part them.
+        counted = score[self.use]
+        padded = np.concatenate([counted[:1], counted, counted[-1:]])
+        smooth = np.zeros(len(score))
+        smooth[self.use] = (padded[:-2] + 2 * padded[1:-1] + padded[2:]) / 4
+        self.mean = (np.bincount(place, smooth * self.use) / many)[place]
+        self.spread = smooth.std()
+        # Text of the path of each block: a path of links only holds none.
+        self.total = np.bincount(place, self.size)[place]
+
+    def chosen(self, near=None, share=0.5, term=0.49):
+        """Blocks whose score reaches ``share`` of the standard deviation; ``near`` ones get ``term`` of it on top."""
+        score = self.mean + (0 if near is None else term * self.spread * near)
+        found = self.use & (self.mean > 0) & (self.total > 0) & (score >= share * self.spread)
+        if not found.any():
+            found = self.use & (self.size > 0)
+            if found.any():
+                found &= self.total == self.total[found].max()
+        return found
+
+
+def _inside(page: Page, blocks_weight) -> np.ndarray:
+    """Per element the weight of the blocks in it."""
+    weight = np.zeros(len(page.parent))
+    for (e, _, _), w in zip(page.blocks, blocks_weight):
+        weight[e] += w
+    for e in range(len(weight) - 1, 0, -1):
+        weight[page.parent[e]] += weight[e]
+    return weight
+
+
+def _others(page: Page) -> list:
+    """Elements outside the article; a name does not exclude an element with half of the content."""
+    plain = Ratios(page, page.other)
+    # Text in <article> or <main> weighs more: an advert longer than a very short article stays one.
+    main = np.array([page.main[e] for e, _, _ in page.blocks])
+    weight = _inside(page, plain.size * (plain.chosen() | main) * np.where(main, 4, 1))
+    other = list(page.other)
+    for e in range(1, len(other)):
+        other[e] = other[e] or other[page.parent[e]] or (page.named[e] and 2 * weight[e] < weight[0])
+    return other
+
+
+def _near(page: Page, weight, most) -> np.ndarray:
+    """Blocks in <article> or <main>, or in the innermost element with ``most`` of the content."""
+    # Elements are numbered in page order, so the last with that share is the innermost.
+    around = max(e for e, w in enumerate(weight) if w >= most * weight[0])
+    whole = page.tag[around] not in ("", "html", "body")
+    near = []
+    for e, _, _ in page.blocks:
+        up = e
+        # Of a whole page only running text next to the content, not boxes with text of their own.
+        while up > 0 and up != around and (whole or page.tag[up] in FLOW):
+            up = page.parent[up]
+        near.append(page.main[e] or up == around)
+    return np.array(near)
 
 
 def main_text(source: str | None, most=0.9) -> str:
@@ -198,34 +263,12 @@ def main_text(source: str | None, most=0.9) -> str:
     page = Page(source or "")
     if not page.blocks:
         return ""
-    chosen = content_paths(page)
-    weight = [0] * len(page.parent)
-    for e, text, _ in page.blocks:
-        if page.path[e] in chosen and not page.other[e]:
-            weight[e] += len(text)
-    total = sum(weight)
-    if not total:
+    ratios = Ratios(page, _others(page))
+    weight = _inside(page, ratios.size * ratios.chosen())
+    if not weight[0]:
         return ""
-    for e in range(len(weight) - 1, 0, -1):
-        weight[page.parent[e]] += weight[e]
-    # Elements are numbered in page order, so the last with that share is the innermost.
-    article = max(e for e, w in enumerate(weight) if w >= most * total)
-    around = article
-    while around > 0 and page.tag[around] not in ("article", "main"):
-        around = page.parent[around]
-    whole = around > 0
-    article = around if whole else article
-    inside = [False] * len(page.parent)
-    for e in range(len(inside)):
-        inside[e] = e == article or (e > 0 and inside[page.parent[e]])
-    kept = [k for k, (e, _, _) in enumerate(page.blocks) if inside[e] and not page.other[e]]
-    if not whole:
-        content = [k for k in kept if page.path[page.blocks[k][0]] in chosen]
-        first, last = content[0], content[-1]
-        while first > 0 and page.tag[page.blocks[first - 1][0]] in ("h1", "h2", "h3") and not page.other[page.blocks[first - 1][0]]:
-            first -= 1
-        kept = [k for k, (e, t, linked) in enumerate(page.blocks) if first <= k <= last and not page.other[e] and 2 * linked <= len(t)]
-    return "\n".join(page.blocks[k][1] for k in kept)
+    kept = ratios.chosen(_near(page, weight, most))
+    return "\n".join(t for (_, t, _), k in zip(page.blocks, kept) if k)
 
 
 def visible_text(source: str | None) -> str:

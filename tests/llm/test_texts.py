@@ -187,6 +187,28 @@ def test_main_text_of_odd_pages(page):
     assert html_text.main_text("plain, text.") == "plain, text."
 
 
+PARAGRAPH = "<p>A long paragraph, with commas, and full stops. It goes on, and on, for a while.</p>"
+
+
+def test_main_text_keeps_the_ends_of_pages_without_article_element():
+    page = f"<body><blockquote>A saying</blockquote>{PARAGRAPH * 3}<p>See <a href=1>this one, mostly a link</a>.</p><ul><li>A point<li>Another</ul></body>"
+    lines = html_text.main_text(page).split("\n")
+    assert lines[0] == "A saying" and len(lines) == 7 and lines[4:] == ["See this one, mostly a link.", "A point", "Another"]
+    apart = f"<body><div class=x>{PARAGRAPH * 12}</div><div class=x><p>Text, outside. Of that element.</p></div></body>"
+    assert html_text.main_text(apart).endswith("Text, outside. Of that element.")
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "no-comments", "with-search page"])
+def test_main_text_inside_a_wrapper_with_a_class_word(name):
+    page = f"<body><div class='{name}'><h1>Head</h1>{PARAGRAPH * 3}<div class=comments><p>First, it is.</p></div></div></body>"
+    assert html_text.main_text(page).split("\n") == ["Head", *[html_text.visible_text(PARAGRAPH)] * 3]
+
+
+def test_path_scores_choose_inside_an_article_element():
+    page = f"<article>{PARAGRAPH * 3}<p>x</p><ul><li><a href=1>Link, one</a><li><a href=2>Link, two</a></ul></article>"
+    assert html_text.main_text(page).split("\n") == [*[html_text.visible_text(PARAGRAPH)] * 3, "x"]
+
+
 def test_warc_records_link_and_hold_digests():
     body = b'<meta charset=utf-8><a href="/x">X &amp; y</a><a href=\'/z\'>Z</a><p>T\xc3\xa9xt.'
     source = warc.response("http://e.com/?q=1", body, "7")
