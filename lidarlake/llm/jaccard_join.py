@@ -372,21 +372,66 @@ def _to_hub(words, percent):
     return met.select(F.least("node", "hub.node").alias("x"), F.greatest("node", "hub.node").alias("y")).distinct()
 
 
-def similarity_components(df: DataFrame, id_col="doc_id", text_col="text", width=5, percent=75, fill=FILL) -> DataFrame:
-    """One row per input row: the id, n_shingles and component_id (least id reachable by links)."""
+def similarity_links(df: DataFrame, id_col="doc_id", text_col="text", width=5, percent=75, fill=FILL) -> tuple[DataFrame, DataFrame]:
+    """(links, members): all pairs (a, b) of different sets that reach the similarity, and a row (doc, rep) per document with a set.
+
+    Equal sets are one class, named by its least document; each pair of classes is found once, whatever
+    their component. Ids must be unique and not null.
+    """
+    sets, lost, classes = _classes(df, id_col, text_col, width, percent, fill)
+    rows = _rows(df, id_col, text_col)
+    words = materialize(candidate_words(rows, width, percent, fill, lost, common_shingles(sets)).distinct())
+    other = words.select("word", F.col("node").alias("y"), F.col("n").alias("m"))
+    met = words.withColumnRenamed("node", "x").join(other, "word").where(F.col("x") < F.col("y"))
+    met = met.where(_fits(F.col("n"), F.col("m"), percent)).select("x", "y").distinct()
+    pairs = materialize(close_pairs(met.union(_twins(classes)), classes, percent))
+    links = linked_pairs(rows, pairs, width, percent)
+    return materialize(links), sets.where("n > 0").join(classes.select("cls", "rep"), "cls").select("doc", "rep")
+
+
+def link_counts(df: DataFrame, id_col="doc_id", text_col="text", width=5, percent=75, fill=FILL) -> DataFrame:
+    """One row per input row: the id and n_links, the number of other rows whose text reaches the similarity."""
+    ids = df.agg(F.count(F.lit(1)).alias("n"), F.count(id_col).alias("given"), F.countDistinct(id_col).alias("apart")).first()
+    own = df.select(F.col(id_col), F.col(text_col)).withColumn("_row", F.col(id_col).cast("long"))
+    if not ids.n == ids.given == ids.apart:
+        # Rows are told apart by a number of their own.
+        own = materialize(own.withColumn("_row", F.monotonically_increasing_id()))
+    links, members = similarity_links(own, "_row", text_col, width, percent, fill)
+    members = materialize(members)
+    sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("members"))
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    far = both.join(sizes.withColumnRenamed("rep", "b"), "b").groupBy("a").agg(F.sum("members").alias("far"))
+    per = sizes.join(far.withColumnRenamed("a", "rep"), "rep", "left")
+    per = per.select("rep", (F.col("members") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+    counts = members.join(per, "rep").select(F.col("doc").alias("_row"), "n_links")
+    out = own.select(id_col, "_row").join(counts, "_row", "left")
+    return out.select(id_col, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _classes(df, id_col, text_col, width, percent, fill):
+    """(sets, bands with too few words, classes of equal sets)."""
     sets = shingle_classes(df, id_col, text_col, width, percent, fill)
     lost = [r[0] for r in sets.select(F.explode("short")).distinct().collect()]  # at most 64 values
+    classes = sets.where("n > 0").groupBy("cls").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    return sets, lost, materialize(classes.withColumn("node", _node(F.col("cls"))))
+
+
+def _twins(classes):
+    """Different sets with one node, should there be any, are compared as well."""
+    twins = classes.groupBy("node").agg(F.min("rep").alias("r"), F.max("rep").alias("s")).where("r < s").select("node")
+    return twins.select(F.col("node").alias("x"), F.col("node").alias("y"))
+
+
+def similarity_components(df: DataFrame, id_col="doc_id", text_col="text", width=5, percent=75, fill=FILL) -> DataFrame:
+    """One row per input row: the id, n_shingles and component_id (least id reachable by links)."""
+    sets, lost, classes = _classes(df, id_col, text_col, width, percent, fill)
     full = sets.where("n > 0")
-    classes = full.groupBy("cls").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    classes = materialize(classes.withColumn("node", _node(F.col("cls"))))
     rows = _rows(df, id_col, text_col)
     words = candidate_words(rows, width, percent, fill, lost, common_shingles(sets))
     words = words.withColumn("part", F.col("node"))
     words = materialize(_with_hub(words, 0).where(F.col("node") != F.col("hub.node")).select("word", "node", "n", "hub"))
     first = materialize(_to_hub(words.withColumn("part", F.col("node")), percent))
-    # Different sets with one node, should there be any, are compared as well.
-    twins = classes.groupBy("node").agg(F.min("rep").alias("r"), F.max("rep").alias("s")).where("r < s").select("node")
-    twins = twins.select(F.col("node").alias("x"), F.col("node").alias("y"))
+    twins = _twins(classes)
     # Rows of one doc_id with different texts belong together.
     placed = full.join(classes.select("cls", "rep"), "cls")
     owners = placed.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc", "a")

@@ -145,6 +145,17 @@ def op3(spark, sf_dir):
     return jaccard_join.similarity_components(docs)
 
 
+LINKS_SQL = JACCARD_SQL[: JACCARD_SQL.index("), edges as (")].replace("with recursive", "with") + """)
+select documents.doc_id, count(a) as n_links from documents left join links on documents.doc_id in (a, b) group by documents.doc_id
+"""
+
+
+@query("jaccard_links", LINKS_SQL)
+def jaccard_links(spark, sf_dir):
+    """The links that op3 leaves uncompared within a component, counted per document."""
+    return jaccard_join.link_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op1_fingerprints")
 def op1(spark, sf_dir):
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))

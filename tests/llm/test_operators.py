@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -106,6 +107,15 @@ def test_jaccard_of_hot_words_and_chains(spark):
     check_components(spark, rows)
 
 
+def test_link_counts(spark, rows):
+    """All links between rows, also those inside a component; rows of one doc_id are rows of their own."""
+    sets = [jaccard_join.shingle_sets(jaccard_join.as_bytes(pa.array([r[1]], pa.string())), 5) for r in rows]
+    sets = [set(next(iter(s)).tolist()) for s in sets]
+    want = [(r[0], sum(100 * len(s & t) >= 75 * len(s | t) for j, t in enumerate(sets) if i != j and s and t)) for i, (r, s) in enumerate(zip(rows, sets))]
+    got = jaccard_join.link_counts(table_of(spark, rows)).collect()
+    assert ordered(map(tuple, got)) == ordered(want) and max(n for _, n in want) > 3
+
+
 def test_components_of_any_graph(spark):
     rnd = random.Random(2)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5001 + i) for i in range(50)]
