@@ -50,8 +50,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, repeats=3) -> DataFrame:
     return per.select("source", "source_size", target.alias("target"))
 
 
-def queue_entries(sizes: DataFrame, targets: DataFrame, repeats=3) -> DataFrame:
-    """Rows (row_id, copy, piece, words, finish, ...) of all queue entries.
+def queue_entries(sizes: DataFrame, targets: DataFrame, repeats=3, split=True) -> DataFrame:
+    """Rows (row_id, copy, piece, words, finish, ...) of all queue entries; ``split``: cut at the target.
 
     ``sizes``: row_id, doc_id, source, size, tie.
     """
@@ -73,13 +73,13 @@ def queue_entries(sizes: DataFrame, targets: DataFrame, repeats=3) -> DataFrame:
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     rows = rows.withColumn("start", F.col("copy") * F.col("source_size") + F.col("carried") + F.col("ahead"))
     rows = rows.withColumn("stop", F.col("start") + F.col("size")).withColumn("met", F.floor("target"))
-    split = (F.col("start") < F.col("met")) & (F.col("met") < F.col("stop"))
-    ends = F.when(split, F.array("met", "stop")).otherwise(F.array("stop"))
+    at_target = F.lit(split) & (F.col("start") < F.col("met")) & (F.col("met") < F.col("stop"))
+    ends = F.when(at_target, F.array("met", "stop")).otherwise(F.array("stop"))
     rows = rows.select("*", F.posexplode(ends).alias("piece", "end"))
     words = F.col("end") - F.when(F.col("piece") == 0, F.col("start")).otherwise(F.col("met"))
     finish = F.col("end") / F.col("target")
     keys = ["row_id", "doc_id", "shuffle", "size", "tie", "copy", "piece"]
-    return rows.select(*keys, words.alias("words"), finish.alias("finish"))
+    return rows.select(*keys, words.alias("words"), finish.alias("finish"), "stop", "target")
 
 
 ORDER = ("finish", "shuffle", "doc_id", "size", "tie", "row_id", "copy", "piece")
@@ -114,6 +114,17 @@ def mix(sizes: DataFrame, weights=WEIGHTS, repeats=3) -> tuple[DataFrame, DataFr
     return take_in_order(queue_entries(sizes, targets, repeats), budget), targets
 
 
+def whole_entries(sizes: DataFrame, weights=WEIGHTS, repeats=3) -> DataFrame:
+    """(row_id, copy, words) of a mix without split documents.
+
+    Each source's queue is taken up to the entry at its target; that one is taken or left as a whole,
+    whichever ends nearer to the target (taken if both are as near).
+    """
+    targets = materialize(source_targets(sizes, weights, repeats))
+    entries = queue_entries(sizes, targets, repeats, split=False)
+    return entries.where(2 * F.col("stop") - F.col("words") <= 2 * F.col("target")).select("row_id", "copy", "words")
+
+
 def mixture(df: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, repeats=3) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, taken."""
     sizes = document_sizes(df, id_col, text_col, source_col)
@@ -125,10 +136,11 @@ def mixture(df: DataFrame, id_col="doc_id", text_col="text", source_col="source"
     return rows.select("doc_id", "source", "size", "source_size", "target", taken)
 
 
-def mixed_documents(df: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, repeats=3) -> DataFrame:
+def mixed_documents(df: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, repeats=3, whole=False) -> DataFrame:
     """The documents of the mix, one row for each time one is taken; the columns of ``df``.
 
-    A document cut at its source's target keeps its leading words and the white space between them.
+    A document cut at its source's target keeps its leading words and the white space between them;
+    with ``whole`` it is taken or left uncut, whichever brings its source nearer to the target.
     """
     marked = materialize(df.select(F.struct(*df.columns).alias("row")).withColumn("row_id", F.monotonically_increasing_id()))
     text = F.col(f"row.{text_col}").cast("string")
@@ -137,7 +149,7 @@ def mixed_documents(df: DataFrame, id_col="doc_id", text_col="text", source_col=
         word_count(text).alias("size"), F.xxhash64(text).alias("tie"),
     )
     sizes = materialize(sizes)
-    taken, _ = mix(sizes, weights, repeats)
+    taken = whole_entries(sizes, weights, repeats) if whole else mix(sizes, weights, repeats)[0]
     taken = taken.groupBy("row_id", "copy").agg(F.sum("words").alias("words"))
     taken = taken.join(sizes.select("row_id", "size"), "row_id").where("words > 0")
     rows = marked.join(taken, "row_id")

@@ -154,6 +154,17 @@ def test_mixing(spark, rows):
     assert [r.taken for r in mixing.mixture(table_of(spark, [(1, None, None, "a", 0)])).collect()] == [0]
 
 
+def test_mixing_of_whole_documents(spark, rows):
+    out = mixing.mixed_documents(table_of(spark, rows), whole=True).collect()
+    given = {(r[0], r[1]) for r in rows}
+    assert out and all((r.doc_id, r.text) in given for r in out)
+    for texts in ((10, 10), (1, 40)):
+        docs = [(1, "a " * texts[0], None, "s", 0), (2, "b " * texts[1], None, "t", 0)]
+        targets = {r.source: r.target for r in mixing.mixture(table_of(spark, docs)).collect()}
+        times = {s: sum(r.source == s for r in mixing.mixed_documents(table_of(spark, docs), whole=True).collect()) for s in "st"}
+        assert all(abs(times[s] * n - targets[s]) <= n / 2 for s, n in zip("st", texts))
+
+
 def test_mixing_shares_excess_again(spark):
     rows = [(i, "w " * 10, None, "a", 0) for i in range(3)] + [(10 + i, "w " * 10, None, "b", 0) for i in range(40)] + [(90, "w " * 7, None, None, 0)]
     got = {r.source: r for r in mixing.mixture(table_of(spark, rows)).collect()}
@@ -316,6 +327,29 @@ def test_pipeline(spark, rows, tmp_path):
     assert ordered((*r[:3], bytes(r[3]), *r[4:]) for r in map(tuple, got)) == ordered(want)
 
 
+def whole_mix(docs, repeats=3):
+    """Like plain.mixed, with each source's entry at its target taken or left as a whole."""
+    per, parts = plain.mixed(docs)[0], []
+    for s in {d[1] for d in docs}:
+        queue = [i for i, d in enumerate(docs) if d[1] == s]
+        queue.sort(key=lambda i: hashlib.md5(str(docs[i][0]).encode()).hexdigest())
+        stop = 0
+        for copy in range(repeats):
+            for i in queue:
+                start, stop = stop, stop + per[i][0]
+                if per[i][0] and stop - per[i][2] <= per[i][2] - start:
+                    parts.append((i, copy, per[i][0]))
+    return per, parts
+
+
+def test_pipeline_mixes_whole_documents(spark, rows):
+    used = [r for r in rows if r[0] not in (8, 12, None)]
+    docs = [(r[0], r[3], r[1]) for r in used]
+    _, parts = whole_mix(docs)
+    got = corpus_pipeline.source_mix(spark, table_of(spark, used), None).select("doc_id", "text").collect()
+    assert ordered(map(tuple, got)) == ordered((docs[i][0], docs[i][2]) for i, *_ in parts)
+
+
 def test_pipeline_of_repeats_and_nothing(spark, rows, tmp_path):
     assert run_stages(spark, table_of(spark, rows), tmp_path / "a").count() > 0
     assert run_stages(spark, table_of(spark, []), tmp_path / "b").count() == 0
