@@ -416,10 +416,14 @@ def arrival_position(spark, sf):
 
 
 def place_frames(spark, sf):
-    """All descriptors of every keyframe with its arrival position."""
+    """All descriptors of every keyframe with its arrival position.
+
+    The searches over them run with the operators' defaults but for thresholds wider than those and a
+    shorter gap to recent frames: maps here have 25 keyframes, and a gap of 50 would leave no query.
+    """
     p, k = points(spark, sf), keyframes(spark, sf)
     polar_cells_ = D.polar_values(D.polar_cells(p))
-    rhpd = D.submap_descriptors(k, p, radius=1)
+    rhpd = D.submap_descriptors(k, p)
     frames = k.select(*CLOUD, F.col("kf_id").alias("arrival"))
     pos = retrieval.arrival_position(frames)
     keys = D.ring_key_vectors(polar_cells_, frames)
@@ -431,12 +435,12 @@ def place_frames(spark, sf):
 def knn_ring_key(spark, sf):
     f = place_frames(spark, sf)
     q = retrieval.loop_search_range(f, 5).withColumn("query_id", F.col("pos"))
-    return retrieval.knn_ring_key(q, f, k=8, keep=4, thr=0.6).drop("shift")
+    return retrieval.knn_ring_key(q, f, thr=0.6).drop("shift")
 
 
 @query("detect_loops")
 def detect_loops(spark, sf):
-    return retrieval.detect_loops(place_frames(spark, sf), exclude_recent=5, keep=4, sc_keep=4, preselect=10, sc_thr=0.6)
+    return retrieval.detect_loops(place_frames(spark, sf), exclude_recent=5, sc_thr=0.6)
 
 
 @query("reloc_candidates")
@@ -445,14 +449,14 @@ def reloc_candidates(spark, sf):
     q = f.withColumn("query_id", F.col("pos")).drop("kf_id", "arrival", "pos")
     single = D.rhpd_descriptors(points(spark, sf)).withColumn("coarse", V.coarse_key("rhpd"))
     frame_base = materialize(f.drop("rhpd", "coarse").join(single, CLOUD))
-    return retrieval.reloc_candidates(q, f, frame_base, keep=5, rhpd_keep=5, preselect=20)
+    return retrieval.reloc_candidates(q, f, frame_base)
 
 
 @query("polar_scan")
 def polar_scan(spark, sf):
     f = place_frames(spark, sf)
     q = f.select("map_id", F.col("pos").alias("query_id"), "polar")
-    return retrieval.polar_scan(q, f, keep=3, thr=0.5).drop("shift")
+    return retrieval.polar_scan(q, f, thr=0.5).drop("shift")
 
 
 @query("classic_detect")
