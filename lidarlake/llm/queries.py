@@ -5,7 +5,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lidarlake.llm import bpe, fingerprints, html_text, jaccard_join, langid, line_dedup, merkle, mixing, ogg, token_counts, warc
+from lidarlake.llm import bpe, fingerprints, html_text, jaccard_join, langid, line_dedup, merkle, mixing, ogg, resampling, token_counts, warc
 from lidarlake.llm.common import table
 from lidarlake.session import ship_package
 
@@ -221,3 +221,35 @@ from leaves join subroots on leaves.tree = subroots.name join outer_climb c on c
 @query("op12_merkle", MERKLE_SQL)
 def op12(spark, sf_dir):
     return merkle.tamper_check(table(spark, sf_dir, "documents"))
+
+
+_ASCII_WORDS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_FEATURES = f"""select {{0}} as id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f
+  from (select {{0}}, {_ASCII_WORDS.format(_LOWER.format("coalesce(text, '')"))} as w from {{1}})"""
+RESAMPLING_SQL = f"""
+with {_CRC_TABLE}, own as ({_FEATURES.format("doc_id", "documents")}), aim as ({_FEATURES.format("item_id", "benchmark")}),
+names as (select f, ({_CRC.format("f")}) % 10000 as bucket from (select f from own union select f from aim), crc_table),
+own_counts as (select bucket, count(*) as s from own join names using (f) group by bucket),
+aim_counts as (select bucket, count(*) as t from aim join names using (f) group by bucket),
+gains as (
+  select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select count(*) from own) + 10000)
+    / ((s + 1)::double * ((select count(*) from aim) + 10000))))::bigint as gain
+  from own_counts left join aim_counts using (bucket)
+), weighed as (
+  select id, count(*) as n_features, floor(sum(gain)::double / count(*))::bigint as weight
+  from own join names using (f) join gains using (bucket) group by id
+), scored as (
+  select doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('7:' || doc_id)[1:8])::bigint + 0.5::double) / 4294967296)))::bigint as score,
+    coalesce(n_features, 0) >= 39 as may
+  from documents left join weighed on id = doc_id
+), ranked as (
+  select *, row_number() over (partition by may order by score desc, doc_id) as place, count(*) filter (where may) over () as n from scored
+)
+select doc_id, n_features, weight, score, case when may and place <= 25 * n // 100 then place end as rank from ranked
+"""
+
+
+@query("op11_resampling", RESAMPLING_SQL)
+def op11(spark, sf_dir):
+    return resampling.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
