@@ -5,7 +5,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lidarlake.llm import bpe, fingerprints, html_text, jaccard_join, langid, line_dedup, merkle, mixing, ogg, resampling, token_counts, warc
+from lidarlake.llm import bpe, fingerprints, html_text, jaccard_join, langid, line_dedup, merkle, mixing, ogg, resampling, signature_join, token_counts, warc
 from lidarlake.llm.common import table
 from lidarlake.session import ship_package
 
@@ -253,3 +253,11 @@ select doc_id, n_features, weight, score, case when may and place <= 25 * n // 1
 @query("op11_resampling", RESAMPLING_SQL)
 def op11(spark, sf_dir):
     return resampling.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+NEAR_SQL = JACCARD_SQL.replace(">= 75 *", ">= 85 *").replace("min(least) as component_id", "min(least) as component_id, documents.doc_id = min(least) as kept")
+
+
+@query("op13_signature_join", NEAR_SQL)
+def op13(spark, sf_dir):
+    return signature_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
