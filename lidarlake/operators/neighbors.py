@@ -87,6 +87,86 @@ def nearest_in_block(q, limit, b, b_pos, k, size=256, fan=16, bound=np.inf):
     return np.concatenate(out_q), np.concatenate(out_b), np.concatenate(out_d)
 
 
+def _cell_size(b, k):
+    """Edge of cells that hold a few points each, at most 2^20 cells along an axis."""
+    span = float(np.ptp(b, axis=0).max()) or 1.0
+    size, least = span, span / (1 << 20)
+    while size > least:
+        filled = len(np.unique(np.floor((b - b.min(0)) / size).astype(np.int64) @ np.array([1 << 42, 1 << 21, 1])))
+        if len(b) <= filled * max(2.0, k / 2.5):
+            break
+        size /= 1.5
+    return max(size, least)
+
+
+def nearest_in_cells(q, b, k, bound=np.inf, chunk=4096):
+    """Exact k nearest points of ``b`` per point of ``q`` (three coordinates) by (squared distance, row).
+
+    Points lie in cells sorted by (x, y, z), so a column of cells is one run of rows. A query looks at the cells
+    around its own; it is done when its k-th distance is within them, the others look twice as far.
+    ``bound`` limits the squared distance. Returns query rows, base rows, squared distances.
+    """
+    low, size = b.min(0), _cell_size(b, k)
+    cell = np.floor((b - low) / size).astype(np.int64)
+    n = cell.max(0) + 1
+    key = (cell[:, 0] * n[1] + cell[:, 1]) * n[2] + cell[:, 2]
+    order = np.argsort(key, kind="stable")
+    key, out = key[order], []
+    for at in range(0, len(q), chunk):
+        rows, reach = np.arange(at, min(at + chunk, len(q))), 1
+        while len(rows):
+            if len(rows) * reach > chunk:  # wider looks take fewer queries at once
+                parts = np.array_split(rows, -(-len(rows) * reach // chunk))
+            else:
+                parts = [rows]
+            late = []
+            for part in parts:
+                hit, done = _look(q[part], b, low, size, n, key, order, k, bound, reach)
+                qi, bi, d2 = hit
+                keep = done[qi]
+                out.append((part[qi[keep]], bi[keep], d2[keep]))
+                late.append(part[~done])
+            rows, reach = np.concatenate(late), reach * 2
+    if not out:
+        return np.empty(0, int), np.empty(0, int), np.empty(0)
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _look(q, b, low, size, n, key, order, k, bound, reach):
+    """One look of ``nearest_in_cells``: the k nearest within ``reach`` cells, and which queries are done."""
+    own = np.clip(np.floor((q - low) / size), -(2**40), 2**40).astype(np.int64)
+    first, last = np.maximum(own - reach, 0), np.minimum(own + reach, n - 1)
+    column = np.arange(-reach, reach + 1)
+    x, y = (c.ravel() for c in np.meshgrid(column, column, indexing="ij"))
+    cx, cy = own[:, :1] + x, own[:, 1:2] + y
+    inside = (cx >= 0) & (cx < n[0]) & (cy >= 0) & (cy < n[1]) & (first[:, 2:] <= last[:, 2:])
+    row, col = np.nonzero(inside)
+    base = (cx[row, col] * n[1] + cy[row, col]) * n[2]
+    start = np.searchsorted(key, base + first[row, 2], "left")
+    many = np.searchsorted(key, base + last[row, 2], "right") - start
+    qi = np.repeat(row, many)
+    bi = order[np.repeat(start - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())]
+    d2 = ((q[qi] - b[bi]) ** 2).sum(1)
+    near = d2 <= bound
+    most = np.bincount(qi, minlength=1).max()
+    if k < most and most * len(q) < 1 << 23:
+        # The k-th distance of each query first; only what is within it is ordered.
+        table = np.full((len(q), most), np.inf)
+        table[qi, np.arange(len(qi)) - np.searchsorted(qi, qi, "left")] = d2
+        near &= d2 <= np.partition(table, k - 1, axis=1)[qi, k - 1]
+    qi, bi, d2 = qi[near], bi[near], d2[near]
+    rank = np.lexsort((bi, d2, qi))
+    qi, bi, d2 = qi[rank], bi[rank], d2[rank]
+    place = np.arange(len(qi)) - np.searchsorted(qi, qi, "left")
+    keep = place < k
+    kth = np.full(len(q), np.inf)
+    full = place == k - 1
+    kth[qi[full]] = d2[full]
+    seen = (reach * size) ** 2
+    whole = ((own - reach <= 0) & (own + reach >= n - 1)).all(1)
+    return (qi[keep], bi[keep], d2[keep]), (kth <= seen) | (bound <= seen) | whole
+
+
 def fresh(df: DataFrame) -> DataFrame:
     """The same rows under new column identities, for grouping a table with a relative of it."""
     return df.select(*(F.col(c).alias(c) for c in df.columns))

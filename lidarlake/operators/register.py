@@ -1,8 +1,9 @@
 """Scan registration of many pairs at once.
 
-Each round is one set-wise job over all unconverged pairs: move the source points, find their
-partners through grid cells, sum the normal equations per pair, solve, update the pair table. The
-driver only asks whether any pair is still active.
+Clouds are thinned once for all resolutions and pairs that share them; pairs of clouds that fit a task
+run all their rounds there (``scanmatch``). For larger clouds each round is one set-wise job over all
+unconverged pairs: move the source points, find their partners through grid cells, sum the normal
+equations per pair, solve, update the pair table; the driver only asks whether any pair is still active.
 """
 
 import math
@@ -27,10 +28,10 @@ from lidarlake.functions.predicates import voxel_coord_in_range
 from lidarlake.functions.scores import yaw_seeds
 from lidarlake.operators.clouds import voxel_centroid
 from lidarlake.operators.neighbors import grid_levels, nearest_in_grid, self_top_k
+from lidarlake.operators.scanmatch import MIN_POINTS, align_in_tasks, thinned, too_large
 from lidarlake.session import materialize
 
 UPPER = [(i, j) for i in range(6) for j in range(i, 6)]
-MIN_POINTS = 10
 
 
 def correspondences(src: DataFrame, tgt: DataFrame, max_dist: float, carry=(), leaf=None) -> DataFrame:
@@ -189,8 +190,34 @@ def _thin(points: DataFrame, leaf: float, name: str) -> DataFrame:
     return materialize(cells.select("pair_id", F.monotonically_increasing_id().alias(name), "x", "y", "z"))
 
 
-def _align(pairs, source, target, leaf, max_dist, rounds, kind, k, eps_t=1e-3, eps_r=math.radians(1.0)):
-    """Rounds of registration at one resolution.
+def _align(pairs, source, target, stages, k):
+    """Registration of all pairs through ``stages``: (leaf, max_dist, rounds, kind), coarse to fine.
+
+    ``pairs``: pair_id, T and, where several share their clouds, cloud_id; ``source`` and ``target``
+    carry cloud_id, else pair_id. Returns pair_id, T, converged, error, inliers, h, n_source, or no row
+    for pairs with fewer than ten points on either side.
+    """
+    pairs, source, target = (d if "cloud_id" in d.columns else d.withColumn("cloud_id", F.col("pair_id")) for d in (pairs, source, target))
+    pairs = pairs.select("pair_id", "cloud_id", "T")
+    wanted = pairs.select("cloud_id").distinct()
+    source, target = (d.select("cloud_id", "x", "y", "z").join(wanted, "cloud_id", "left_semi") for d in (source, target))
+    thin = thinned(source, target, [s[0] for s in stages])
+    large = too_large(thin)
+    if large.isEmpty():
+        return materialize(align_in_tasks(pairs, thin, stages, k))
+    large = materialize(large)
+    near = align_in_tasks(pairs.join(large, "cloud_id", "left_anti"), thin.join(large, "cloud_id", "left_anti"), stages, k)
+    far = materialize(pairs.join(large, "cloud_id"))
+    link = far.select("pair_id", "cloud_id")
+    state = far.select("pair_id", "T")
+    clouds = [d.join(link, "cloud_id").drop("cloud_id") for d in (source, target)]
+    for stage in stages:
+        state = _align_over_tables(state.select("pair_id", "T"), *clouds, *stage, k)
+    return materialize(near.unionByName(state))
+
+
+def _align_over_tables(pairs, source, target, leaf, max_dist, rounds, kind, k, eps_t=1e-3, eps_r=math.radians(1.0)):
+    """Rounds of registration at one resolution, each over the tables of all pairs.
 
     ``pairs``: pair_id, T. Returns pair_id, T, converged, error, inliers, h, n_source, or no row
     for pairs with fewer than ten points on either side.
@@ -282,15 +309,13 @@ def register_pairs(
 ) -> DataFrame:
     """Coarse-to-fine point-to-plane registration of all pairs, then an optional refinement.
 
-    ``pairs``: pair_id, T (start pose, source to target). ``source`` / ``target``: pair_id, x, y, z.
+    ``pairs``: pair_id, T (start pose, source to target) and, where pairs share clouds, cloud_id.
+    ``source`` / ``target``: pair_id (or cloud_id), x, y, z.
     Output: pair_id, T, converged, fitness, inlier_ratio, inliers, info, success.
     """
     leaf = max(1e-3, leaf)
-    start, state = pairs.select("pair_id", "T"), None
-    for res in (2 * leaf, leaf):
-        reach = max(max_dist, 6 * res) if res > leaf * 1.01 else max_dist
-        state = _align(start, source, target, res, reach, rounds, "plane", k)
-        start = state.select("pair_id", "T")
+    stages = [(2 * leaf, max(max_dist, 12 * leaf), rounds, "plane"), (leaf, max_dist, rounds, "plane")]
+    state = _align(pairs, source, target, stages, k)
     coarse = materialize(_result(pairs, state, thr, min_inlier))
     if not refine:
         return coarse
@@ -307,14 +332,14 @@ def refine_pairs(
 
     The refined result replaces the first only if it converged below ``thr``.
     """
-    seeds = pairs.select("pair_id", F.col("T").alias("_T0"))
+    seeds = pairs.select(*[c for c in ("pair_id", "cloud_id") if c in pairs.columns], F.col("T").alias("_T0"))
     delta = matches.join(seeds, "pair_id").withColumn("_d", pose_between("_T0", "T"))
     todo = delta.filter(
         (F.col("fitness") < fitness_gate)
         & (translation_norm("_d") <= gate_t)
         & (rotation_angle("_d") <= gate_r)
-    ).select("pair_id", "T")
-    state = _align(todo, source, target, leaf, max_dist, rounds, "gicp", k)
+    ).drop("_T0", "_d")
+    state = _align(todo, source, target, [(leaf, max_dist, rounds, "gicp")], k)
     fine = _result(todo, state, thr, 0.0).filter(F.col("converged") & (F.col("fitness") < thr))
     better = fine.withColumn("success", F.lit(True))
     return matches.join(better.select("pair_id"), "pair_id", "left_anti").unionByName(better)
@@ -332,7 +357,7 @@ def verify_pairs_keyframe(
     if "yaw" in pairs.columns:
         turned = pose_compose("T", yaw_pose(F.coalesce("yaw", F.lit(0.0))))
         start = pairs.withColumn("T", turned)
-    state = _align(start.select("pair_id", "T"), source, target, leaf, max_dist, rounds, "gicp", k)
+    state = _align(start, source, target, [(leaf, max_dist, rounds, "gicp")], k)
     return _result(pairs, state, thr, min_inlier)
 
 
@@ -366,11 +391,10 @@ def seeded_best(candidates: DataFrame, source, target, sector_deg=6.0, n=4, **op
         )
     )
 
-    def copies(cloud):
-        link = tries.select("pair_id", "parent")
-        return cloud.withColumnRenamed("pair_id", "parent").join(link, "parent").drop("parent")
-
-    tried = register_pairs(tries, copies(source), copies(target), **options)
+    # All starts of a candidate share its clouds.
+    shared = tries.withColumnRenamed("parent", "cloud_id")
+    clouds = [c.withColumnRenamed("pair_id", "cloud_id") for c in (source, target)]
+    tried = register_pairs(shared, *clouds, **options)
     best = tried.filter("converged").join(tries.select("pair_id", "parent"), "pair_id")
     rest = [c for c in tried.columns if c != "pair_id"]
     return best.groupBy(F.col("parent").alias("pair_id")).agg(

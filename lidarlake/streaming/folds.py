@@ -9,6 +9,7 @@ import math
 import numpy as np
 import pandas as pd
 
+from lidarlake.functions.numpose import angle, compose, distance, inverse
 from lidarlake.schema import POSE_FIELDS
 
 
@@ -27,33 +28,6 @@ def as_dict(pose):
     return None if pose is None else dict(zip(POSE_FIELDS, pose))
 
 
-def _rotate(q, v):
-    u = 2 * np.cross(q[:3], v)
-    return v + q[3] * u + np.cross(q[:3], u)
-
-
-def compose(a, b):
-    a, b = np.asarray(a, float), np.asarray(b, float)
-    qa, qb = a[3:], b[3:]
-    vec = qa[3] * qb[:3] + qb[3] * qa[:3] + np.cross(qa[:3], qb[:3])
-    t = a[:3] + _rotate(qa, b[:3])
-    return [*t.tolist(), *vec.tolist(), float(qa[3] * qb[3] - qa[:3] @ qb[:3])]
-
-
-def inverse(a):
-    a = np.asarray(a, float)
-    q = np.array([-a[3], -a[4], -a[5], a[6]])
-    return [*(-_rotate(q, a[:3])).tolist(), *q.tolist()]
-
-
-def distance(a, b):
-    return math.dist(a[:3], b[:3])
-
-
-def angle(a):
-    return 2 * math.atan2(math.hypot(*a[3:6]), abs(a[6]))
-
-
 def blend(a, b, t, tz):
     """Position on the straight line (own factor for height), rotation on the shortest arc."""
     pos = [x + f * (y - x) for x, y, f in zip(a[:3], b[:3], (t, t, tz))]
