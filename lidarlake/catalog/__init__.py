@@ -4,7 +4,7 @@ from importlib import import_module
 
 from lidarlake.catalog.registry import ORACLES, QUERIES
 
-_MODULES = ("points", "poses", "places", "matching", "flows")
+_MODULES = ("points", "poses", "places", "matching", "flows", "localizing")
 
 
 def _load():

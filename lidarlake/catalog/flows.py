@@ -148,18 +148,6 @@ def scored(spark, sf):
     )
 
 
-def tracked():
-    """Registration columns of the tracking step, from the same rows."""
-    f = F.col("frame_id")
-    return {
-        "nearest_id": F.when(f % 13 != 5, f % 40),
-        "track_converged": f % 7 != 3,
-        "track_fitness": (f % 10) * 0.04,
-        "track_inlier_ratio": F.lit(0.5),
-        "track_pose": F.col("pose"),
-    }
-
-
 @query("lock_tracker")
 def lock_tracker(spark, sf):
     return stateful.fold_batch(scored(spark, sf), folds.lock_step(), folds.LOCK_DDL)
@@ -171,29 +159,6 @@ def lock_tracker_stream(spark, sf):
     return drain(stateful.fold_stream(rows, folds.lock_step(), folds.LOCK_DDL))
 
 
-def tracking_rows(spark, sf):
-    f = F.col("seq")
-    zero = F.lit(0.0)
-    near = make_pose(F.lit(0.2) + (f % 3) * 0.4, zero, zero, zero, zero, zero, F.lit(1.0))
-    return odom_frames(spark, sf).select(
-        "session_id", f.alias("frame_id"), F.col("pose").alias("odom"), F.when(f % 13 != 5, f % 40).alias("nearest_id"),
-        (f % 7 < 3).alias("converged"), ((f % 10) * 0.04).alias("fitness"), F.lit(0.5).alias("inlier_ratio"),
-        pose_compose(near, "pose").alias("pose"), (f % 5 == 0).alias("retry_converged"), F.lit(0.05).alias("retry_fitness"),
-        F.lit(0.4).alias("retry_inlier_ratio"), pose_compose(near, "pose").alias("retry_pose"),
-    )
-
-
-@query("tracking_fusion")
-def tracking_fusion(spark, sf):
-    return stateful.fold_batch(tracking_rows(spark, sf), folds.track_step(), folds.TRACK_DDL)
-
-
-@query("localize_frame")
-def localize_frame(spark, sf):
-    rows = scored(spark, sf).withColumns(tracked())
-    return stateful.fold_batch(rows, folds.localize_step(), folds.LOCALIZE_DDL)
-
-
 _MODE = (
     f"with recursive odom as {with_views('odom').removeprefix('with odom as ')}, r as (select session_id, seq, 'MAP_LOADED' as mode, false as success, false as accepted, cast(null as double) as lx, cast(null as double) as "
     "ly, cast(null as double) as lyaw from (select distinct session_id, cast(-1 as bigint) as seq from odom) union all select session_id, seq, case when mode = 'MAP_LOADED' then case when lock then 'RELOCALIZED' else mode "

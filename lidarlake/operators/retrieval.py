@@ -280,13 +280,15 @@ def polar_scan(queries: DataFrame, base: DataFrame, keep=10, thr=0.3) -> DataFra
     )
 
     def run(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+        cols, parts = ["map_id", "query_id", "match_pos", "sc_distance", "shift"], []
+        frames, pos = list(bs["vec"]), bs["pos"].to_numpy()
         for q_id, qv in zip(qs["query_id"], qs["vec"]):
-            for p, bv in zip(bs["pos"], bs["vec"]):
-                d, k = V.polar_distance_one(qv, bv, V.POLAR_CHANNELS, V.POLAR_WEIGHTS)
-                if d <= thr:
-                    rows.append((qs["map_id"].iloc[0], q_id, p, d, k))
-        return pd.DataFrame(rows, columns=["map_id", "query_id", "match_pos", "sc_distance", "shift"])
+            d, k = _polar_kernel([qv] * len(frames), frames)
+            near = d <= thr
+            parts.append(pd.DataFrame({"query_id": q_id, "match_pos": pos[near], "sc_distance": d[near], "shift": k[near]}))
+        if not parts:
+            return pd.DataFrame([], columns=cols)
+        return pd.concat(parts).assign(map_id=qs["map_id"].iloc[0] if len(qs) else None)[cols]
 
     on = ["map_id", "q_block", "b_block"]
     hits = q.groupBy(*on).cogroup(b.groupBy(*on)).applyInPandas(

@@ -62,16 +62,17 @@ def verify_loops(
     """Register each query scan against the submap around its match.
 
     Both clouds are in the frame of the match and registration starts at identity, so the result
-    is the residual on top of the current estimate. Output: candidates' columns plus T (residual),
+    is the residual on top of the current estimate. A query near its match is no part of its own
+    target, or it would only find itself. Output: candidates' columns plus T (residual),
     T_match_query, fitness, inlier_ratio, converged, verified, info.
     """
     pairs = _pairs(candidates, keyframes)
     query = pairs.select("pair_id", "map_id", F.col("query_id").alias("kf_id"), F.col("estimate").alias("pose"))
     source = member_points(query, points).select("pair_id", "x", "y", "z")
     around = submap_members(
-        pairs.select("pair_id", "map_id", F.col("match_id").alias("center_id"), F.col("match_id").alias("root_id")),
+        pairs.select("pair_id", "map_id", F.col("match_id").alias("center_id"), F.col("match_id").alias("root_id"), "query_id"),
         keyframes, radius, radius, "root_id",
-    )
+    ).filter(F.col("kf_id") != F.col("query_id"))
     target = member_points(around, points).select("pair_id", "x", "y", "z")
     start = pairs.select("pair_id", identity_pose().alias("T"))
     found = register_pairs(start, source, target, **options)

@@ -6,7 +6,6 @@ the output rows. Rows are slim: poses and scores, never points.
 
 import math
 
-import numpy as np
 import pandas as pd
 
 from lidarlake.functions.numpose import angle, compose, distance, inverse
@@ -28,20 +27,6 @@ def as_dict(pose):
     return None if pose is None else dict(zip(POSE_FIELDS, pose))
 
 
-def blend(a, b, t, tz):
-    """Position on the straight line (own factor for height), rotation on the shortest arc."""
-    pos = [x + f * (y - x) for x, y, f in zip(a[:3], b[:3], (t, t, tz))]
-    qa, qb = np.asarray(a[3:]), np.asarray(b[3:])
-    dot = float(qa @ qb)
-    if abs(dot) >= 1 - 1e-15:
-        wa, wb = 1 - t, t
-    else:
-        th = math.acos(min(1.0, abs(dot)))
-        wa, wb = math.sin((1 - t) * th) / math.sin(th), math.sin(t * th) / math.sin(th)
-    q = wa * qa + (wb if dot >= 0 else -wb) * qb
-    return [*pos, *(q / np.linalg.norm(q)).tolist()]
-
-
 # --- keyframe gate ----------------------------------------------------------------------------
 
 
@@ -180,131 +165,6 @@ def lock_step(params=None):
     return fold
 
 
-# --- tracking with a known correction ---------------------------------------------------------
-
-TRACK = {"fitness": 0.3, "inlier": 0.03, "max_failures": 5, "retry_failures": 5}
-
-
-def new_track(map_odom):
-    return {"T": map_odom, "failures": 0, "match": None, "locked": True}
-
-
-def track_frame(state, odom, nearest, icp, retry, p=TRACK):
-    """One tracked frame: blend the correction towards the registration, or ride on odometry.
-
-    ``icp`` and ``retry``: dicts converged, fitness, inlier, pose, or None.
-    """
-    s = dict(state)
-    predicted = compose(s["T"], odom)
-    out = {"success": False, "match_id": None, "pose": predicted, "confidence": 0.0, "fitness": None}
-    if s["failures"] > p["max_failures"]:
-        s["locked"] = False
-        return s, out
-    def usable(m):
-        return m is not None and m["converged"] and m["fitness"] < p["fitness"] and m["inlier"] >= p["inlier"]
-
-    best = icp
-    if nearest is not None and not usable(icp) and s["failures"] < p["retry_failures"]:
-        if retry is not None and retry["converged"] and (icp is None or retry["fitness"] < icp["fitness"]):
-            best = retry
-    if nearest is not None and usable(best):
-        conf = min(1.0, max(0.0, math.exp(-best["fitness"] / (p["fitness"] * 0.5))))
-        moved = distance(predicted, best["pose"])
-        step = (0.3, 0.2) if moved <= 0.5 else (0.15, 0.1) if moved <= 2.0 else (0.08, 0.05)
-        alpha = max(0.01, min(conf * step[0], step[1]))
-        s["T"] = blend(s["T"], compose(best["pose"], inverse(odom)), alpha, 0.3 * alpha)
-        s["failures"], s["match"] = 0, nearest
-        return s, {
-            "success": True, "match_id": nearest, "pose": compose(s["T"], odom), "confidence": conf,
-            "fitness": best["fitness"],
-        }
-    s["failures"] += 1
-    if s["failures"] > p["max_failures"]:
-        s["locked"] = False
-    else:
-        out["success"] = True
-    out.update(match_id=s["match"], confidence=0.5 if nearest is None else 0.2)
-    return s, out
-
-
-def _match(r, prefix=""):
-    if _plain(getattr(r, f"{prefix}fitness", None)) is None:
-        return None
-    return {
-        "converged": bool(getattr(r, f"{prefix}converged")),
-        "fitness": float(getattr(r, f"{prefix}fitness")),
-        "inlier": float(getattr(r, f"{prefix}inlier_ratio")),
-        "pose": as_list(getattr(r, f"{prefix}pose")),
-    }
-
-
-TRACK_DDL = (
-    "frame_id long, success boolean, locked boolean, match_id long, confidence double, fitness double, pose array<double>"
-)
-_TRACK_COLS = ["frame_id", "success", "locked", "match_id", "confidence", "fitness", "pose"]
-
-
-def track_step(map_odom=None, params=None):
-    """Tracking over one row per frame: odom, nearest_id, converged, fitness, inlier_ratio, pose,
-    and the same with prefix ``retry_`` for the widened second try."""
-    p = {**TRACK, **(params or {})}
-    start = map_odom or [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0]
-
-    def fold(state, pdf: pd.DataFrame):
-        state = state or new_track(start)
-        out = []
-        for r in pdf.itertuples():
-            near = _plain(r.nearest_id)
-            state, res = track_frame(
-                state, as_list(r.odom), None if near is None else int(near), _match(r), _match(r, "retry_"), p
-            )
-            out.append({"frame_id": int(r.frame_id), "locked": state["locked"], **res})
-        return state, pd.DataFrame(out, columns=_TRACK_COLS)
-
-    return fold
-
-
-def localize_step(lock_params=None, track_params=None):
-    """Track while locked; otherwise, or when tracking fails, gather evidence for a lock.
-
-    Rows as for ``lock_step`` plus the tracking columns (prefix ``track_``), equal on all rows of
-    a frame. Without success the pose is odometry through the last known correction.
-    """
-    lp, tp = {**LOCK, **(lock_params or {})}, {**TRACK, **(track_params or {})}
-    identity = [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0]
-
-    def fold(state, pdf: pd.DataFrame):
-        state = state or {"lock": new_lock(), "track": {**new_track(identity), "locked": False}}
-        out = []
-        for frame, rows in pdf.groupby("frame_id", sort=True):
-            first = next(rows.itertuples())
-            odom = as_list(first.odom)
-            row = {"frame_id": int(frame), "success": False, "relocked": False, "match_id": None}
-            pose = None
-            if state["track"]["locked"]:
-                near = _plain(first.nearest_id)
-                state["track"], res = track_frame(
-                    state["track"], odom, None if near is None else int(near), _match(first, "track_"), None, tp
-                )
-                if res["success"]:
-                    pose, row["success"], row["match_id"] = res["pose"], True, res["match_id"]
-            if not state["track"]["locked"] or not row["success"]:
-                state["lock"], res = lock_frame(state["lock"], [_scored(r) for r in rows.itertuples()], odom, lp)
-                if res["locked"]:
-                    state["track"] = {**new_track(res["map_odom"]), "match": res["match_id"]}
-                    pose = compose(res["map_odom"], odom)
-                    row.update(success=True, relocked=True, match_id=res["match_id"])
-            if pose is None:
-                pose = compose(state["track"]["T"], odom)
-            out.append({**row, "pose": pose})
-        return state, pd.DataFrame(out, columns=["frame_id", "success", "relocked", "match_id", "pose"])
-
-    return fold
-
-
-LOCALIZE_DDL = "frame_id long, success boolean, relocked boolean, match_id long, pose array<double>"
-
-
 # --- mode of a session that extends a loaded map ----------------------------------------------
 
 

@@ -254,14 +254,6 @@ def test_lock_after_full_window():
     assert out["map_odom"].iloc[2][0] == pytest.approx(5.0) and state == folds.new_lock()
 
 
-def test_tracking_loses_lock_after_failures():
-    row = dict(nearest_id=1, converged=False, fitness=1.0, inlier_ratio=0.0, retry_fitness=None)
-    pdf = pd.DataFrame([{"frame_id": i, "odom": list(ID), "pose": list(ID), **row} for i in range(7)])
-    _, out = folds.track_step()(None, pdf)
-    assert out["locked"].tolist() == [True] * 5 + [False, False]
-    assert out["success"].tolist() == [True] * 5 + [False, False]
-
-
 def test_strict_and_salvage(spark):
     nan = float("nan")
     kf = frames(spark, [(0, 0, 0.0, ID, ID, False), (0, 1, nan, ID, ID, False), (1, 0, 0.0, ID, ID, False), (1, 0, 1.0, ID, ID, False)])

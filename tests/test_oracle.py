@@ -8,10 +8,8 @@ from lidarlake.catalog import all_oracles, all_queries
 from tests.compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
-# Iterative jobs; run them with LIDARLAKE_SLOW=1 or through tests.compare.
-SLOW = {
-    "register_pairs", "refine_pairs", "verify_pairs_keyframe", "align_batch", "seeded_best", "verify_loops",
-}
+# Frame rounds take minutes; run them with LIDARLAKE_SLOW=1 or through tests.compare.
+SLOW = {"localize_frame", "tracking_fusion"}
 NAMES = [n for n in all_oracles() if os.environ.get("LIDARLAKE_SLOW") or n not in SLOW]
 
 
