@@ -85,8 +85,11 @@ def queue_entries(sizes: DataFrame, targets: DataFrame, repeats=3, split=True) -
 ORDER = ("finish", "shuffle", "doc_id", "size", "tie", "row_id", "copy", "piece")
 
 
-def take_in_order(entries: DataFrame, budget: int) -> DataFrame:
-    """Entries in global order of finish time until their words exceed the budget: (row_id, copy, words)."""
+def take_in_order(entries: DataFrame, budget: int, whole=False) -> DataFrame:
+    """Entries in global order of finish time until their words exceed the budget: (row_id, copy, words).
+
+    With ``whole`` the entry that crosses the budget is the last one taken, not the first one left.
+    """
     spread = entries.repartitionByRange(*ORDER).withColumn("part", F.spark_partition_id())
     spread = materialize(spread)
     sums = spread.groupBy("part").agg(F.sum("words").alias("s"))
@@ -94,7 +97,8 @@ def take_in_order(entries: DataFrame, budget: int) -> DataFrame:
     sums = sums.select("part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("carried"))
     inside = Window.partitionBy("part").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = spread.withColumn("ahead", F.sum("words").over(inside)).join(sums, "part")
-    return rows.where(F.col("carried") + F.col("ahead") <= budget).select("row_id", "copy", "words")
+    used = F.col("carried") + F.col("ahead")
+    return rows.where(used - F.col("words") < budget if whole else used <= budget).select("row_id", "copy", "words")
 
 
 def document_sizes(df: DataFrame, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
@@ -117,12 +121,13 @@ def mix(sizes: DataFrame, weights=WEIGHTS, repeats=3) -> tuple[DataFrame, DataFr
 def whole_entries(sizes: DataFrame, weights=WEIGHTS, repeats=3) -> DataFrame:
     """(row_id, copy, words) of a mix without split documents.
 
-    Each source's queue is taken up to the entry at its target; that one is taken or left as a whole,
-    whichever ends nearer to the target (taken if both are as near).
+    A source's queue ends with the entry at its target, which stays if it brings the source nearer to the
+    target (also if both are as near). What is left is taken whole in order of finish times until the budget is met.
     """
     targets = materialize(source_targets(sizes, weights, repeats))
+    budget = targets.agg(F.sum("source_size")).first()[0] or 0
     entries = queue_entries(sizes, targets, repeats, split=False)
-    return entries.where(2 * F.col("stop") - F.col("words") <= 2 * F.col("target")).select("row_id", "copy", "words")
+    return take_in_order(entries.where(2 * F.col("stop") - F.col("words") <= 2 * F.col("target")), budget, whole=True)
 
 
 def mixture(df: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, repeats=3) -> DataFrame:

@@ -42,7 +42,7 @@ def similar(a, b, percent=75):
     return bool(a) and bool(b) and 100 * len(a & b) >= percent * len(a | b)
 
 
-def linked_components(docs):
+def linked_components(docs, percent=75):
     """[(doc_id, text)] -> per row (n_shingles, component)."""
     last = float("inf")
     ids = [last if d is None else d for d, _ in docs]
@@ -55,7 +55,7 @@ def linked_components(docs):
         return x
 
     for i, j in combinations(range(len(docs)), 2):
-        if similar(sets[i], sets[j]):
+        if similar(sets[i], sets[j], percent):
             a, b = sorted((root(ids[i]), root(ids[j])))
             parent[b] = a
     return [(len(s), None if root(d) == last else root(d)) for d, s in zip(ids, sets)]

@@ -1,8 +1,11 @@
 """Operators on Spark against plain code: nulls, empty and long texts, ties, repeats, clashing columns."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lidarlake.llm import bpe, fingerprints, html_text, jaccard_join, langid, line_dedup, mixing, ogg, queries, token_counts, warc
+from lidarlake.llm import bpe, fingerprints, html_text, jaccard_join, langid, line_dedup, merkle, mixing, ogg, queries, resampling, signature_join, token_counts, warc
 from lidarlake.llm.components import components
 from tests.compare import compare, connect
 from tests.llm import plain
@@ -20,7 +23,7 @@ from tests.llm import plain
 SF = "/root/testdata/sf0.001"
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that bear names the operators use inside or return.
-CLASH = ("row", "doc", "key", "lost", "id", "size", "words", "hub", "n_lines", "n_tokens", "ids", "score", "media", "fp", "f_words", "row_id")
+CLASH = ("row", "doc", "key", "lost", "id", "size", "words", "hub", "n_lines", "n_tokens", "ids", "score", "media", "fp", "f_words", "row_id", "kept", "node", "n", "tree", "leaf", "pos", "rank", "weight", "buckets")
 
 
 def table_of(spark, rows, clash=True):
@@ -293,6 +296,26 @@ def test_warc_files(spark, tmp_path):
     assert out.count() == 10 and out.where("error is not null").count() == 0
 
 
+def whole_mix(docs, repeats=3):
+    """Like plain.mixed, but each source's entry at its target is taken or left as a whole, up to the budget."""
+    per, entries, parts, used = plain.mixed(docs)[0], [], [], 0
+    for s in {d[1] for d in docs}:
+        keys = {i: hashlib.md5(("" if d[0] is None else str(d[0])).encode()).hexdigest() for i, d in enumerate(docs) if d[1] == s}
+        stop = 0
+        for copy in range(repeats):
+            for i in sorted(keys, key=keys.get):
+                start, stop = stop, stop + per[i][0]
+                if per[i][2] and stop - per[i][2] <= per[i][2] - start:
+                    entries.append((stop / per[i][2], keys[i], docs[i][0] or 0, per[i][0], copy, i))
+    for *_, words, copy, i in sorted(entries):
+        if used >= sum(n for n, *_ in per):
+            break
+        used += words
+        if words:
+            parts.append((i, copy, words))
+    return per, parts
+
+
 def plain_pipeline(docs):
     """The rows of the pipeline by plain code; docs: (doc_id, text, lang, source)."""
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
@@ -300,10 +323,9 @@ def plain_pipeline(docs):
     docs = [(d[0], kept, d[3]) for d, (_, _, kept) in zip(docs, plain.kept_lines([d[:2] for d in docs]))]
     groups = plain.linked_components([d[:2] for d in docs])
     docs = [d for d, (_, c) in zip(docs, groups) if d[0] == c]
-    want, parts = plain.mixed([(d, s, t) for d, t, s in docs])
     out = []
-    for i, _, w in parts:
-        text = docs[i][1] if w == want[i][0] else plain.leading_words(docs[i][1], w)
+    for i, *_ in whole_mix([(d, s, t) for d, t, s in docs])[1]:
+        text = docs[i][1]
         ids = library.encode(text, add_special_tokens=False).ids
         raw = np.array(ids, "<u4").tobytes()
         out.append((docs[i][0], docs[i][2], len(ids), raw, hashlib.sha256(raw).hexdigest(), plain.sha(library.decode(ids, skip_special_tokens=False))))
@@ -327,21 +349,6 @@ def test_pipeline(spark, rows, tmp_path):
     assert ordered((*r[:3], bytes(r[3]), *r[4:]) for r in map(tuple, got)) == ordered(want)
 
 
-def whole_mix(docs, repeats=3):
-    """Like plain.mixed, with each source's entry at its target taken or left as a whole."""
-    per, parts = plain.mixed(docs)[0], []
-    for s in {d[1] for d in docs}:
-        queue = [i for i, d in enumerate(docs) if d[1] == s]
-        queue.sort(key=lambda i: hashlib.md5(str(docs[i][0]).encode()).hexdigest())
-        stop = 0
-        for copy in range(repeats):
-            for i in queue:
-                start, stop = stop, stop + per[i][0]
-                if per[i][0] and stop - per[i][2] <= per[i][2] - start:
-                    parts.append((i, copy, per[i][0]))
-    return per, parts
-
-
 def test_pipeline_mixes_whole_documents(spark, rows):
     used = [r for r in rows if r[0] not in (8, 12, None)]
     docs = [(r[0], r[3], r[1]) for r in used]
@@ -355,6 +362,149 @@ def test_pipeline_of_repeats_and_nothing(spark, rows, tmp_path):
     assert run_stages(spark, table_of(spark, []), tmp_path / "b").count() == 0
 
 
+def test_near_duplicates(spark, rows):
+    """Components at 0.85 by plain code: nulls, repeats, rows that share an id, groups of near copies, shared passages."""
+    got = signature_join.near_duplicates(table_of(spark, rows)).collect()
+    want = [(d, *x) for (d, _), x in zip(pairs(rows), plain.linked_components(pairs(rows), 85))]
+    assert ordered(map(tuple, got)) == ordered((d, n, c, d == c) for d, n, c in want)
+    assert signature_join.near_duplicates(table_of(spark, [])).count() == 0
+
+
+def test_near_duplicates_beyond_the_hub(spark):
+    """Chains, copies far from the text they come from but near each other, and a passage in many texts."""
+    rnd = random.Random(21)
+    base = [f"c{i}" for i in range(120)]
+    rows = [(1, " ".join(base), None, None, 0)]
+    for k in range(30):  # edits of the base, some too many for a link, in pairs that share their edits
+        w = list(base)
+        for i in rnd.sample(range(120), rnd.choice((1, 2, 5, 9))):
+            w[i] = f"e{k}.{i}"
+        rows.append((10 + 2 * k, " ".join(w), None, None, 0))
+        w[rnd.randrange(120)] = f"x{k}"
+        rows.append((11 + 2 * k, " ".join(w), None, None, 0))
+    for k in range(25):
+        rows.append((200 + k, " ".join(base), None, None, 0))
+        base = base[4:] + [f"d{k}.{j}" for j in range(4)]
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows += [(400 + k, passage + " " + " ".join(f"q{rnd.randrange(10**6)}" for _ in range(30)), None, None, 0) for k in range(40)]
+    got = signature_join.near_duplicates(table_of(spark, rows)).collect()
+    want = plain.linked_components(pairs(rows), 85)
+    assert ordered((r.doc_id, r.component_id) for r in got) == ordered((r[0], c) for r, (_, c) in zip(rows, want))
+    assert len({c for _, c in want}) > 45
+
+
+def test_signature_agreement():
+    """Coordinates agree as often as the sets are similar."""
+    rng = np.random.default_rng(1)
+    both, own = rng.integers(0, 2**63, 1700, dtype=np.uint64), rng.integers(0, 2**63, 300, dtype=np.uint64)
+    a, b = (signature_join.signature(np.sort(np.concatenate([both, o]))) for o in (own[:150], own[150:]))
+    assert abs((a == b).mean() - 0.85) < 0.14 and (a == signature_join.signature(both[:50])).mean() < 0.2
+
+
+def plain_draw(docs, target, least=20, percent=25):
+    """Rows of the resampling by plain code."""
+    split = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+    def buckets(text):
+        w = split.findall((text or "").translate(plain.LOWER))
+        return len(w), [zlib.crc32(f.encode()) % 10000 for f in w + [f"{a} {b}" for a, b in zip(w, w[1:])]]
+
+    own, aim = [buckets(t) for _, t in docs], [buckets(t) for t in target]
+    s, t = (Counter(b for _, f in part for b in f) for part in (own, aim))
+    size = [sum(c.values()) for c in (s, t)]
+    gain = {b: math.floor(1000 * math.log((t[b] + 1) * (size[0] + 10000) / ((s[b] + 1) * (size[1] + 10000)))) for b in s}
+    out = []
+    for (d, _), (n, f) in zip(docs, own):
+        weight = sum(gain[b] for b in f) // len(f) if f else 0
+        h = int(hashlib.sha256(f"7:{'' if d is None else d}".encode()).hexdigest()[:8], 16)
+        out.append((d, n, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
+    may = sorted((r for r in out if r[1] >= least), key=lambda r: (-r[4], r[0] is None, r[0] or 0, r[2], r[3]))
+    rank = {}
+    for i, r in enumerate(may[: len(may) * percent // 100]):
+        rank.setdefault(r, []).append(i + 1)
+    return [(r[0], *r[2:], rank[r].pop(0) if rank.get(r) else None) for r in out]
+
+
+def test_resampling(spark, rows, monkeypatch):
+    target = [rows[0][1], None, "", "One two 3 four ÄÖ", rows[20][1]]
+    aim = spark.createDataFrame([(i, t) for i, t in enumerate(target)], "item_id long, text string")
+    want = ordered(plain_draw(pairs(rows), target))
+    assert ordered(map(tuple, resampling.resample(table_of(spark, rows), aim).collect())) == want
+    assert sum(r[-1] is not None for r in want) > 5
+    assert resampling.resample(table_of(spark, []), aim).count() == 0
+    nothing = resampling.resample(table_of(spark, rows), aim.limit(0)).collect()
+    assert ordered(map(tuple, nothing)) == ordered(plain_draw(pairs(rows), []))
+
+
+def test_resampling_of_long_texts(monkeypatch):
+    """A text cut into blocks has the same features as a whole one."""
+    rnd = random.Random(3)
+    text = " ".join(rnd.choice(("a", "Bé", "c-d", "x" * 60, "9.5", "--")) for _ in range(3000)).encode()
+    split = resampling.splitter()
+    many, _, whole = resampling.window_buckets([text], split)
+    from lidarlake.llm import common
+
+    monkeypatch.setattr(common, "BLOCK_CHARS", 500)
+    n, parts = resampling._long_text(text, split, resampling.BUCKETS, 2)
+    assert n == many[0] and sorted(parts.tolist()) == sorted(whole.tolist()) and n > 3000
+
+
+def plain_manifest(rows, tampered):
+    """(leaf, subroot, root, proof, folded root, verified) per row by plain code; rows: doc_id, source, lang, n_chars, text."""
+    def leaf(r):
+        return plain.sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in r))
+
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([plain.sha("".join(out[-1][i : i + 8])) for i in range(0, len(out[-1]), 8)])
+        return out
+
+    def climb(tree, at, h):
+        seen = ""
+        for nodes in tree[:-1]:
+            run, k = nodes[at // 8 * 8 : at // 8 * 8 + 8], at % 8
+            seen, h, at = seen + "".join(run[:k] + run[k + 1 :]), plain.sha("".join(run[:k] + [h] + run[k + 1 :])), at // 8
+        return seen, h
+
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[2], []).append(r)
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    for g in order:
+        groups[g].sort(key=lambda r: (r[0] is None, r[0] or 0, leaf(r)))
+    trees = [levels([leaf(r) for r in groups[g]]) for g in order]
+    top = levels([t[-1][0] for t in trees])
+    out = []
+    for k, g in enumerate(order):
+        for i, r in enumerate(groups[g]):
+            inner, h = climb(trees[k], i, leaf(tampered(r)))
+            outer, h = climb(top, k, h)
+            out.append((r[0], leaf(r), trees[k][-1][0], top[-1][0], plain.sha(inner + outer), h, h == top[-1][0]))
+    return out
+
+
+def lowered(r):
+    if r[0] is None or r[4] is None or zlib.crc32(str(r[0]).encode()) % 3:
+        return r
+    return (*r[:4], r[4].translate(plain.LOWER))
+
+
+@pytest.mark.parametrize("lane", [4096, 8, 16])
+def test_manifest(spark, rows, monkeypatch, lane):
+    monkeypatch.setattr(merkle, "LANE", lane)
+    many = rows + [(1000 + i, f"Text {i}", (None, "yy", f"l{i % 11}")[i % 3], "s", i) for i in range(150 if lane == 8 else 20)]
+    got = merkle.tamper_check(table_of(spark, many)).collect()
+    want = plain_manifest([(r[0], r[3], r[2], r[4], r[1]) for r in many], lowered)
+    assert ordered(map(tuple, got)) == ordered(want) and {r[-1] for r in want} == {True, False}
+
+
+def test_manifest_of_one_and_none(spark):
+    for rows in ([(3, "A", None, "s", 1)], [(3, "A", "x", None, None), (4, None, "y", "s", 0)], []):
+        got = merkle.tamper_check(table_of(spark, rows)).collect()
+        assert ordered(map(tuple, got)) == ordered(plain_manifest([(r[0], r[3], r[2], r[4], r[1]) for r in rows], lowered) if rows else [])
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_sql(spark, name):
     diff, n = compare(spark, connect(SF), queries.QUERIES[name], queries.ORACLES[name], SF)
@@ -365,4 +515,4 @@ def test_all_queries_are_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
