@@ -22,7 +22,10 @@ def _counted(docs):
 
 
 def language_id(spark, docs, sf_dir):
-    """Rejects documents without a recognisable language; fills in a missing language."""
+    """Rejects documents without a recognisable language; fills in a missing language.
+
+    Null, empty and letterless texts are rejected; repeated rows are judged alike; an empty table stays empty.
+    """
     ship_package(spark)
     sample = langid.labelled_sample(docs)
     names = ("_stage_lang", "_stage_score")
@@ -32,21 +35,31 @@ def language_id(spark, docs, sf_dir):
 
 
 def repeated_lines(spark, docs, sf_dir):
-    """Drops lines that an earlier document holds; a document left without lines keeps an empty text."""
+    """Drops lines that an earlier document holds; a document left without lines keeps an empty text.
+
+    A null text counts as empty; rows of one doc_id are one holder and keep the same lines; a null doc_id comes last.
+    """
     ship_package(spark)
     return _counted(line_dedup.drop_repeated_lines(docs).select(*docs.columns))
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Keeps the document with the least id of each group linked by similarity (all rows of that id)."""
+    """Keeps the document with the least id of each group linked by similarity (all rows of that id).
+
+    Texts without words are linked with nothing and stay; rows with a null doc_id are one document, after all others.
+    """
     ship_package(spark)
     groups = jaccard_join.similarity_components(docs.select("doc_id", "text"))
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
+    name = "first_" + max(docs.columns, key=len)  # longer than any column of the table
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
 
 
 def source_mix(spark, docs, sf_dir):
-    """Takes whole documents until each source is nearest to its share of the words, some of them up to three times."""
+    """Takes whole documents by finish time, some up to three times, each source ending nearest to its share of the words.
+
+    Texts without words are not taken; null sources are one source; ties of an id are settled by size and a hash of the text.
+    """
     ship_package(spark)
     return _counted(mixing.mixed_documents(docs, whole=True))
 
