@@ -11,7 +11,6 @@ from lidarlake.functions.pose import (
     make_pose,
     pose_between,
     pose_compose,
-    pose_inverse,
     transform_xyz,
     translation_distance,
     yaw_of,
@@ -19,7 +18,6 @@ from lidarlake.functions.pose import (
 )
 from lidarlake.functions.scores import diagonal_information, edge_information
 from lidarlake.operators import evaluate, posegraph, ranking, register
-from lidarlake.operators.clouds import transform_points
 from lidarlake.plans import loops
 from lidarlake.session import materialize
 
