@@ -11,7 +11,9 @@ shingles are counted over all documents, block by block, and summed; the list on
 so its bounded length costs speed at most, never a link. Should a set fill no more than D words, all
 documents of its band also meet on the smallest shingle hashes of their prefix.
 
-Equal sets are one class from the start. Members of a word meet one of them, the hub, a set meets a
+Equal sets are one class from the start. The shingles that no other class holds are counted for each
+class, so what two sets can have in common is bounded by what either may share; a class that has not enough
+left for the similarity with any set takes no part. Members of a word meet one of them, the hub, a set meets a
 few hubs; candidates that dense parity sketches of a few bits per shingle do not rule out are compared on whole texts,
 linked ones are joined to components. Members of different components that still share a word meet new
 hubs while that joins components, then each other. So a group of copies, of any size, needs
@@ -26,7 +28,7 @@ Shingles are compared by 64-bit hashes, sets by 128-bit hashes.
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lidarlake.llm.common import as_bytes, fixed_binary, slices
@@ -45,6 +47,8 @@ GROUP = 500
 COMMON, MOST_COMMON = 2, 400_000
 #: Bytes of text of such a block.
 COMMON_BLOCK = 2 << 20
+#: Shingles of one bucket when their holders are counted.
+BUCKET = 1_000_000
 #: Rows (of 40 bytes) of a table of pairs that is broadcast at most.
 MOST_SENT = 100_000
 _LAST = (1 << 63) - 1
@@ -259,32 +263,150 @@ def common_shingles(sets: DataFrame, most=MOST_COMMON) -> tuple:
     return h[order], np.clip(level[order].astype(np.uint8), 1, 62)
 
 
+def own_shingles(rows: DataFrame, classes: DataFrame, width=5, common=NOTHING) -> DataFrame:
+    """Rows (node, own): the number of shingles of a set that no other set holds, at most.
+
+    Shingles go in packs, five bytes each, to buckets of a part of the hash range. Common shingles are held
+    by several sets as they are listed, so they stay where they are.
+    """
+    buckets = 1 + (classes.agg(F.sum("n")).first()[0] or 0) // BUCKET
+
+    def packs(batches):
+        seen = set()
+        for batch in batches:
+            for part in slices(batch, "text", COMMON_BLOCK):
+                sets = _new_sets(part, width, seen)
+                if not sets:
+                    continue
+                h, who = np.concatenate([t[1] for t in sets]), np.repeat(np.arange(len(sets)), [len(t[1]) for t in sets])
+                rare = commonness(h, common) == 0
+                h, who = h[rare], who[rare]
+                bucket = (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                h, who, bucket = h[order], who[order], bucket[order]
+                # Runs of one set in one bucket, packs of one bucket.
+                run = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (who[1:] != who[:-1])])[: len(h)])
+                pack = np.flatnonzero(np.concatenate([[True], bucket[run][1:] != bucket[run][:-1]])[: len(run)])
+                nodes = np.array([t[0] for t in sets], np.int64)[who[run]]
+                sizes = np.diff(np.append(run, len(h))).astype(np.uint32)
+                rest = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :5])
+                ends, marks = np.append(pack, len(run)), np.append(run[pack], len(h))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[run[pack]]), _cut(nodes, ends * 8), _cut(sizes, ends * 4), _cut(rest, marks * 5)],
+                    ["bucket", "nodes", "sizes", "rest"],
+                )
+
+    def count(batches):
+        now, hashes, nodes, many = None, [], [], 0
+        for batch in batches:
+            for bucket, who, sizes, rest in zip(*(batch.column(c).to_pylist() for c in ("bucket", "nodes", "sizes", "rest"))):
+                if bucket != now and hashes:
+                    yield _owners(*_two_holders(hashes, nodes))
+                    hashes, nodes, many = [], [], 0
+                now, wide = bucket, np.zeros((len(rest) // 5, 8), np.uint8)
+                wide[:, :5] = np.frombuffer(rest, np.uint8).reshape(-1, 5)
+                hashes.append(wide.view(np.uint64).ravel())
+                nodes.append(np.repeat(np.frombuffer(who, np.int64), np.frombuffer(sizes, np.uint32)))
+                many += len(wide)
+                if many > 4 * BUCKET:
+                    h, w = _two_holders(hashes, nodes)
+                    hashes, nodes, many = [h], [w], 0
+        if hashes:
+            yield _owners(*_two_holders(hashes, nodes))
+
+    packed = rows.mapInArrow(packs, "bucket long, nodes binary, sizes binary, rest binary")
+    dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(count, "node long, own long").groupBy("node").agg(F.sum("own").alias("own"))
+
+
+def _new_sets(part, width, seen):
+    """(node, set) of each set of a batch that this task did not have before."""
+    out = []
+    for s in shingle_sets(as_bytes(part.column("text")), width):
+        node = int.from_bytes(_class_of(s)[:8], "little", signed=True)
+        if not len(s) or node in seen:
+            continue
+        if len(seen) > 1_000_000:
+            seen.clear()
+        seen.add(node)
+        out.append((node, s))
+    return out
+
+
+def _cut(values, ends):
+    """A binary array of the bytes of ``values`` between the given ends."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values.tobytes())])
+
+
+def _two_holders(hashes, nodes):
+    """Each hash with its least and its greatest holder, or its only one."""
+    h, w = np.concatenate(hashes), np.concatenate(nodes)
+    order = np.lexsort((w, h))
+    h, w = h[order], w[order]
+    apart = np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
+    h, w = h[apart], w[apart]
+    change = h[1:] != h[:-1]
+    keep = np.concatenate([[True], change]) | np.concatenate([change, [True]])
+    return h[keep], w[keep]
+
+
+def _owners(h, w):
+    """Rows (node, own) of the hashes that have one holder."""
+    change = h[1:] != h[:-1]
+    single = np.concatenate([[True], change]) & np.concatenate([change, [True]])
+    nodes, own = np.unique(w[single], return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(own, pa.int64())], ["node", "own"])
+
+
+def live_classes(classes: DataFrame, own: DataFrame, percent=75) -> DataFrame:
+    """Written rows (doc, wanted, free) of the classes that can be linked at all.
+
+    free: how many shingles some other set may hold. A class links only if these are enough for the
+    similarity with a set that has no others.
+    """
+    nodes = classes.groupBy("node").agg(F.collect_set("rep").alias("reps"), F.max("n").alias("n"))
+    # Of different sets with one node nothing is known.
+    alone = F.when(F.size("reps") == 1, F.col("own"))
+    live = nodes.join(own, "node", "left").withColumn("free", F.col("n") - F.coalesce(alone, F.lit(0)))
+    live = live.where(F.col("free") * 100 >= F.col("n") * percent)
+    return materialize(live.select(F.explode("reps").alias("doc"), F.col("node").alias("wanted"), "free"))
+
+
+def _live_words(rows, sets, classes, lost, width, percent, fill):
+    """Written candidate words of the classes that can be linked."""
+    common = common_shingles(sets)
+    live = live_classes(classes, own_shingles(rows, classes, width, common), percent)
+    # A few classes go to the texts; beyond the limit both are shuffled.
+    small = live.count() <= MOST_SENT
+    chosen = rows.join(F.broadcast(live) if small else live, "doc")
+    return materialize(candidate_words(chosen, width, percent, fill, lost, common))
+
+
 def candidate_words(rows: DataFrame, width=5, percent=75, fill=FILL, lost_bands=(), common=NOTHING) -> DataFrame:
-    """Rows (word, node, n) of the sketch words that sets meet on.
+    """Distinct rows (word, node, n, free) of the sketch words that sets meet on.
 
-    A node is the first half of a set's hash, so copies are one node; a task emits it once.
+    ``rows``: (doc, text, wanted, free), a text of each class; a text that is not of the wanted node is left out.
+    A node is the first half of a set's hash.
     """
 
     def run(batches):
-        seen = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                keys, size, nodes = [np.zeros(0, np.uint64)], [0], [0]
-                for s in shingle_sets(as_bytes(part.column("text")), width):
+                keys, size, nodes, free = [np.zeros(0, np.uint64)], [0], [0], [0]
+                asked = zip(part.column("wanted").to_pylist(), part.column("free").to_pylist())
+                for s, (wanted, shared) in zip(shingle_sets(as_bytes(part.column("text")), width), asked):
                     node = int.from_bytes(_class_of(s)[:8], "little", signed=True)
-                    if not len(s) or node in seen:
+                    if not len(s) or node != wanted:
                         continue
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    seen.add(node)
                     keys.append(signatures(s, percent, fill, lost_bands, common))
                     size.append(len(s))
                     nodes.append(node)
+                    free.append(shared)
                 many = [len(k) for k in keys]
-                arrays = [np.concatenate(keys).view(np.int64), np.repeat(np.array(nodes, np.int64), many), np.repeat(np.array(size, np.int32), many)]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["word", "node", "n"])
+                arrays = [np.concatenate(keys).view(np.int64), *(np.repeat(np.array(v, np.int64), many) for v in (nodes, size, free))]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["word", "node", "n", "free"])
 
-    return rows.mapInArrow(run, "word long, node long, n int")
+    return rows.mapInArrow(run, "word long, node long, n long, free long").distinct()
 
 
 def _node(cls):
@@ -298,7 +420,7 @@ def close_pairs(pairs: DataFrame, classes: DataFrame, percent=75) -> DataFrame:
     """Pairs of nodes (x, y) as pairs of documents (a, b) whose dense sketches do not rule them out."""
     side = classes.select("node", "rep", "n", "bits")
     rows = pairs.join(side.toDF("x", "a", "na", "bits_a"), "x").join(side.toDF("y", "b", "nb", "bits_b"), "y")
-    rows = rows.where(_fits(F.col("na"), F.col("nb"), percent)).where("a <> b")
+    rows = rows.where("a <> b")
 
     def run(batches):
         for batch in batches:
@@ -314,8 +436,9 @@ def close_pairs(pairs: DataFrame, classes: DataFrame, percent=75) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _fits(a, b, percent):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _fits(n, free, m, free_m, percent):
+    """Whether sets of n and m shingles can be similar, of which no more than free and free_m are in other sets."""
+    return F.least(free, free_m) * (100 + percent) >= (n + m) * percent
 
 
 def linked_pairs(rows: DataFrame, pairs: DataFrame, width=5, percent=75) -> DataFrame:
@@ -358,15 +481,15 @@ def _similar(s, t, percent):
 
 
 def _with_hub(words, turn):
-    """Each word's hub: the member of least hash, another in each turn."""
-    order = F.xxhash64("node", F.lit(turn))
-    hub = F.struct(order.alias("order"), "node", "n", "part")
-    return words.withColumn("hub", F.min(hub).over(Window.partitionBy("word")))
+    """Each word's hub: the member of least hash, another in each turn; words of one member are left out."""
+    order = F.xxhash64("node", F.lit(turn)).alias("order")
+    hubs = words.groupBy("word").agg(F.min(F.struct(order, "node", "n", "free", "part")).alias("hub"), F.count(F.lit(1)).alias("members"))
+    return words.join(hubs.where("members > 1").select("word", "hub"), "word")
 
 
 def _to_hub(words, percent):
     """Distinct pairs (x, y), x < y, of each node and its first few hubs not known to belong to it."""
-    far = (F.col("part") != F.col("hub.part")) & _fits(F.col("n"), F.col("hub.n"), percent)
+    far = (F.col("part") != F.col("hub.part")) & _fits(F.col("n"), F.col("free"), F.col("hub.n"), F.col("hub.free"), percent)
     hubs = words.where(far).groupBy("node").agg(F.collect_set(F.struct("hub.order", "hub.node")).alias("hubs"))
     met = hubs.select("node", F.explode(F.slice(F.array_sort("hubs"), 1, HUBS)).alias("hub"))
     return met.select(F.least("node", "hub.node").alias("x"), F.greatest("node", "hub.node").alias("y")).distinct()
@@ -380,10 +503,10 @@ def similarity_links(df: DataFrame, id_col="doc_id", text_col="text", width=5, p
     """
     sets, lost, classes = _classes(df, id_col, text_col, width, percent, fill)
     rows = _rows(df, id_col, text_col)
-    words = materialize(candidate_words(rows, width, percent, fill, lost, common_shingles(sets)).distinct())
-    other = words.select("word", F.col("node").alias("y"), F.col("n").alias("m"))
+    words = _live_words(rows, sets, classes, lost, width, percent, fill)
+    other = words.select("word", F.col("node").alias("y"), F.col("n").alias("m"), F.col("free").alias("free_m"))
     met = words.withColumnRenamed("node", "x").join(other, "word").where(F.col("x") < F.col("y"))
-    met = met.where(_fits(F.col("n"), F.col("m"), percent)).select("x", "y").distinct()
+    met = met.where(_fits(F.col("n"), F.col("free"), F.col("m"), F.col("free_m"), percent)).select("x", "y").distinct()
     pairs = materialize(close_pairs(met.union(_twins(classes)), classes, percent))
     links = linked_pairs(rows, pairs, width, percent)
     return materialize(links), sets.where("n > 0").join(classes.select("cls", "rep"), "cls").select("doc", "rep")
@@ -427,27 +550,23 @@ def similarity_components(df: DataFrame, id_col="doc_id", text_col="text", width
     sets, lost, classes = _classes(df, id_col, text_col, width, percent, fill)
     full = sets.where("n > 0")
     rows = _rows(df, id_col, text_col)
-    words = candidate_words(rows, width, percent, fill, lost, common_shingles(sets))
-    words = words.withColumn("part", F.col("node"))
-    words = materialize(_with_hub(words, 0).where(F.col("node") != F.col("hub.node")).select("word", "node", "n", "hub"))
-    first = materialize(_to_hub(words.withColumn("part", F.col("node")), percent))
+    words = _live_words(rows, sets, classes, lost, width, percent, fill)
+    first = materialize(_to_hub(_with_hub(words.withColumn("part", F.col("node")), 0), percent))
     twins = _twins(classes)
     # Rows of one doc_id with different texts belong together.
     placed = full.join(classes.select("cls", "rep"), "cls")
     owners = placed.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc", "a")
     links = placed.join(owners, "doc").select("a", F.col("rep").alias("b")).where("a <> b")
     seen, pairs, before, turn = first, first.union(twins), None, 0
-    hubs = words.select("word", F.col("hub.node").alias("node"), F.col("hub.n").alias("n")).distinct()
-    words = words.select("word", "node", "n").union(hubs)
     while True:
         links = materialize(links.union(linked_pairs(rows, close_pairs(pairs, classes, percent), width, percent)))
         parts = components(links)
         # What still shares a word across components has to be compared as well.
         homes = classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
         homes = homes.select("node", F.coalesce("component", "rep").alias("part"))
-        same = Window.partitionBy("word")
-        words = words.join(homes, "node").withColumn("low", F.min("part").over(same)).withColumn("high", F.max("part").over(same))
-        words = materialize(words.where("low < high").select("word", "node", "n", "part"))
+        words = materialize(words.join(homes, "node"))
+        apart = words.groupBy("word").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+        words = materialize(words.join(apart.select("word"), "word", "left_semi"))
         count, turn = words.count(), turn + 1
         if before is not None and count > 0.8 * before or turn > MOST_TURNS:
             break
@@ -458,9 +577,9 @@ def similarity_components(df: DataFrame, id_col="doc_id", text_col="text", width
             break
         seen, words = seen.union(pairs), words.drop("part")
     # Now every pair that is left, whatever its number.
-    other = words.select("word", F.col("node").alias("y"), F.col("n").alias("m"), F.col("part").alias("part_y"))
+    other = words.select("word", F.col("node").alias("y"), F.col("n").alias("m"), F.col("free").alias("free_m"), F.col("part").alias("part_y"))
     left = words.withColumnRenamed("node", "x").join(other, "word").where("part <> part_y and x < y")
-    left = left.where(_fits(F.col("n"), F.col("m"), percent)).select("x", "y").distinct()
+    left = left.where(_fits(F.col("n"), F.col("free"), F.col("m"), F.col("free_m"), percent)).select("x", "y").distinct()
     left = materialize(close_pairs(left.join(seen, ["x", "y"], "left_anti"), classes, percent))
     if not left.isEmpty():
         links = materialize(links.union(linked_pairs(rows, left, width, percent)))

@@ -96,6 +96,34 @@ def test_jaccard_components_with_short_sketches(spark, rows, monkeypatch):
     check_components(spark, rows, fill=30.0)
 
 
+def test_own_shingles_are_counted_exactly(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BUCKET", 40)
+    passage = " ".join(f"p{j}" for j in range(30))
+    rows = [(i, " ".join(f"w{i}_{j}" for j in range(i % 7 * 5)) + " " + (passage if i % 3 else "")) for i in range(60)]
+    rows += [(60, None), (61, ""), (62, rows[1][1]), (63, rows[1][1]), (None, rows[4][1] + " end of it")]
+    rows = [(i, t, None, None, None) for i, t in rows]
+    sets, _, classes = jaccard_join._classes(table_of(spark, rows), "doc_id", "text", 5, 75, 2.2)
+    texts = jaccard_join._rows(table_of(spark, rows), "doc_id", "text").repartition(5)
+    distinct = {jaccard_join.shingle_set((t or "").encode()).tobytes() for _, t, *_ in rows} - {b""}
+    holders = Counter(h for s in distinct for h in np.frombuffer(s, np.uint64).tolist())
+    want = sorted(n for s in distinct if (n := sum(holders[h] == 1 for h in np.frombuffer(s, np.uint64).tolist())))
+    found = {}
+    for common in (jaccard_join.NOTHING, jaccard_join.common_shingles(sets)):
+        own = jaccard_join.own_shingles(texts, classes, 5, common)
+        assert sorted(r.own for r in own.collect()) == want
+        found[len(common[0]) > 0] = {r.node: r.own for r in own.collect()}
+    assert found[True] == found[False]
+    live = {r.wanted: r.free for r in jaccard_join.live_classes(classes, own).collect()}
+    sizes = {r.node: r.n for r in classes.collect()}
+    assert live == {k: n - found[True].get(k, 0) for k, n in sizes.items() if (n - found[True].get(k, 0)) * 100 >= n * 75}
+
+
+def test_two_holders_of_a_shingle_are_kept():
+    h, w = jaccard_join._two_holders([np.array([5, 5, 5, 7, 9, 9], np.uint64)], [np.array([1, 2, 2, 4, 6, 6], np.int64)])
+    assert list(zip(h.tolist(), w.tolist())) == [(5, 1), (5, 2), (7, 4), (9, 6)]
+    assert jaccard_join._owners(h, w).to_pylist() == [{"node": 4, "own": 1}, {"node": 6, "own": 1}]
+
+
 def test_jaccard_of_hot_words_and_chains(spark):
     """A chain of near copies whose ends are unlike, and groups that only share a passage."""
     rnd = random.Random(9)
