@@ -481,8 +481,12 @@ def _similar(s, t, percent):
 
 
 def _with_hub(words, turn):
-    """Each word's hub: the member of least hash, another in each turn; words of one member are left out."""
-    order = F.xxhash64("node", F.lit(turn)).alias("order")
+    """Each word's hub; words of one member are left out.
+
+    First the member with the least share of shingles of its own, in a group of edited copies the one
+    they come from or the nearest to it; in later turns the one of least hash, another in each.
+    """
+    order = (1 - F.col("free") / F.col("n") if turn == 0 else F.xxhash64("node", F.lit(turn)).cast("double")).alias("order")
     hubs = words.groupBy("word").agg(F.min(F.struct(order, "node", "n", "free", "part")).alias("hub"), F.count(F.lit(1)).alias("members"))
     return words.join(hubs.where("members > 1").select("word", "hub"), "word")
 
