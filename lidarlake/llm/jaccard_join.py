@@ -15,7 +15,7 @@ Equal sets are one class from the start. The shingles that no other class holds
 class, so what two sets can have in common is bounded by what either may share; a class that has not enough
 left for the similarity with any set takes no part. Members of a word meet one of them, the hub, a set meets a
 few hubs; candidates that dense parity sketches of a few bits per shingle do not rule out are compared on whole texts,
-linked ones are joined to components. Members of different components that still share a word meet new
+linked ones are joined to components. What sets lack of a common hub bounds what they share. Members of different components that still share a word meet new
 hubs while that joins components, then each other. So a group of copies, of any size, needs
 about one comparison per member, and no link between components is lost.
 
@@ -442,7 +442,14 @@ def _fits(n, free, m, free_m, percent):
 
 
 def linked_pairs(rows: DataFrame, pairs: DataFrame, width=5, percent=75) -> DataFrame:
-    """The pairs (a, b) whose texts reach the similarity; each text travels once per group of its pairs."""
+    """The pairs (a, b) whose texts reach the similarity."""
+    found = compared_pairs(rows, pairs, width)
+    similar = F.col("common") * 100 >= (F.col("size_a") + F.col("size_b") - F.col("common")) * percent
+    return found.where(similar).select("a", "b").distinct()
+
+
+def compared_pairs(rows: DataFrame, pairs: DataFrame, width=5) -> DataFrame:
+    """Rows (a, b, size_a, size_b, common) of pairs of documents; each text travels once per group of its pairs."""
     groups = pairs.groupBy("a").count().select("a", (F.col("count") / GROUP).cast("int").alias("chunks"))
     members = pairs.join(groups, "a").withColumn("chunk", F.abs(F.hash("b")) % (F.col("chunks") + 1))
     members = members.select(F.col("b").alias("doc"), F.col("a").alias("hub"), "chunk", F.lit(1).alias("role"))
@@ -452,32 +459,30 @@ def linked_pairs(rows: DataFrame, pairs: DataFrame, width=5, percent=75) -> Data
     small = wanted.count() <= MOST_SENT
     texts = rows.join(F.broadcast(wanted) if small else wanted, "doc").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role")
 
+    names = ["a", "b", "size_a", "size_b", "common"]
+
     def run(batches):
         hub, heads = None, []
         for batch in batches:
             for part in slices(batch, "text"):
-                a, b = [], []
+                found = []
                 ids = zip(*(part.column(c).to_pylist() for c in ("hub", "chunk", "role", "doc")))
                 for (h, c, role, doc), s in zip(ids, shingle_sets(as_bytes(part.column("text")), width)):
                     if (h, c) != hub:
                         hub, heads = (h, c), []
                     if role == 0:
                         heads.append(s)
-                    elif any(_similar(s, t, percent) for t in heads):
-                        a.append(h)
-                        b.append(doc)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    else:
+                        found += [(h, doc, len(t), len(s), _common(s, t)) for t in heads if len(s) and len(t)]
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(5)], names)
 
-    return texts.mapInArrow(run, "a long, b long").distinct()
+    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def _similar(s, t, percent):
-    if not len(s) or not len(t) or min(len(s), len(t)) * 100 < max(len(s), len(t)) * percent:
-        return False
+def _common(s, t):
     both = np.concatenate([s, t])
     both.sort()
-    common = int(np.count_nonzero(both[1:] == both[:-1]))
-    return 100 * common >= percent * (len(s) + len(t) - common)
+    return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
 def _with_hub(words, turn):
@@ -499,6 +504,22 @@ def _to_hub(words, percent):
     return met.select(F.least("node", "hub.node").alias("x"), F.greatest("node", "hub.node").alias("y")).distinct()
 
 
+def _pivots(compared, words, classes, owners):
+    """Rows (node, pivot, lacks): the hub with the least share of own shingles that a set was compared with, or
+    the set itself, and how many shingles of it the set has not. Sets that a document id or a node does not
+    name alone are left out."""
+    twins = _twins(classes).select(F.col("x").alias("node"))
+    known = words.select("node", (1 - F.col("free") / F.col("n")).alias("order")).distinct().join(twins, "node", "left_anti")
+    sides = classes.select("rep", "node").join(owners.select(F.col("doc").alias("rep")), "rep", "left_anti")
+    met = compared.join(sides.toDF("a", "x"), "a").join(sides.toDF("b", "y"), "b")
+    rows = met.select(F.col("x").alias("node"), F.col("y").alias("pivot"), (F.col("size_b") - F.col("common")).alias("lacks"))
+    rows = rows.union(met.select("y", "x", F.col("size_a") - F.col("common")))
+    rows = rows.union(known.select("node", F.col("node").alias("pivot"), F.lit(0).cast("long")))
+    rows = rows.join(known.withColumnRenamed("node", "pivot"), "pivot").join(twins, "node", "left_anti")
+    best = rows.groupBy("node").agg(F.min(F.struct("order", "pivot", "lacks")).alias("p"))
+    return best.select("node", "p.pivot", "p.lacks")
+
+
 def similarity_links(df: DataFrame, id_col="doc_id", text_col="text", width=5, percent=75, fill=FILL) -> tuple[DataFrame, DataFrame]:
     """(links, members): all pairs (a, b) of different sets that reach the similarity, and a row (doc, rep) per document with a set.
 
@@ -561,9 +582,16 @@ def similarity_components(df: DataFrame, id_col="doc_id", text_col="text", width
     placed = full.join(classes.select("cls", "rep"), "cls")
     owners = placed.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc", "a")
     links = placed.join(owners, "doc").select("a", F.col("rep").alias("b")).where("a <> b")
-    seen, pairs, before, turn = first, first.union(twins), None, 0
+    named = classes.select("node", "rep")
+    sent = first.union(twins).join(named.toDF("x", "a"), "x").join(named.toDF("y", "b"), "y").where("a <> b")
+    sent = sent.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    compared = materialize(compared_pairs(rows, materialize(sent), width))
+    pivots = materialize(_pivots(compared, words, classes, owners))
+    similar = F.col("common") * 100 >= (F.col("size_a") + F.col("size_b") - F.col("common")) * percent
+    new = compared.where(similar).select("a", "b")
+    seen, before, turn = first, None, 0
     while True:
-        links = materialize(links.union(linked_pairs(rows, close_pairs(pairs, classes, percent), width, percent)))
+        links = materialize(links.union(new).distinct())
         parts = components(links)
         # What still shares a word across components has to be compared as well.
         homes = classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
@@ -579,11 +607,16 @@ def similarity_components(df: DataFrame, id_col="doc_id", text_col="text", width
         pairs, before = materialize(pairs), count
         if pairs.isEmpty():
             break
+        new = linked_pairs(rows, close_pairs(pairs, classes, percent), width, percent)
         seen, words = seen.union(pairs), words.drop("part")
-    # Now every pair that is left, whatever its number.
-    other = words.select("word", F.col("node").alias("y"), F.col("n").alias("m"), F.col("free").alias("free_m"), F.col("part").alias("part_y"))
-    left = words.withColumnRenamed("node", "x").join(other, "word").where("part <> part_y and x < y")
-    left = left.where(_fits(F.col("n"), F.col("free"), F.col("m"), F.col("free_m"), percent)).select("x", "y").distinct()
+    # Now every pair that is left, whatever its number. What one set lacks of a common pivot beyond what the other
+    # lacks is only in the other; pairs with the pivot itself were compared before.
+    words = materialize(words.join(pivots, "node", "left"))
+    names = {"node": "y", "n": "m", "free": "free_m", "part": "part_y", "pivot": "pivot_y", "lacks": "lacks_y"}
+    left = words.withColumnRenamed("node", "x").join(words.withColumnsRenamed(names), "word").where("part <> part_y and x < y")
+    more = F.when(F.col("pivot") == F.col("pivot_y"), F.col("lacks_y") - F.col("lacks")).otherwise(0)
+    free_x, free_y = F.col("free") - F.greatest(more, F.lit(0)), F.col("free_m") - F.greatest(-more, F.lit(0))
+    left = left.where(_fits(F.col("n"), free_x, F.col("m"), free_y, percent)).select("x", "y").distinct()
     left = materialize(close_pairs(left.join(seen, ["x", "y"], "left_anti"), classes, percent))
     if not left.isEmpty():
         links = materialize(links.union(linked_pairs(rows, left, width, percent)))
