@@ -41,6 +41,8 @@ FILL = 2.2
 SMALL = 32
 #: Hubs that a set meets at most in one turn, and more turns before all pairs left are compared.
 HUBS, MOST_TURNS = 4, 3
+#: Words of a set up to which a pair is made on its least common word only; pairs of larger sets are made distinct.
+LISTED = 64
 #: Members compared with one other document in one group.
 GROUP = 500
 #: A shingle counts as common in a block of documents from so many sets on; so many of them are kept.
@@ -611,12 +613,15 @@ def similarity_components(df: DataFrame, id_col="doc_id", text_col="text", width
         seen, words = seen.union(pairs), words.drop("part")
     # Now every pair that is left, whatever its number. What one set lacks of a common pivot beyond what the other
     # lacks is only in the other; pairs with the pivot itself were compared before.
-    words = materialize(words.join(pivots, "node", "left"))
-    names = {"node": "y", "n": "m", "free": "free_m", "part": "part_y", "pivot": "pivot_y", "lacks": "lacks_y"}
+    few = words.groupBy("node").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= LISTED).select("node")
+    lists = words.join(few, "node", "left_semi").groupBy("node").agg(F.collect_set("word").alias("list"))
+    words = materialize(words.join(pivots, "node", "left").join(lists, "node", "left"))
+    names = {"list": "list_y", "node": "y", "n": "m", "free": "free_m", "part": "part_y", "pivot": "pivot_y", "lacks": "lacks_y"}
     left = words.withColumnRenamed("node", "x").join(words.withColumnsRenamed(names), "word").where("part <> part_y and x < y")
     more = F.when(F.col("pivot") == F.col("pivot_y"), F.col("lacks_y") - F.col("lacks")).otherwise(0)
     free_x, free_y = F.col("free") - F.greatest(more, F.lit(0)), F.col("free_m") - F.greatest(-more, F.lit(0))
-    left = left.where(_fits(F.col("n"), free_x, F.col("m"), free_y, percent)).select("x", "y").distinct()
+    once = F.coalesce(F.array_min(F.array_intersect("list", "list_y")) == F.col("word"), F.lit(True))
+    left = left.where(_fits(F.col("n"), free_x, F.col("m"), free_y, percent)).where(once).select("x", "y").distinct()
     left = materialize(close_pairs(left.join(seen, ["x", "y"], "left_anti"), classes, percent))
     if not left.isEmpty():
         links = materialize(links.union(linked_pairs(rows, left, width, percent)))
