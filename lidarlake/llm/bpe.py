@@ -11,7 +11,6 @@ an empty table gives no rows; long texts are taken in blocks cut at word boundar
 
 import hashlib
 import json
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +21,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 
 from lidarlake.llm.common import blocks, slices
 from lidarlake.llm.token_counts import byte_alphabet, merge
+from lidarlake.llm.unicode_tables import STAND_IN, composed_lower, library_composed_lower, library_tables
 
 #: Words, and fragments, a worker process remembers: so many new ones, and those of the generation before.
 MAX_REMEMBERED = 150_000
@@ -48,7 +48,7 @@ class _Words(dict):
 class WordBpe:
     """A lower-casing word-level BPE read from its file: normalise, split into words, merge bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, tables=None):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, steps = spec["model"], spec["normalizer"]["normalizers"]
@@ -62,7 +62,12 @@ class WordBpe:
         self.token = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         self.special_re = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.find = regex.compile(split["pattern"]["Regex"]).findall
+        self.find = regex.compile(split["pattern"]["Regex"])
+        tables = tables or library_tables()
+        self.stand_in = {c: STAND_IN[kind] for a, b, kind in tables.moved for c in range(a, b + 1)}
+        self.moved = regex.compile("[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b, _ in tables.moved) + "]").search if tables.moved else None
+        self.unlike = regex.compile("[" + "".join(map(regex.escape, tables.unlike)) + "]").search if tables.unlike else None
+        self.library_form = library_composed_lower()
         self.letters = byte_alphabet()
         number = {c: b for b, c in self.letters.items()}
         self.joined = set()
@@ -91,10 +96,16 @@ class WordBpe:
         return b"".join(map(self.fragments.__getitem__, parts))
 
     def normalise(self, text):
-        """Composed form in lower case, character by character."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return text.lower()
+        """Composed form in lower case, by the library where its tables differ from Python's."""
+        if self.unlike and not text.isascii() and self.unlike(text):
+            return self.library_form(text)
+        return composed_lower(text)
+
+    def split(self, text):
+        """Words of a normalised text; characters of another class in the library are read as one of that class."""
+        if self.moved and not text.isascii() and self.moved(text):
+            return [text[m.start() : m.end()] for m in self.find.finditer(text.translate(self.stand_in))]
+        return self.find.findall(text)
 
     def encode(self, text: str) -> bytes:
         out = []
@@ -103,7 +114,7 @@ class WordBpe:
                 out.append(self.special[part].to_bytes(4, "little"))
                 continue
             for block in blocks(part) if part else ():
-                out += map(self.words.__getitem__, self.find(self.normalise(block)))
+                out += map(self.words.__getitem__, self.split(self.normalise(block)))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -114,10 +125,10 @@ class WordBpe:
 _loaded = {}
 
 
-def word_bpe(path: str) -> WordBpe:
+def word_bpe(path: str, tables=None) -> WordBpe:
     """The tokenizer of this worker process."""
     if path not in _loaded:
-        _loaded[path] = WordBpe(path)
+        _loaded[path] = WordBpe(path, tables)
     return _loaded[path]
 
 
@@ -145,9 +156,10 @@ def _with(df, column, kind, fields, types, run):
 
 def encode(df: DataFrame, tokenizer: str, text_col="text") -> DataFrame:
     """``df`` with n_tokens and ids."""
+    tables = library_tables()
 
     def run(text):
-        ids = word_bpe(tokenizer).encode(text or "")
+        ids = word_bpe(tokenizer, tables).encode(text or "")
         return len(ids) // 4, ids
 
     fields = [StructField("n_tokens", LongType()), StructField("ids", BinaryType())]
@@ -156,9 +168,10 @@ def encode(df: DataFrame, tokenizer: str, text_col="text") -> DataFrame:
 
 def decode(df: DataFrame, tokenizer: str, ids_col="ids") -> DataFrame:
     """``df`` with the decoded text of its ids."""
+    tables = library_tables()
 
     def run(ids):
-        return (word_bpe(tokenizer).decode(ids or b""),)
+        return (word_bpe(tokenizer, tables).decode(ids or b""),)
 
     return _with(df, ids_col, "binary", [StructField("decoded", StringType())], [pa.string()], run)
 
@@ -168,9 +181,10 @@ def round_trip(df: DataFrame, tokenizer: str, text_col="text", with_ids=True) ->
 
     Both directions in one pass, so decoded texts stay in the worker.
     """
+    tables = library_tables()
 
     def run(text):
-        own = word_bpe(tokenizer)
+        own = word_bpe(tokenizer, tables)
         ids = own.encode(text or "")
         digests = hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()
         return (len(ids) // 4, *digests, ids) if with_ids else (len(ids) // 4, *digests)
