@@ -18,7 +18,6 @@ starts into blocks of bounded size.
 import heapq
 import json
 import re
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lidarlake.llm.common import BLOCK_CHARS, blocks, slices
+from lidarlake.llm.unicode_tables import SPACE, library_tables
 
 CHUNK = 256
 #: Compiled states kept at once; beyond it compilation starts anew with the same results.
@@ -34,8 +34,7 @@ _BIAS = 1 << 9
 _NEVER = 1 << 60
 _GROW = 1 << 15
 
-# Fixed values of the pre-tokenizer: white space, and the endings split off after an apostrophe.
-WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+# Fixed values of the pre-tokenizer: the endings split off after an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
@@ -220,14 +219,6 @@ class Transducer:
         return out.T.reshape(-1)[:n]
 
 
-def _classes() -> np.ndarray:
-    """Class of each code point: 0 letter, 1 number, 2 other, 3 white space."""
-    kinds = {"L": 0, "N": 1}
-    out = np.array([kinds.get(unicodedata.category(chr(c))[0], 2) for c in range(0x110000)], np.uint8)
-    out[WHITE_SPACE] = 3
-    return out
-
-
 def word_starts(points: np.ndarray, first: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Where the pre-tokenizer starts a word; ``first`` marks the starts of independent texts.
 
@@ -239,7 +230,7 @@ def word_starts(points: np.ndarray, first: np.ndarray, classes: np.ndarray) -> n
     kind = classes[points]
     start = first.copy()
     start[1:] |= kind[1:] != kind[:-1]
-    white = kind == 3
+    white = kind == SPACE
     # Last white space before a word of the same text.
     last = np.zeros(n, bool)
     last[:-1] = white[:-1] & ~white[1:] & ~first[1:]
@@ -266,9 +257,9 @@ def word_starts(points: np.ndarray, first: np.ndarray, classes: np.ndarray) -> n
 
 
 class Counter:
-    def __init__(self, path: str):
+    def __init__(self, path: str, tables=None):
         self.transducer = Transducer(path)
-        self.classes = _classes()
+        self.classes = (tables or library_tables()).classes()
         self.special = re.compile("|".join(map(re.escape, self.transducer.special))) if self.transducer.special else None
 
     def count(self, texts: list) -> np.ndarray:
@@ -309,21 +300,22 @@ class Counter:
 _counters = {}
 
 
-def counter(path: str) -> Counter:
+def counter(path: str, tables=None) -> Counter:
     """The compiled tokenizer of this worker process."""
     if path not in _counters:
-        _counters[path] = Counter(path)
+        _counters[path] = Counter(path, tables)
     return _counters[path]
 
 
 def count_tokens(df: DataFrame, tokenizer: str, id_col="doc_id", text_col="text", limit=512) -> DataFrame:
     """Per row: the id, n_bytes, n_tokens and over_limit. ``tokenizer`` is the path of a byte-level BPE file."""
+    tables = library_tables()
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                n = counter(tokenizer).count(texts)
+                n = counter(tokenizer, tables).count(texts)
                 size = pa.array([len(t.encode()) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), size, pa.array(n), pa.array(n > limit)], ["id", "n_bytes", "n_tokens", "over_limit"]

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from lidarlake.llm import bpe, html_text, jaccard_join, langid, ogg, token_counts, warc
+from lidarlake.llm import bpe, html_text, jaccard_join, langid, ogg, token_counts, unicode_tables, warc
 
 EDGE = [
     "", " ", "  ", "\n\n", "x", "  x", "x  ", "a  b   c\n\n d \t\n e  ", "it's 'tis 're \n's  's don't''s 's't x'ss",
@@ -60,6 +60,26 @@ def test_bpe_equals_the_library_both_ways():
         assert own.decode(ids) == library.decode(want.ids, skip_special_tokens=False)
 
 
+def every_code_point(per_text=128):
+    """Each code point alone, after and before letters and digits, next to marks."""
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    for i in range(0, len(points), per_text):
+        yield " ".join(f"{chr(c)} a{chr(c)}b 1{chr(c)}2 .{chr(c)}!" for c in points[i : i + per_text])
+
+
+def test_every_code_point_is_read_as_in_the_library():
+    texts = list(every_code_point())
+    unlike = unicode_tables.library_tables().unlike
+    texts += [f"x{c}\u0301{c}\u0334 \u0345{c} {c}{d}" for c in unlike for d in unlike[::3]]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = bpe.WordBpe(path)
+    want = Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)
+    assert not [t for t, w in zip(texts, want) if np.frombuffer(own.encode(t), "<u4").tolist() != w.ids]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want = Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)
+    assert token_counts.Counter(path).count(texts).tolist() == [len(w.ids) for w in want]
+
+
 def test_forced_boundaries_do_cut():
     own = bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json"))
     own._word("qxzqjx")
