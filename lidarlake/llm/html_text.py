@@ -3,11 +3,14 @@
 A page is cut into text blocks, each at a path of block-level tags from the root. Per path the text
 length and the punctuation are added up and divided by its number of blocks; both ratios are fused to
 a score, scores are smoothed over neighbouring blocks, and the blocks of all paths whose mean score
-reaches a threshold are the text, in page order. Blocks inside <article> or <main>, or in the element
-around most of the content found so far, get a term on their score that lies below the threshold, so a
-path without any ratio of its own or of its neighbours is left out there, too. Menus, headers, footers,
-sidebars, forms and hidden parts never count; notices, adverts, reader comments and what else a class,
-id or role names do not count either, unless the named element holds half of the content or more.
+reaches a threshold are the text, in page order. The container is <article> or <main> where they hold
+text, else the element around most of the content found so far. Its text gets a term on the score that
+reaches the threshold, so headings, table heads, listings and other blocks without punctuation stay;
+a path whose text is all links, as in a menu, has no score to add to. In a container found by content
+boxes of their own get a lower term and need a ratio. Beside a container <article> or <main> nothing counts.
+Menus, headers, footers, sidebars, forms and hidden parts never count. A class, id or role that names
+a notice, an advert and the like excludes its element, unless that holds half of the content or more;
+reader comments so named are left out whatever their share, as long as there is any other text.
 
 Defined results: a null or empty page, or one without text, has the empty text; broken markup is read
 as far as it goes (a new block ends an open paragraph, unknown end tags are ignored, an unfinished tag
@@ -16,6 +19,7 @@ is dropped); nothing is cut by length.
 
 import html
 import re
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +54,17 @@ OTHER_NAMES = frozenset(
     "share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget complementary "
     "contentinfo".split()
 )
+COMMENT_NAMES = frozenset("comment comments disqus".split())
+# Words that may follow such a name without naming another thing, and words that make it a mere state.
+PART_NAMES = frozenset(
+    "area bar block body bottom box button buttons center column container content form group holder inner item "
+    "items left link links list message module outer overlay panel post posts region right row section slot text "
+    "thread title top unit wrap wrapper zone".split()
+)
+STATE_NAMES = frozenset("disable enable has hide is no show with without".split())
 FLOW = frozenset(
-    "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption table thead tbody tfoot tr td th".split()
+    "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre address details summary figure figcaption table thead tbody "
+    "tfoot tr td th caption".split()
 )
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？«»\"'()¿¡-]")
 
@@ -62,17 +75,35 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
+def _names(given) -> list:
+    """Words of each class, id and role of an element, as ordered dictionaries' keys."""
+    tokens = " ".join(given.get(k, "") for k in ("class", "id", "role")).split() if given else ()
+    return [dict.fromkeys(w.lower() for w in _NAME.findall(t)).keys() for t in tokens]
+
+
+def _says(names, wanted) -> bool:
+    """Whether a name ends with a wanted word, apart from words for parts and numbers, and is no state."""
+    for words in map(list, names):
+        while len(words) > 1 and words[-1] not in wanted and (words[-1] in PART_NAMES or words[-1].isdigit()):
+            words.pop()
+        if words and words[-1] in wanted and words[0] not in STATE_NAMES:
+            return True
+    return False
+
+
 class Page:
     """Elements (parent, tag, path, other, named, ...) and text blocks (element, text, link characters) of a page.
 
-    ``other`` holds for all inside an element, ``named`` only for the element whose class, id or role says so.
+    ``other`` holds for all inside an element, ``named`` and ``comments`` only for the element whose class, id or
+    role says so.
     """
 
     def __init__(self, source: str):
         self.parent, self.tag, self.path, self.other, self.main = [-1], [""], [0], [False], [False]
-        self.named = [False]
+        self.named, self.comments = [False], [False]
         self.paths, self.blocks = {}, []
         self._stack, self._text, self._linked, self._link = [0], [], 0, False
+        self._open = defaultdict(list)  # places in the stack of the open elements of each tag
         self._read(source)
         self._flush()
 
@@ -147,7 +178,10 @@ class Page:
         self.path.append(self.paths.setdefault(key, len(self.paths) + 1))
         self.main.append(inside or tag in ("article", "main") or given.get("role") == "main")
         self.other.append(self.other[top] or self._is_other(tag, given, inside))
-        self.named.append(self._is_named(tag, given, inside))
+        names = [] if tag in ("html", "body", "main", "article") else _names(given)
+        self.named.append(any(w & OTHER_NAMES or ("header" in w and not inside) for w in names) if not inside else _says(names, OTHER_NAMES))
+        self.comments.append(_says(names, COMMENT_NAMES))
+        self._open[tag].append(len(self._stack))
         self._stack.append(len(self.parent) - 1)
 
     @staticmethod
@@ -158,14 +192,6 @@ class Page:
             return False
         return "hidden" in given or given.get("aria-hidden") == "true" or bool(_HIDDEN.search(given.get("style", "")))
 
-    @staticmethod
-    def _is_named(tag, given, inside):
-        if tag in ("html", "body", "main", "article") or not given:
-            return False
-        names = " ".join(given.get(k, "") for k in ("class", "id", "role"))
-        found = {w.lower() for w in _NAME.findall(names)}
-        return bool(found & OTHER_NAMES) or ("header" in found and not inside)
-
     def _end(self, tag):
         if tag in INLINE:
             self._link = self._link and tag != "a"
@@ -177,14 +203,12 @@ class Page:
 
     def _close(self, tags, scope):
         """Close the innermost open element of ``tags`` and all inside it, unless one of ``scope`` is in between."""
-        for k in range(len(self._stack) - 1, 0, -1):
-            tag = self.tag[self._stack[k]]
-            if tag in tags:
-                del self._stack[k:]
-                self._link = False
-                return
-            if tag in scope:
-                return
+        found = max((self._open[t][-1] for t in tags if self._open[t]), default=0)
+        if not found or any(self._open[t] and self._open[t][-1] > found for t in scope):
+            return
+        while len(self._stack) > found:
+            self._open[self.tag[self._stack.pop()]].pop()
+        self._link = False
 
 
 class Ratios:
@@ -211,11 +235,16 @@ class Ratios:
         self.total = np.bincount(place, self.size)[place]
 
     def chosen(self, near=None, share=0.5, term=0.49):
-        """Blocks whose score reaches ``share`` of the standard deviation; ``near`` ones get ``term`` of it on top."""
-        score = self.mean + (0 if near is None else term * self.spread * near)
-        found = self.use & (self.mean > 0) & (self.total > 0) & (score >= share * self.spread)
+        """Blocks whose score reaches ``share`` of the standard deviation.
+
+        ``near`` blocks get more on top: ``term`` of it (1) or all of ``share`` (2), or never count (-1).
+        """
+        near = np.zeros(len(self.mean), int) if near is None else near
+        score = self.mean + np.choose(near + 1, [0, 0, term, share]) * self.spread
+        ratio = (self.mean > 0) | (near == 2)
+        found = self.use & ratio & (self.total > 0) & (near >= 0) & (score >= share * self.spread)
         if not found.any():
-            found = self.use & (self.size > 0)
+            found = self.use & (self.size > 0) & (near >= 0)
             if found.any():
                 found &= self.total == self.total[found].max()
         return found
@@ -231,31 +260,48 @@ def _inside(page: Page, blocks_weight) -> np.ndarray:
     return weight
 
 
+def _spread(page: Page, other) -> list:
+    """``other`` with all elements inside its elements."""
+    out = list(other)
+    for e in range(1, len(out)):
+        out[e] = bool(out[e] or out[page.parent[e]])
+    return out
+
+
 def _others(page: Page) -> list:
     """Elements outside the article; a name does not exclude an element with half of the content."""
-    plain = Ratios(page, page.other)
+    without = _spread(page, np.array(page.other) | np.array(page.comments))
+    if (Ratios(page, without).size > 0).any():
+        base = without
+    else:
+        base = page.other
+    plain = Ratios(page, base)
     # Text in <article> or <main> weighs more: an advert longer than a very short article stays one.
     main = np.array([page.main[e] for e, _, _ in page.blocks])
     weight = _inside(page, plain.size * (plain.chosen() | main) * np.where(main, 4, 1))
-    other = list(page.other)
-    for e in range(1, len(other)):
-        other[e] = other[e] or other[page.parent[e]] or (page.named[e] and 2 * weight[e] < weight[0])
-    return other
+    named = np.array(page.named) & (2 * weight < weight[0])
+    return _spread(page, np.array(base) | named)
 
 
-def _near(page: Page, weight, most) -> np.ndarray:
-    """Blocks in <article> or <main>, or in the innermost element with ``most`` of the content."""
+def _near(page: Page, ratios: Ratios, most) -> np.ndarray:
+    """How near each block is to the container: 2 in its text, 1 in another box in it, 0 outside, -1 outside <article> and <main>."""
+    main = np.array([page.main[e] for e, _, _ in page.blocks])
+    if (main & ratios.use & (ratios.total > 0)).any():
+        return np.where(main, 2, -1)
+    weight = _inside(page, ratios.size * ratios.chosen())
     # Elements are numbered in page order, so the last with that share is the innermost.
     around = max(e for e, w in enumerate(weight) if w >= most * weight[0])
+    # A page of one long paragraph: what holds the paragraph is the container.
+    while page.tag[around] in FLOW and page.tag[around] not in ("td", "th"):
+        around = page.parent[around]
     whole = page.tag[around] not in ("", "html", "body")
-    near = []
-    for e, _, _ in page.blocks:
-        up = e
+    near = [0] * len(page.parent)
+    near[around] = 2
+    for e in range(around + 1, len(near)):
         # Of a whole page only running text next to the content, not boxes with text of their own.
-        while up > 0 and up != around and (whole or page.tag[up] in FLOW):
-            up = page.parent[up]
-        near.append(page.main[e] or up == around)
-    return np.array(near)
+        up = near[page.parent[e]]
+        near[e] = up if page.tag[e] in FLOW else min(up, 1) if whole else 0
+    return np.array([near[e] for e, _, _ in page.blocks])
 
 
 def main_text(source: str | None, most=0.9) -> str:
@@ -264,10 +310,9 @@ def main_text(source: str | None, most=0.9) -> str:
     if not page.blocks:
         return ""
     ratios = Ratios(page, _others(page))
-    weight = _inside(page, ratios.size * ratios.chosen())
-    if not weight[0]:
+    if not ratios.size.any():
         return ""
-    kept = ratios.chosen(_near(page, weight, most))
+    kept = ratios.chosen(_near(page, ratios, most))
     return "\n".join(t for (_, t, _), k in zip(page.blocks, kept) if k)
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -229,6 +230,56 @@ def test_path_scores_choose_inside_an_article_element():
     assert html_text.main_text(page).split("\n") == [*[html_text.visible_text(PARAGRAPH)] * 3, "x"]
 
 
+LONG = "<p>Running text, with commas. " + "And more of it, for a while, " * 6 + "to the end.</p>"
+
+
+@pytest.mark.parametrize("inner, lines", [
+    ("<h1>A</h1><h2>B</h2><h3>C</h3>" + LONG, "A B C *"),
+    (LONG + "<h2>B</h2><pre>x = 1</pre><blockquote>Said so</blockquote><h2>C</h2>" + LONG, "* B x=1 Saidso C *"),
+    (LONG * 2 + "<dl><dt>Term<dd>Meaning</dl><address>Here</address>", "* * Term Meaning Here"),
+    (LONG + "<table><tr><th>Year<th>Sum<tr><td>Now<td>7</table>" + LONG, "* Year Sum Now 7 *"),
+    (LONG + "<ul><li>One<li>Two</ul><blockquote>Said</blockquote><pre>y</pre>" + LONG, "* One Two Said y *"),
+    (LONG + "<details><summary>More</summary>Hidden facts</details><h2>Z</h2>", "* More Hiddenfacts Z"),
+    (LONG + "<div class='alert-levels'><p>Level one</p></div><div class=share-analysis><p>Shares rose</p></div>", "* Levelone Sharesrose"),
+    (LONG + "<div class='ad-box'><p>Buy, now.</p></div><div class='share-buttons'>Send</div><p id='cookieNotice'>We use, as all.</p>", "*"),
+])
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+def test_main_text_keeps_blocks_without_punctuation(inner, lines, around):
+    if around == "div" and "alert-levels" in inner:
+        pytest.skip("boxes of a page without an article element are judged by name and ratio")
+    page = f"<body><nav><a href=1>Home</a></nav><{around}>{inner}</{around}><footer>Bye, all.</footer></body>"
+    found = html_text.main_text(page).split("\n")
+    assert ["*" if len(t) > 100 else t.replace(" ", "") for t in found] == lines.split()
+
+
+@pytest.mark.parametrize("name", ["id='user-comments'", "class='comments-section'", "class=commentList", "id=disqus_thread"])
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+def test_reader_comments_go_whatever_their_share(name, around):
+    comments = f"<section {name}>" + "<div><p>I think, as others do, that it is so. And, well, more.</p></div>" * 40 + "</section>"
+    page = f"<body><{around}><h1>Head</h1>{LONG}{comments}</{around}></body>"
+    assert html_text.main_text(page).split("\n") == ["Head", html_text.visible_text(LONG)]
+    beside = f"<body><{around}><h1>Head</h1>{LONG}</{around}>{comments}</body>"
+    assert html_text.main_text(beside).split("\n") == ["Head", html_text.visible_text(LONG)]
+
+
+def test_text_beside_a_short_article_element_is_left_out():
+    page = f"<body><article><h1>Head</h1><p>Short.</p></article><div>{LONG * 9}</div></body>"
+    assert html_text.main_text(page) == "Head\nShort."
+    empty = f"<body><article></article><div>{LONG * 2}</div></body>"
+    assert len(html_text.main_text(empty).split("\n")) == 2
+
+
+def test_deep_pages_take_linear_time():
+    def seconds(n):
+        page = "<div>" * n + "</b></section></x>" * n + "<p>a, b.<button>" + "<div>t, u." * n
+        start = time.perf_counter()
+        html_text.main_text(page)
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(8000) < 40 * max(seconds(1000), 0.005)
+
+
 def test_warc_records_link_and_hold_digests():
     body = b'<meta charset=utf-8><a href="/x">X &amp; y</a><a href=\'/z\'>Z</a><p>T\xc3\xa9xt.'
     source = warc.response("http://e.com/?q=1", body, "7")
