@@ -534,7 +534,7 @@ def relax_pose_graph(spark, sf):
     b = posegraph.objective(e, end, priors).withColumnRenamed("cost", "after")
     fell = (F.col("after") <= F.col("before")).alias("fell")
     return a.join(b, ["map_id"]).join(report, ["map_id"], "left").select(
-        "map_id", fell, "before", "after", "converged", "steps", "gradient"
+        "map_id", fell, "before", "after", "converged", "stalled", "steps", "gradient", "residual"
     )
 
 

@@ -310,7 +310,7 @@ def _solve_step(blocks, nodes, iterations, tol):
 
     In the single-reduction form: one matrix product and one set of per-map sums per iteration,
     so an iteration is one job and one written table. The scalars live in the plan. Maps that
-    reached ``tol`` keep their step.
+    reached ``tol`` keep their step. ``left`` is what the residual of the map came down to, of its start.
     """
     zero = F.array(*(F.lit(0.0) for _ in range(6)))
     none = F.lit(None).cast("double")
@@ -348,7 +348,8 @@ def _solve_step(blocks, nodes, iterations, tol):
         )
         if state.filter("alpha <> 0").isEmpty():
             break
-    return state.select(*NODE, "x")
+    left = F.when(F.col("start") > 0, F.sqrt(F.abs(F.col("gamma")) / F.col("start"))).otherwise(0.0)
+    return state.select(*NODE, "x", F.coalesce(left, F.lit(1.0)).alias("left"))
 
 
 def relax_pose_graph(
@@ -360,14 +361,17 @@ def relax_pose_graph(
     ``nodes``: map_id, kf_id, pose. ``edges``: map_id, from_id, to_id, meas, info, type. Gauss-Newton;
     a map takes a step only if its objective falls, halving the step a few times before giving up,
     and stops when the gain is small. Output: map_id, kf_id, pose; with ``report`` also a table
-    map_id, cost, steps, gradient (norm at the last linearization), converged (false if the steps ran
-    out first).
+    map_id, cost, steps, gradient (norm at the last linearization), residual (of the last linear solve,
+    relative), promised (what its quadratic model gains by the step), stalled (no halved step lowered the
+    objective, although more than a small gain was promised) and converged (the gain, or the promised one,
+    became small; false if stalled or if the steps ran out first).
     """
     edges = materialize(edge_noise(edges))
     poses = materialize(nodes.select(*NODE, "pose"))
     roots = anchor_row(poses.withColumnRenamed("pose", "opt"))
     priors = materialize(roots.select(*NODE, F.col("opt").alias("_prior")))
-    start = {"active": F.lit(True), "steps": F.lit(0), "gradient": F.lit(None).cast("double")}
+    none = F.lit(None).cast("double")
+    start = {"active": F.lit(True), "steps": F.lit(0), "gradient": none, "residual": none, "promised": none, "moved": F.lit(True)}
     cost = materialize(objective(edges, poses, priors, kind, delta).withColumns(start))
     for _ in range(iterations):
         live = cost.filter("active").select("map_id")
@@ -402,10 +406,20 @@ def relax_pose_graph(
         step = materialize(
             _solve_step(blocks.select("map_id", "from_id", "to_id", "h_ft"), system, cg_iterations, cg_tol)
         )
+        solved = step.join(system.select(*NODE, "b"), NODE).groupBy("map_id").agg(
+            F.max("left").alias("_left"), (F.sum(_dot("b", "x")) / -2).alias("_promised")
+        )
+        last = {"residual": F.coalesce("_left", "residual"), "promised": F.coalesce("_promised", "promised")}
+        cost = cost.join(solved, "map_id", "left").withColumns(last).drop("_left", "_promised")
         poses, cost = _take_step(poses, step, materialize(cost), edges, priors, kind, delta, min_gain, halvings)
     if not report:
         return poses
-    return poses, cost.select("map_id", "cost", "steps", "gradient", (~F.col("active")).alias("converged"))
+    more = F.coalesce(F.col("promised") > min_gain * F.greatest("cost", F.lit(1e-12)), F.lit(True))
+    stalled = ~F.col("moved") & more
+    return poses, cost.select(
+        "map_id", "cost", "steps", "gradient", "residual", "promised",
+        stalled.alias("stalled"), (~F.col("active") & ~stalled).alias("converged"),
+    )
 
 
 def _take_step(poses, step, cost, edges, priors, kind, delta, min_gain, halvings):
@@ -414,7 +428,7 @@ def _take_step(poses, step, cost, edges, priors, kind, delta, min_gain, halvings
     taken = None
     for _ in range(halvings + 1):
         moved = poses.join(todo.select("map_id"), "map_id", "left_semi").join(step, NODE)
-        moved = bind(moved, "_x", F.transform("x", lambda v, k=scale: v * k))
+        moved = bind(moved, "_x", F.transform("x", lambda v: v * F.lit(scale)))
         moved = bind(moved, "_s", step_pose(F.col("_x")))
         moved = materialize(moved.select(*NODE, pose_compose("pose", "_s").alias("pose")))
         now = objective(edges.join(todo, "map_id", "left_semi"), moved, priors, kind, delta)
@@ -441,7 +455,11 @@ def _take_step(poses, step, cost, edges, priors, kind, delta, min_gain, halvings
         F.coalesce("_cost", "cost").alias("cost"),
         "steps",
         "gradient",
+        "residual",
+        "promised",
         (F.col("active") & F.coalesce("_go", F.lit(False))).alias("active"),
+        # An active map without a gain found no step that does not raise its objective.
+        F.when(F.col("active"), F.col("_go").isNotNull()).otherwise(F.col("moved")).alias("moved"),
     )
     return materialize(new_poses), materialize(new_cost)
 

@@ -229,10 +229,25 @@ def test_square_loop_closes(spark):
     start = posegraph.initial_values(e, anchors)
     end, how = posegraph.relax_pose_graph(start, e, iterations=2, cg_iterations=10, report=True)
     assert how.first().steps in (1, 2) and how.first().gradient >= 0
+    assert not how.first().stalled and how.first().cost < 0.7  # 2.3 at the start
+    assert 0 <= how.first().residual < 1e-3
     out = {r.kf_id: r.pose for r in end.collect()}
     assert math.dist((out[0].tx, out[0].ty), (out[4].tx, out[4].ty)) < 0.1
 
 
+def test_a_map_whose_steps_all_raise_the_objective_is_stalled(spark, monkeypatch):
+    def uphill(blocks, nodes, iterations, tol):
+        away = F.array(*(F.lit(v) for v in (0.01, 0.0, 9.0, 0.0, 0.0, 0.0)))
+        return nodes.select("map_id", "kf_id", F.when(F.col("kf_id") == 0, F.array_repeat(F.lit(0.0), 6)).otherwise(away).alias("x"), F.lit(1.0).alias("left"))
+
+    e = graph_edges(spark, [(0, 1, at(1.0), (1e2, 1e2), "ODOMETRY"), (0, 1, at(1.5), (1e2, 1e2), "LOOP")])
+    anchors = spark.createDataFrame([(0, 0, ID)], f"map_id long, kf_id long, opt {POSE_DDL}")
+    start = posegraph.initial_values(e, anchors)
+    monkeypatch.setattr(posegraph, "_solve_step", uphill)
+    _, bad = posegraph.relax_pose_graph(start, e, iterations=2, halvings=1, report=True)
+    assert bad.first().stalled and not bad.first().converged and bad.first().residual == 1.0
+
+
 def test_range_image_keeps_front(spark):
     pts = cloud(spark, [(0, 5, 0, 0, 1), (0, 6, 0, 0, 1), (0, -5, 0, 0, 1), (0, 4, 1, 1, 1)])
     full, start, span, low, high = evaluate.default_envelope(120.0, 90.0)

@@ -42,7 +42,7 @@ def test_relaxation_runs_with_the_defaults_and_reports(spark, monkeypatch):
 
     def relax(nodes, edges, **options):
         given.append(options)
-        report = nodes.select("map_id").distinct().selectExpr("map_id", "0d cost", "2 steps", "0.5d gradient", "true converged")
+        report = nodes.select("map_id").distinct().selectExpr("map_id", "0d cost", "2 steps", "0.5d gradient", "0d residual", "false stalled", "true converged")
         return nodes, report
 
     monkeypatch.setattr(posegraph, "relax_pose_graph", relax)
