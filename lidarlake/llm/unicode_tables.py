@@ -19,6 +19,8 @@ STAND_IN = {LETTER: "一", NUMBER: "٠", OTHER: "§", SPACE: "　"}
 _KINDS = {LETTER: r"\p{L}+", NUMBER: r"\p{N}+", SPACE: r"\s+"}
 #: Marks of a low and a high combining class: another mark moves around one of them if its class is known.
 _LOW, _HIGH = "̴", "ͅ"
+#: Code points asked about at once.
+BLOCK = 1 << 14
 
 
 class Tables(NamedTuple):
@@ -49,7 +51,7 @@ def _runs(values):
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
 
 
-def _unlike(characters) -> str:
+def _unlike(characters) -> set:
     # One line per character; the line feed itself is left out.
     characters = [c for c in characters if c != "\n"]
     theirs, found = library_composed_lower(), set()
@@ -67,23 +69,28 @@ def _unlike(characters) -> str:
             for parts in (a, b):
                 found.update(parts[0], *(unicodedata.normalize("NFC", parts[:k]) for k in range(1, len(parts))))
             found.add(c)
-    return "".join(sorted(set("".join(found))))
+    return set("".join(found))
 
 
 @lru_cache(maxsize=1)
 def library_tables() -> Tables:
+    """The tables, asked for BLOCK code points at a time, so that the driver never holds the answers to all of them."""
     points = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)])
-    text = points.astype("<u4").tobytes().decode("utf-32-le")
     theirs, ours = np.full(0x110000, OTHER, np.uint8), np.full(0x110000, OTHER, np.uint8)
-    for kind, pattern in _KINDS.items():
-        split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
-        for _, (a, b) in split.pre_tokenize_str(text):
-            theirs[points[a:b]] = kind
-        for m in regex.finditer(pattern, text):
-            ours[points[m.start() : m.end()]] = kind
+    splits = {kind: pre_tokenizers.Split(Regex(pattern), "removed", invert=True) for kind, pattern in _KINDS.items()}
+    unlike = set()
+    for at in range(0, len(points), BLOCK):
+        block = points[at : at + BLOCK]
+        text = block.astype("<u4").tobytes().decode("utf-32-le")
+        for kind, pattern in _KINDS.items():
+            for _, (a, b) in splits[kind].pre_tokenize_str(text):
+                theirs[block[a:b]] = kind
+            for m in regex.finditer(pattern, text):
+                ours[block[m.start() : m.end()]] = kind
+        unlike |= _unlike(text)
     starts = _runs(theirs)
     key = np.where(theirs != ours, theirs.astype(int), -1)
     first = _runs(key)
     last = np.append(first[1:], len(key)) - 1
     moved = [(int(a), int(b), int(key[a])) for a, b in zip(first, last) if key[a] >= 0]
-    return Tables(starts, theirs[starts], moved, _unlike(text))
+    return Tables(starts, theirs[starts], moved, "".join(sorted(unlike)))
