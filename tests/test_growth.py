@@ -27,3 +27,16 @@ def test_nearest_points_of_small_clouds_meet_in_a_task(spark, monkeypatch):
     both = register.correspondences(src, tgt, 1.5)
     got, want = ({(r.pair_id, r.src_id, r.hit.tgt_id, round(r.hit.d2, 9)) for r in d.collect()} for d in (near, both))
     assert got == want and {k for k, *_ in got} == {0, 1}
+
+
+def test_covariances_of_small_clouds_meet_in_a_task(spark, monkeypatch):
+    """One exchange of the points and none of their neighbours; too large clouds give the same over blocks."""
+    rng = np.random.default_rng(3)
+    points = cloud(spark, rng.uniform(-5, 5, (120, 3)), "tgt_id").union(cloud(spark, rng.uniform(-5, 5, (30, 3)), "tgt_id", 1))
+    near = register.normals_covariances(points, k=6)
+    assert plan(near).count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr(neighbors, "POINTS_IN_TASK", 50)
+    both = register.normals_covariances(points, k=6)
+    assert near.columns == both.columns
+    got, want = ({(r.pair_id, r.tgt_id): r.cov for r in d.collect()} for d in (near, both))
+    assert len(got) == 150 and got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in got)
