@@ -203,16 +203,18 @@ _FLIP = (
 )
 def rhpd_distance(spark, sf):
     d = materialize(D.rhpd_descriptors(points(spark, sf)))
-    return _near_pairs(d, "rhpd").select(
-        "map_id", "a_id", "b_id", (F.round(V.rhpd_distance("a", "b"), 5) + F.lit(0.0)).alias("distance")
-    )
+    p = _near_distances(d, "rhpd", retrieval._rhpd_kernel, [("distance", "double")])
+    return p.select("map_id", "a_id", "b_id", (F.round("distance", 5) + F.lit(0.0)).alias("distance"))
 
 
-def _near_pairs(d, col, reach=3):
-    """Each cloud with the next few of its map."""
-    a = d.select("map_id", F.col("kf_id").alias("a_id"), F.col(col).alias("a"))
-    a = a.withColumn("b_id", F.explode(F.sequence(F.col("a_id") + 1, F.col("a_id") + reach)))
-    return a.join(d.select("map_id", F.col("kf_id").alias("b_id"), F.col(col).alias("b")), ["map_id", "b_id"])
+def _near_distances(d, col, kernel, fields, reach=3):
+    """Distances of each cloud to the next few of its map; each vector travels once per block of clouds, not per pair."""
+    ids = d.select("map_id", F.col("kf_id").alias("query_id"))
+    near = ids.withColumn("match_pos", F.explode(F.sequence(F.col("query_id") + 1, F.col("query_id") + reach)))
+    pairs = near.join(ids.withColumnRenamed("query_id", "match_pos"), ["map_id", "match_pos"])
+    queries, base = (d.select("map_id", F.col("kf_id").alias(n), col) for n in ("query_id", "pos"))
+    scored = retrieval.score_pairs(pairs, queries, base, col, kernel, fields)
+    return scored.withColumnsRenamed({"query_id": "a_id", "match_pos": "b_id"})
 
 
 _AZD = "(case when degrees(atan2(y, x)) < 0 then degrees(atan2(y, x)) + 360 else degrees(atan2(y, x)) end)"
@@ -275,8 +277,8 @@ def _polar_distance_sql(lv, rows, weights, ids="select distinct map_id, kf_id fr
 @query("polar_distance", f"{_LONG}, {_polar_distance_sql('lv', 140, V.POLAR_WEIGHTS)}")
 def polar_distance(spark, sf):
     d = materialize(D.polar_descriptors(points(spark, sf)))
-    p = _near_pairs(d, "polar").withColumn("d", V.polar_distance("a", "b"))
-    return p.select("map_id", "a_id", "b_id", r6("d.distance").alias("distance"), F.col("d.shift").alias("shift"))
+    p = _near_distances(d, "polar", retrieval._polar_kernel, [("distance", "double"), ("shift", "int")])
+    return p.select("map_id", "a_id", "b_id", r6("distance").alias("distance"), "shift")
 
 
 _CLASSIC = (
@@ -303,8 +305,8 @@ def _one_channel(text):
 @query("polar_distance_classic", f"{_CLASSIC}, {_one_channel(_polar_distance_sql('cv', 20, None))}")
 def polar_distance_classic(spark, sf):
     d = materialize(D.classic_polar_descriptors(points(spark, sf)))
-    p = _near_pairs(d, "polar").withColumn("d", V.polar_distance_classic("a", "b"))
-    return p.select("map_id", "a_id", "b_id", r6("d.distance").alias("distance"), F.col("d.shift").alias("shift"))
+    p = _near_distances(d, "polar", retrieval._classic_kernel, [("distance", "double"), ("shift", "int")])
+    return p.select("map_id", "a_id", "b_id", r6("distance").alias("distance"), "shift")
 
 
 # --- retrieval on the embeddings --------------------------------------------------------------

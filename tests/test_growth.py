@@ -3,7 +3,9 @@
 import numpy as np
 import pandas as pd
 
-from lidarlake.operators import neighbors, register
+from lidarlake.catalog import places
+from lidarlake.functions import vectors
+from lidarlake.operators import neighbors, register, retrieval
 
 
 def cloud(spark, points, name, key=0):
@@ -40,3 +42,29 @@ def test_covariances_of_small_clouds_meet_in_a_task(spark, monkeypatch):
     assert near.columns == both.columns
     got, want = ({(r.pair_id, r.tgt_id): r.cov for r in d.collect()} for d in (near, both))
     assert len(got) == 150 and got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in got)
+
+
+def test_dense_vectors_are_made_without_python(spark):
+    """No worker holds a batch of wide arrays; any order of the indices, both ends and no entries."""
+    rows = [(0, [5, 0, 9], [2.0, 1.0, 3.0]), (1, [], []), (2, [3], [4.0])]
+    df = spark.createDataFrame(rows, "id long, i array<int>, v array<double>").repartition(2)
+    out = df.select("id", vectors.dense_vector(10)("i", "v").alias("d"))
+    assert "Python" not in plan(out) and "Arrow" not in plan(out)
+    got = {r.id: r.d for r in out.collect()}
+    for k, idx, val in rows:
+        want = np.zeros(10)
+        want[idx] = val
+        assert got[k] == want.tolist()
+
+
+def test_near_pairs_share_their_vectors(spark):
+    """No pair carries its vectors to a worker: each travels once per block of clouds."""
+    rng = np.random.default_rng(1)
+    rows = [(0, k, rng.uniform(0, 1, 1200).tolist()) for k in (1, 2, 4, 9)]
+    d = spark.createDataFrame(rows, "map_id long, kf_id long, polar array<double>")
+    out = places._near_distances(d, "polar", retrieval._classic_kernel, [("distance", "double"), ("shift", "int")])
+    assert "ArrowEvalPython" not in plan(out)
+    vec = {k: np.array(v) for _, k, v in rows}
+    got = {(r.a_id, r.b_id): (r.distance, r["shift"]) for r in out.collect()}
+    want = {(a, b): vectors.polar_distance_one(vec[a], vec[b], 1, (1.0,), 0.0, order="sorted") for a, b in [(1, 2), (1, 4), (2, 4)]}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in got)
