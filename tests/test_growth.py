@@ -5,7 +5,7 @@ import pandas as pd
 
 from lidarlake.catalog import places
 from lidarlake.functions import vectors
-from lidarlake.operators import neighbors, register, retrieval
+from lidarlake.operators import descriptors, neighbors, register, retrieval
 
 
 def cloud(spark, points, name, key=0):
@@ -68,3 +68,21 @@ def test_near_pairs_share_their_vectors(spark):
     got = {(r.a_id, r.b_id): (r.distance, r["shift"]) for r in out.collect()}
     want = {(a, b): vectors.polar_distance_one(vec[a], vec[b], 1, (1.0,), 0.0, order="sorted") for a, b in [(1, 2), (1, 4), (2, 4)]}
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in got)
+
+
+def test_points_are_dealt_by_cloud_before_they_are_binned(spark, monkeypatch):
+    """One exchange of the points and none of their cells; clouds too large for a task give the same cells."""
+    rng = np.random.default_rng(4)
+    xyz = rng.uniform(-5, 5, (90, 3))
+    rows = [(0, int(k > 60), *map(float, p)) for k, p in enumerate(xyz)]
+    points = spark.createDataFrame(rows, "map_id long, kf_id long, x double, y double, z double")
+    pca = descriptors.materialize(descriptors.pca_2d(points))
+    parts = ("plane", "ring", "sector")
+    near = descriptors._cells_by_cloud(points, pca, parts)
+    assert plan(near).count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr(descriptors, "POINTS_IN_TASK", 40)
+    both = descriptors._cells_by_cloud(points, pca, parts)
+    key = [*descriptors.CLOUD, "part", "c0", "c1", "c2"]
+    got, want, plain = ({tuple(r[c] for c in key): r.s1 for r in d.collect()} for d in (near, both, descriptors.cloud_cells(points, pca, parts)))
+    assert got.keys() == want.keys() == plain.keys()
+    assert all(np.isclose(got[k], want[k]) and np.isclose(got[k], plain[k]) for k in got)
