@@ -4,6 +4,7 @@ A step takes a JSON-like state and the ordered rows of one session and returns t
 the output rows. Rows are slim: poses and scores, never points.
 """
 
+import itertools
 import math
 
 import pandas as pd
@@ -27,23 +28,43 @@ def as_dict(pose):
     return None if pose is None else dict(zip(POSE_FIELDS, pose))
 
 
+class Step:
+    """A step over single rows: ``rows(state, rows)`` reads dicts in order, yields output dicts, returns the state.
+
+    Called with a state and a pandas frame it gives the new state and a frame. Runners that hold many
+    short sessions use ``rows``, which builds no frame per session and holds no session whole.
+    """
+
+    def __init__(self, rows, columns=None):
+        self.rows, self.columns = rows, columns
+
+    def __call__(self, state, pdf: pd.DataFrame):
+        end, out = [state], []
+
+        def run():
+            end[0] = yield from self.rows(state, pdf.to_dict("records"))
+
+        out = list(run())
+        names = self.columns or list(dict.fromkeys([*pdf.columns, *(out[0] if out else ())]))
+        return end[0], pd.DataFrame(out, columns=names)
+
+
 # --- keyframe gate ----------------------------------------------------------------------------
 
 
 def gate_step(dist=1.0, turn=0.5, pose="pose"):
     """Accept a frame that moved or turned enough since the last accepted one; the first always."""
 
-    def fold(last, pdf: pd.DataFrame):
-        flags = []
-        for p in pdf[pose]:
-            p = as_list(p)
+    def fold(last, rows):
+        for r in rows:
+            p = as_list(r[pose])
             ok = last is None or distance(last, p) >= dist or angle(compose(inverse(last), p)) >= turn
             if ok:
                 last = p
-            flags.append(ok)
-        return last, pdf.assign(accepted=flags)
+            yield {**r, "accepted": ok}
+        return last
 
-    return fold
+    return Step(fold)
 
 
 # --- lock of a localization -------------------------------------------------------------------
@@ -131,16 +152,16 @@ def _plain(v):
 
 
 def _scored(r):
-    match = _plain(r.match_id)
+    match = _plain(r["match_id"])
     return {
-        "seed": int(r.seed),
+        "seed": int(r["seed"]),
         "match_id": None if match is None else int(match),
-        "ll": float(r.ll),
-        "converged": bool(r.converged),
-        "valid": bool(r.valid),
-        "ambiguous": bool(r.ambiguous),
-        "pose": as_list(r.pose),
-        "spot": [float(r.x), float(r.y), float(r.z)],
+        "ll": float(r["ll"]),
+        "converged": bool(r["converged"]),
+        "valid": bool(r["valid"]),
+        "ambiguous": bool(r["ambiguous"]),
+        "pose": as_list(r["pose"]),
+        "spot": [float(r["x"]), float(r["y"]), float(r["z"])],
     }
 
 
@@ -153,16 +174,15 @@ def lock_step(params=None):
     """Lock tracking over scored rows: several rows (one per seed) share a frame id."""
     p = {**LOCK, **(params or {})}
 
-    def fold(state, pdf: pd.DataFrame):
+    def fold(state, rows):
         state = state or new_lock()
-        out = []
-        for frame, rows in pdf.groupby("frame_id", sort=True):
-            odom = as_list(rows["odom"].iloc[0])
-            state, res = lock_frame(state, [_scored(r) for r in rows.itertuples()], odom, p)
-            out.append({"frame_id": int(frame), **res})
-        return state, pd.DataFrame(out, columns=["frame_id", "status", "locked", "match_id", "confidence", "map_odom"])
+        for frame, group in itertools.groupby(rows, lambda r: r["frame_id"]):
+            group = list(group)
+            state, res = lock_frame(state, [_scored(r) for r in group], as_list(group[0]["odom"]), p)
+            yield {"frame_id": int(frame), **res}
+        return state
 
-    return fold
+    return Step(fold, ["frame_id", "status", "locked", "match_id", "confidence", "map_odom"])
 
 
 # --- mode of a session that extends a loaded map ----------------------------------------------
@@ -175,26 +195,25 @@ def mode_step(dist=1.0, turn=0.5):
     last loaded keyframe's odometry pose, used by the first gate). Frames before the lock fail.
     """
 
-    def fold(state, pdf: pd.DataFrame):
+    def fold(state, rows):
         state = state or {"mode": "MAP_LOADED", "last": None}
-        out = []
-        for r in pdf.itertuples():
+        for r in rows:
             ok, accepted = False, False
             if state["mode"] == "MAP_LOADED":
-                if bool(r.lock):
+                if bool(r["lock"]):
                     state["mode"], ok = "RELOCALIZED", True
-                    state["last"] = as_list(_plain(r.gate_pose))
+                    state["last"] = as_list(_plain(r["gate_pose"]))
             else:
-                ok, pose, last = True, as_list(r.pose), state["last"]
+                ok, pose, last = True, as_list(r["pose"]), state["last"]
                 accepted = (
                     last is None or distance(last, pose) >= dist or angle(compose(inverse(last), pose)) >= turn
                 )
                 if accepted:
                     state["mode"], state["last"] = "EXTENDING", pose
-            out.append((int(r.frame_id), ok, accepted, state["mode"]))
-        return state, pd.DataFrame(out, columns=["frame_id", "success", "accepted", "mode"])
+            yield {"frame_id": int(r["frame_id"]), "success": ok, "accepted": accepted, "mode": state["mode"]}
+        return state
 
-    return fold
+    return Step(fold, ["frame_id", "success", "accepted", "mode"])
 
 
 MODE_DDL = "frame_id long, success boolean, accepted boolean, mode string"
