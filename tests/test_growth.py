@@ -2,10 +2,14 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
-from lidarlake.catalog import places
+from lidarlake.catalog import flows, matching, places
 from lidarlake.functions import vectors
-from lidarlake.operators import descriptors, neighbors, register, retrieval
+from lidarlake.functions.pose import identity_pose, translation_distance
+from lidarlake.operators import descriptors, mapcheck, neighbors, register, retrieval
+from lidarlake.sources import maps
+from lidarlake.streaming import stateful
 
 
 def cloud(spark, points, name, key=0):
@@ -86,3 +90,58 @@ def test_points_are_dealt_by_cloud_before_they_are_binned(spark, monkeypatch):
     got, want, plain = ({tuple(r[c] for c in key): r.s1 for r in d.collect()} for d in (near, both, descriptors.cloud_cells(points, pca, parts)))
     assert got.keys() == want.keys() == plain.keys()
     assert all(np.isclose(got[k], want[k]) and np.isclose(got[k], plain[k]) for k in got)
+
+
+def test_wide_descriptors_are_not_broadcast(spark):
+    """Encoded files and guessed array sizes look small; neither stored nor fresh descriptors go through the driver."""
+    keys = spark.range(6).selectExpr("0L map_id", "id kf_id")
+    wide = keys.withColumn("rhpd", F.array_repeat(F.lit(1.0), 3037))
+    out = mapcheck.descriptor_restore(keys, wide, wide, keys.selectExpr("map_id", "true rebuild_descriptors").distinct())
+    joins = [line for line in plan(out).splitlines() if "Join" in line and "kf_id" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+    assert {(r.kf_id, r.rebuilt, len(r.rhpd)) for r in out.collect()} == {(k, True, 3037) for k in range(6)}
+
+
+def test_exported_maps_have_no_file_per_task(spark, tmp_path):
+    """Cells are dealt by tile: a map within one tile is one file, and all its cells are there."""
+    points = spark.createDataFrame(
+        [(0, 0, k, float(k % 40) + 1, float(k // 40) + 1, 0.0, 0.0) for k in range(800)],
+        "map_id long, kf_id long, pt_id long, x double, y double, z double, intensity double",
+    )
+    keyframes = points.select("map_id", "kf_id", identity_pose().alias("opt")).distinct()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        maps.write_global_map(points, keyframes, str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "out").rglob("*.parquet"))) == 1
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 800
+
+
+def test_replayed_ranges_are_written_in_parallel_and_stay_in_order(spark, monkeypatch):
+    """Large ranges are several files of one trigger; a stream over them sees every session in order."""
+    monkeypatch.setattr(flows, "ROWS_PER_FILE", 20)
+    rows = spark.range(150).selectExpr("id % 3 session_id", "id div 3 seq", "double(case when id % 7 = 0 then 0 else id end) ts")
+    paths, fresh = [], flows.fresh_path
+    monkeypatch.setattr(flows, "fresh_path", lambda spark: paths.append(fresh(spark)) or paths[-1])
+    stream = flows.replay(spark, rows, size=20)
+    got = flows.drain(stateful.monotone_stream(stream)).select("session_id", "seq").collect()
+    files = spark.read.parquet(paths[0]).select(F.input_file_name()).distinct().count()
+    last, want = {}, set()
+    for r in sorted(rows.collect(), key=lambda r: r.seq):
+        if r.ts > last.get(r.session_id, -1.0):
+            want.add((r.session_id, r.seq))
+            last[r.session_id] = r.ts
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert files == 8
+
+
+def test_the_drift_is_the_same_however_far_a_map_lies(spark, monkeypatch):
+    """The second visits of verify_loops drift by decimetres at 5 km from the origin as well."""
+    sf = "/root/testdata/sf0.001"
+    near = matching.keyframes(spark, sf)
+    far = near.withColumn("opt", F.col("opt").withField("tx", F.col("opt.tx") + 5000.0))
+    monkeypatch.setattr(matching, "keyframes", lambda *_: far)
+    k, _, truth = matching.second_visits(spark, sf)
+    both = k.join(truth.select("map_id", "kf_id", F.col("opt").alias("was")), ["map_id", "kf_id"])
+    assert both.agg(F.max(translation_distance("opt", "was"))).first()[0] < 0.5
