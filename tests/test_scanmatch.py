@@ -7,7 +7,7 @@ import pytest
 
 from lidarlake.functions.numpose import compose, inverse, rotate
 from lidarlake.operators import register, scanmatch
-from lidarlake.operators.neighbors import nearest_in_cells
+from lidarlake.operators.neighbors import nearest_in_cells, nearest_k_of_few
 
 POINTS = "pair_id long, x double, y double, z double"
 
@@ -108,3 +108,30 @@ def test_no_exchange_of_clouds_in_rounds(spark):
     thin = scanmatch.thinned(src, tgt, [0.4, 0.2])
     plan = scanmatch.align_in_tasks(starts(spark, 1).selectExpr("pair_id", "0L cloud_id", "T"), thin, [(0.4, 2.0, 30, "plane"), (0.2, 2.0, 30, "plane")])
     assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_nearest_of_few_breaks_ties_by_row():
+    rng = np.random.default_rng(1)
+    b = rng.integers(0, 4, (300, 3)).astype(float)
+    q = rng.integers(0, 4, (200, 3)).astype(float)
+    for k in (1, 20, 400):
+        rows, near, _ = nearest_in_cells(q, b, k)
+        got = {(i, int(j)) for i, r in enumerate(nearest_k_of_few(q, b, k)) for j in r}
+        assert got == set(zip(rows.tolist(), near.tolist()))
+    assert nearest_k_of_few(q, b, 3, most=100) is None
+
+
+def test_normals_are_found_once_and_only_for_partners(monkeypatch):
+    """A small scan against a wide target: few normals, the same ones, and one table of cells for all rounds."""
+    rng, asked, built = np.random.default_rng(2), [], []
+    real, cells = scanmatch.covariances, scanmatch.cells_of
+    monkeypatch.setattr(scanmatch, "covariances", lambda p, k, wanted, grid: asked.append(len(wanted)) or real(p, k, wanted, grid))
+    monkeypatch.setattr(scanmatch, "cells_of", lambda b, k: built.append(k) or cells(b, k))
+    wide = np.vstack([corridor(rng, 3000) + [30 * i, 0, 0] for i in range(4)])
+    src, tgt = scanmatch.Cloud(wide[:400] + [0.05, 0.02, 0.01], 10), scanmatch.Cloud(wide, 10)
+    pose, converged, *_ = scanmatch.align_clouds(turned(0, 0, 0, 0), src, tgt, 1.0, 30)
+    assert converged and np.allclose(pose[:3], [-0.05, -0.02, -0.01], atol=2e-3)
+    assert sum(asked) < 1500 and len(built) <= 2
+    some = np.arange(0, len(wide), 7)
+    whole = np.linalg.eigh(real(wide, 10))[1][:, :, 0]
+    assert np.allclose(np.abs((tgt.normals(some) * whole[some]).sum(1)), 1.0, atol=1e-6)
