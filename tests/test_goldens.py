@@ -235,6 +235,30 @@ def test_square_loop_closes(spark):
     assert math.dist((out[0].tx, out[0].ty), (out[4].tx, out[4].ty)) < 0.1
 
 
+def test_small_systems_are_solved_in_a_task(spark, monkeypatch):
+    """The same steps as in rounds over tables, without a job per iteration."""
+    rng, rows, blocks = np.random.default_rng(4), [], []
+    for m, n in ((0, 6), (1, 1), (2, 9)):
+        big = np.zeros((6 * n, 6 * n))
+        for i in range(n - 1):
+            j = rng.normal(size=(6, 12))
+            at_i, at_j = slice(6 * i, 6 * i + 6), slice(6 * i + 6, 6 * i + 12)
+            big[6 * i : 6 * i + 12, 6 * i : 6 * i + 12] += j.T @ j
+            blocks.append((m, i, i + 1, big[at_i, at_j].ravel().tolist()))
+        big += np.eye(6 * n)
+        for i in range(n):
+            d = big[6 * i : 6 * i + 6, 6 * i : 6 * i + 6]
+            rows.append((m, i, d.ravel().tolist(), rng.normal(size=6).tolist(), np.linalg.inv(d).ravel().tolist()))
+    e = spark.createDataFrame(blocks, "map_id long, from_id long, to_id long, h_ft array<double>")
+    n = spark.createDataFrame(rows, "map_id long, kf_id long, diag array<double>, b array<double>, inv array<double>")
+    far = {(r.map_id, r.kf_id): (r.x, r.left) for r in posegraph._solve_over_tables(e, n, 8, 1e-10).collect()}
+    monkeypatch.setattr(posegraph, "_solve_over_tables", None)
+    near = {(r.map_id, r.kf_id): (r.x, r.left) for r in posegraph._solve_step(e, n, 8, 1e-10).collect()}
+    assert near.keys() == far.keys() and len(near) == 16
+    for k, (x, left) in near.items():
+        assert np.allclose(x, far[k][0], rtol=1e-6, atol=1e-9) and abs(left - far[k][1]) < 1e-6
+
+
 def test_a_map_whose_steps_all_raise_the_objective_is_stalled(spark, monkeypatch):
     def uphill(blocks, nodes, iterations, tol):
         away = F.array(*(F.lit(v) for v in (0.01, 0.0, 9.0, 0.0, 0.0, 0.0)))
