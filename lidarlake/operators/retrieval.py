@@ -11,8 +11,11 @@ from lidarlake.functions import vectors as V
 from lidarlake.functions.scores import fused_score
 from lidarlake.operators.neighbors import BLOCK, block_top_k, fresh
 from lidarlake.operators.sequence import dense_position
+from lidarlake.session import materialize
 
 NO_LIMIT = 2**62
+#: Blocks a map is cut into, and the least (unless smaller ones are asked for) and most rows of one.
+BLOCKS, LEAST_ROWS, MOST_ROWS = 32, 512, 1 << 16
 
 
 def dedupe_keep_first(df: DataFrame, keys=("map_id", "kf_id"), arrival="arrival") -> DataFrame:
@@ -31,31 +34,39 @@ def loop_search_range(positions: DataFrame, exclude_recent=50) -> DataFrame:
     return positions.withColumn("limit", F.col("pos") - exclude_recent).filter("limit > 0")
 
 
+def _block_rows(rows, block):
+    """Rows of a block of a map: a part of BLOCKS of it, so that a vector travels to few blocks however large the map is."""
+    return F.least(F.lit(MOST_ROWS), F.greatest(F.lit(min(block, LEAST_ROWS)), F.ceil(rows / F.lit(BLOCKS)))).cast("long")
+
+
 def top_by_key(queries: DataFrame, base: DataFrame, m: int, vec: str, block=BLOCK) -> DataFrame:
     """The ``m`` nearest base frames per query by Euclidean distance of the array ``vec``.
 
     ``queries``: map_id, query_id, limit, vec. ``base``: map_id, pos, vec. Of base frames with
     equal keys only the first ``m`` positions can ever be among the nearest ``m`` (equal distance,
     lower position wins, and every query that may see a later copy may see the earlier ones), so
-    later copies are left out before any distance is computed.
+    later copies are left out before any distance is computed. Blocks grow with the map (``_block_rows``);
+    ``block`` only lowers their least size.
     """
+    extent = base.groupBy("map_id").agg(F.max("pos").alias("_top"))
+    extent = extent.withColumn("_rows", _block_rows(F.col("_top") + 1, block))
     copies = Window.partitionBy("map_id", vec).orderBy("pos")
     distinct = (
         base.withColumn("_copy", F.row_number().over(copies))
         .filter(F.col("_copy") <= m)
+        .join(fresh(extent), ["map_id"])
         .select(
-            "map_id", F.col("pos").alias("b_id"), F.floor(F.col("pos") / block).alias("b_block"),
+            "map_id", F.col("pos").alias("b_id"), F.floor(F.col("pos") / F.col("_rows")).alias("b_block"),
             F.col(vec).alias("vec"),
         )
     )
-    extent = base.groupBy("map_id").agg(F.max("pos").alias("_top"))
-    last = F.floor(F.least(F.col("limit") - 1, F.col("_top")) / block)
+    last = F.floor(F.least(F.col("limit") - 1, F.col("_top")) / F.col("_rows"))
     q = (
         queries.filter("limit > 0")
         .join(extent, ["map_id"])
         .select(
             "map_id", F.col("query_id").alias("q_id"),
-            F.floor(F.col("query_id") / block).alias("q_block"),
+            F.floor(F.col("query_id") / F.col("_rows")).alias("q_block"),
             F.sequence(F.lit(0).cast("long"), last).alias("b_blocks"),
             "limit", F.col(vec).alias("vec"),
         )
@@ -139,7 +150,8 @@ def knn_two_stage(
     """
     top_k = max(1, top_k)
     m = max(top_k, preselect) if preselect > 0 else 1 << 40
-    chosen = top_by_key(queries, base, m, coarse, block)
+    # Read twice by the scoring; written so that the search is not repeated.
+    chosen = materialize(top_by_key(queries, base, m, coarse, block))
     kernel = _rhpd_kernel if metric == "rhpd" else _l2_kernel
     scored = score_pairs(chosen, queries, base, full, kernel, [("distance", "double")])
     return _rank(scored, ["distance", "match_pos"], "rank").filter(F.col("rank") < top_k)
@@ -147,7 +159,7 @@ def knn_two_stage(
 
 def knn_ring_key(queries, base, k=20, keep=10, thr=0.2, block=BLOCK) -> DataFrame:
     """Candidates by polar descriptor: ``k`` nearest ring keys, then those below ``thr``."""
-    chosen = top_by_key(queries, base, k, "ring_key", block)
+    chosen = materialize(top_by_key(queries, base, k, "ring_key", block))
     scored = score_pairs(
         chosen, queries, base, "polar", _polar_kernel, [("sc_distance", "double"), ("shift", "int")]
     )

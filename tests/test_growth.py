@@ -145,3 +145,20 @@ def test_the_drift_is_the_same_however_far_a_map_lies(spark, monkeypatch):
     k, _, truth = matching.second_visits(spark, sf)
     both = k.join(truth.select("map_id", "kf_id", F.col("opt").alias("was")), ["map_id", "kf_id"])
     assert both.agg(F.max(translation_distance("opt", "was"))).first()[0] < 0.5
+
+
+def test_blocks_grow_with_the_map(spark, monkeypatch):
+    """A vector travels to at most BLOCKS blocks; before, a block of 128 rows sent it to one block per 128 rows."""
+    from lidarlake.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "BLOCKS", 4)
+    seen, real = [], retrieval.block_top_k
+    monkeypatch.setattr(retrieval, "block_top_k", lambda q, b, keys, k: seen.append(q) or real(q, b, keys, k))
+    v = spark.range(600).selectExpr("0L map_id", "id pos", "array(sin(id * 1.7D), cos(id * 0.3D)) vec")
+    asked = retrieval.loop_search_range(v, 50).withColumnRenamed("pos", "query_id")
+    got = {(r.query_id, r.match_pos) for r in retrieval.top_by_key(asked, v, 3, "vec", block=16).collect()}
+    assert max(len(r.b_blocks) for r in seen[0].select("b_blocks").collect()) == 4
+    rows = [r.vec for r in v.orderBy("pos").collect()]
+    for q in range(51, 600, 37):
+        near = sorted((sum((x - y) ** 2 for x, y in zip(rows[q], rows[p])), p) for p in range(q - 50))[:3]
+        assert {p for i, p in got if i == q} == {p for _, p in near}
