@@ -54,8 +54,8 @@ _PLANE_COLS = ("density", "mean_height", "hit_ratio", "height_extent")
 
 def cells(spark, sf, parts=("plane", "ring", "sector")):
     p = points(spark, sf)
-    pca = D.pca_2d(p)
-    return D.cloud_cells(p, pca, parts), pca
+    pca = materialize(D.pca_2d(p))
+    return D._cells_by_cloud(p, pca, parts), pca
 
 
 @query(

@@ -325,16 +325,23 @@ def assemble_descriptor(values: DataFrame, clouds: DataFrame) -> DataFrame:
     )
 
 
-def _cells_by_cloud(points, pca, parts):
+#: Points of whole clouds that one task bins.
+POINTS_PER_TASK = 250_000
+
+
+def _cells_by_cloud(points: DataFrame, pca: DataFrame, parts=("plane", "ring", "sector")) -> DataFrame:
     """``cloud_cells``; clouds that fit a task come together before they are binned.
 
     A point falls into several cells, and where the points of a cloud are spread over all tasks, hardly any two
-    share a cell. Larger clouds are binned where they lie.
+    share a cell. Tasks grow in number with the points, so none holds more cells in a larger table. Larger
+    clouds are binned where they lie. ``pca`` is read several times: pass a written table.
     """
+    total, most = pca.agg(F.sum("n"), F.max("n")).first()
+    width = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // POINTS_PER_TASK))
+    if (most or 0) <= POINTS_IN_TASK:
+        return cloud_cells(points.repartition(width, *CLOUD), pca, parts)
     large = pca.filter(F.col("n") > POINTS_IN_TASK).select(*CLOUD)
-    if large.isEmpty():
-        return cloud_cells(points.repartition(*CLOUD), pca, parts)
-    near = cloud_cells(points.join(large, CLOUD, "left_anti").repartition(*CLOUD), pca, parts)
+    near = cloud_cells(points.join(large, CLOUD, "left_anti").repartition(width, *CLOUD), pca, parts)
     return near.unionByName(cloud_cells(points.join(large, CLOUD, "left_semi"), pca, parts))
 
 

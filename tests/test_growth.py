@@ -162,3 +162,15 @@ def test_blocks_grow_with_the_map(spark, monkeypatch):
     for q in range(51, 600, 37):
         near = sorted((sum((x - y) ** 2 for x, y in zip(rows[q], rows[p])), p) for p in range(q - 50))[:3]
         assert {p for i, p in got if i == q} == {p for _, p in near}
+
+
+def test_tasks_that_bin_clouds_grow_in_number(spark, monkeypatch):
+    """The planes of a table are binned in tasks of bounded clouds, not in a number of tasks that is fixed."""
+    points = spark.range(400).selectExpr("0L map_id", "id % 40 kf_id", "id % 7 - 3.0D x", "id % 5 - 2.0D y", "id % 3 * 1.0D z")
+    pca = descriptors.materialize(descriptors.pca_2d(points))
+    few = descriptors._cells_by_cloud(points, pca, ("plane",))
+    monkeypatch.setattr(descriptors, "POINTS_PER_TASK", 20)
+    many = descriptors._cells_by_cloud(points, pca, ("plane",))
+    assert few.rdd.getNumPartitions() <= 8 and "REPARTITION_BY_NUM" in plan(many) and "(map_id#" in plan(many)
+    assert ", 20), REPARTITION_BY_NUM" in plan(many)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
