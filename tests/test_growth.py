@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lidarlake.catalog import flows, matching, places
 from lidarlake.functions import vectors
-from lidarlake.functions.pose import identity_pose, translation_distance
+from lidarlake.functions.pose import identity_pose, make_pose, translation_distance
 from lidarlake.operators import descriptors, mapcheck, neighbors, register, retrieval
 from lidarlake.sources import maps
 from lidarlake.streaming import stateful
@@ -174,3 +174,17 @@ def test_tasks_that_bin_clouds_grow_in_number(spark, monkeypatch):
     assert few.rdd.getNumPartitions() <= 8 and "REPARTITION_BY_NUM" in plan(many) and "(map_id#" in plan(many)
     assert ", 20), REPARTITION_BY_NUM" in plan(many)
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_members_of_a_frame_come_from_the_rows_before_it(spark):
+    """Frames are dealt by session once, not copied per earlier frame and joined; a gap in seq is no member."""
+    seqs = [0, 1, 2, 4, 5, 6, 7]
+    rows = [(s, 100 + q, q, float(q // 5)) for s in (1, 2) for q in seqs]
+    frames = spark.createDataFrame(rows, "session_id long, frame_id long, seq long, x double")
+    zero = F.lit(0.0)
+    frames = frames.select("session_id", "frame_id", "seq", make_pose(F.col("x"), zero, zero, zero, zero, zero, F.lit(1.0)).alias("pose"))
+    out = stateful.static_members(frames, max_frames=3, min_frames=2)
+    assert "Join" not in plan(out) and plan(out).count("Exchange hashpartitioning") == 1
+    want = {0: [0], 1: [1, 0], 2: [2, 1, 0], 4: [4, 2], 5: [5], 6: [6, 5], 7: [7, 6, 5]}
+    got = sorted((r.session_id, r.frame_id, r.member_id) for r in out.collect())
+    assert got == sorted((s, 100 + q, 100 + m) for s in (1, 2) for q in seqs for m in want[q])
