@@ -33,12 +33,39 @@ def _versions(spark: SparkSession, path: str):
     return sorted(r.version for r in done.select("version").distinct().collect())
 
 
-def read_version(spark: SparkSession, path: str, names, before=None) -> dict:
-    """Tables of the newest version (older than ``before``), or an empty dict."""
+#: Tables of which a version of the map refresh only holds the maps it touched.
+_BY_MAP = ("voxels", "seen")
+
+
+def read_version(spark: SparkSession, path: str, names, before=None, maps=None) -> dict:
+    """Tables of the newest version (older than ``before``), or an empty dict; ``maps`` (map_id) reads only those."""
     ids = [v for v in _versions(spark, path) if before is None or v < before]
     if not ids:
         return {}
-    return {n: spark.read.parquet(f"{path}/{n}/version={ids[-1]}") for n in names}
+    return {n: _whole(spark, path, n, ids[-1], maps) for n in names}
+
+
+def _held(spark, path, version):
+    """Which version holds the rows of each map (map_id, version), or None if every version is whole."""
+    try:
+        return spark.read.parquet(f"{path}/held/version={version}")
+    except AnalysisException:
+        return None
+
+
+def _whole(spark, path, name, version, maps):
+    held = _held(spark, path, version) if name in _BY_MAP else None
+    now = spark.read.parquet(f"{path}/{name}/version={version}")
+    if held is None:
+        return now if maps is None else now.join(maps, ["map_id"], "left_semi")
+    if maps is not None:
+        held = held.join(maps, ["map_id"], "left_semi")
+    at = [r.version for r in held.select("version").distinct().collect()]
+    if not at:
+        return now.limit(0)
+    folders = [f"{path}/{name}/version={v}" for v in at]
+    parts = spark.read.schema(now.schema.add("version", "long")).option("basePath", f"{path}/{name}").parquet(*folders)
+    return parts.join(held, ["map_id", "version"], "left_semi").drop("version")
 
 
 def write_version(spark: SparkSession, path: str, version: int, tables: dict) -> None:
@@ -53,40 +80,65 @@ def global_map_refresh(path: str, keyframes_of, points_of, leaf=0.1, rebuild_of=
 
     ``keyframes_of()`` / ``points_of()`` read the current tables; the batch rows carry map_id and
     kf_id. Maps listed by ``rebuild_of()`` (poses moved) are built again from all their keyframes.
-    The revision of a map grows only when its cells changed.
+    The revision of a map grows only when its cells changed. A batch reads and writes the cells of the
+    maps it touches; the table ``held`` of a version tells where those of the other maps lie.
     """
 
     def run(batch: DataFrame, batch_id: int):
-        spark = batch.sparkSession
-        names = ("voxels", "seen", "revisions")
-        old = read_version(spark, path, names, batch_id)
         keyframes, points = keyframes_of(), points_of()
-        ids = batch.select("map_id", "kf_id").distinct()
+        # The session of a stream plans without adaptive execution: every shuffle and file count would be the widest.
+        spark = points.sparkSession
+        ids = materialize(batch.select("map_id", "kf_id"), spark).distinct()
+        redo = None
+        if rebuild_of is not None:
+            redo = rebuild_of().select("map_id").distinct()
+            stale = read_version(spark, path, ("seen",), batch_id, redo)
+            if stale:
+                ids = ids.unionByName(stale["seen"].select("map_id", "kf_id")).distinct()
+        touched = ids.select("map_id").distinct()
+        old = read_version(spark, path, ("voxels", "seen"), batch_id, touched)
         if old:
-            state, seen, revisions = (old[n] for n in names)
+            state, seen = old["voxels"], old["seen"]
+            revisions, held = _index(spark, path, batch_id)
         else:
             empty = points.filter("false")
             state = empty.selectExpr(
                 "map_id", "0L vx", "0L vy", "0L vz", "x sx", "y sy", "z sz", "intensity si", "0L n"
             )
             seen = empty.select("map_id", "kf_id")
-            revisions = empty.selectExpr("map_id", "0L revision")
-        if rebuild_of is not None:
-            redo = rebuild_of().select("map_id").distinct()
+            revisions, held = empty.selectExpr("map_id", "0L revision"), empty.selectExpr("map_id", "0L version")
+        if redo is not None:
             state = state.join(redo, ["map_id"], "left_anti")
-            back = seen.join(redo, ["map_id"], "left_semi")
             seen = seen.join(redo, ["map_id"], "left_anti")
-            ids = ids.unionByName(back).distinct()
-        fresh = points.join(ids, ["map_id", "kf_id"], "left_semi")
-        merged, seen_now, changed = voxel_merge(state, seen, transform_points(fresh, keyframes), leaf)
+        # Tables laid out by map are read only where the batch lies.
+        lo, hi = ids.agg(F.min("map_id"), F.max("map_id")).first()
+        near = F.lit(False) if lo is None else F.col("map_id").between(lo, hi)
+        fresh = points.filter(near).join(ids, ["map_id", "kf_id"], "left_semi")
+        world = transform_points(fresh, keyframes.filter(near))
+        merged, seen_now, changed = voxel_merge(state, seen, world, leaf)
+        now = touched.withColumn("version", F.lit(batch_id).cast("long"))
         write_version(
             spark, path, batch_id,
-            {"voxels": merged, "seen": seen_now, "revisions": next_revision(revisions, changed)},
+            {
+                "voxels": merged, "seen": seen_now, "revisions": next_revision(revisions, changed),
+                "held": held.join(touched, ["map_id"], "left_anti").unionByName(now).coalesce(1),
+            },
         )
 
     return run
 
 
+def _index(spark, path, before):
+    """Revisions of the newest version older than ``before``, and which version holds each map."""
+    last = [v for v in _versions(spark, path) if v < before][-1]
+    revisions = spark.read.parquet(f"{path}/revisions/version={last}")
+    held = _held(spark, path, last)
+    if held is None:
+        whole = spark.read.parquet(f"{path}/seen/version={last}")
+        held = whole.select("map_id").distinct().withColumn("version", F.lit(last).cast("long"))
+    return revisions, held
+
+
 def changed_maps(spark: SparkSession, path: str, published: DataFrame) -> DataFrame:
     """Maps whose revision differs from the one published last (map_id, revision)."""
     now = read_version(spark, path, ("revisions",)).get("revisions")

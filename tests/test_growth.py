@@ -9,7 +9,7 @@ from lidarlake.functions import vectors
 from lidarlake.functions.pose import identity_pose, make_pose, translation_distance
 from lidarlake.operators import descriptors, mapcheck, neighbors, register, retrieval
 from lidarlake.sources import maps
-from lidarlake.streaming import stateful
+from lidarlake.streaming import batches, stateful
 
 
 def cloud(spark, points, name, key=0):
@@ -188,3 +188,37 @@ def test_members_of_a_frame_come_from_the_rows_before_it(spark):
     want = {0: [0], 1: [1, 0], 2: [2, 1, 0], 4: [4, 2], 5: [5], 6: [6, 5], 7: [7, 6, 5]}
     got = sorted((r.session_id, r.frame_id, r.member_id) for r in out.collect())
     assert got == sorted((s, 100 + q, 100 + m) for s in (1, 2) for q in seqs for m in want[q])
+
+
+def test_a_refresh_batch_writes_the_maps_it_touches(spark, tmp_path):
+    """Cells of other maps stay where they are and are still read; rebuilt and repeated batches agree with a whole build."""
+    path = str(tmp_path / "refresh")
+    ks = [(m, 10 * m + i) for m in range(3) for i in range(2)]
+    zero = F.lit(0.0)
+    keys = spark.createDataFrame(ks, "map_id long, kf_id long")
+    frames = keys.withColumn("opt", make_pose(F.col("kf_id") * 0.5, zero, zero, zero, zero, zero, F.lit(1.0)))
+    points = keys.select("map_id", "kf_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i")).selectExpr(
+        "map_id", "kf_id", "i * 0.4D x", "0.1D y", "0.2D z", "1.0D intensity"
+    )
+
+    def batch(n, names, redo=None):
+        run = batches.global_map_refresh(path, lambda: frames, lambda: points, 1.0, None if redo is None else lambda: redo)
+        run(spark.createDataFrame(names, "map_id long, kf_id long"), n)
+
+    def cells():
+        now = batches.read_version(spark, path, ("voxels", "seen", "revisions"))
+        rows = {(r.map_id, r.vx, r.vy, r.vz): (round(r.sx, 9), r.n) for r in now["voxels"].collect()}
+        return rows, sorted(map(tuple, now["seen"].collect())), dict(map(tuple, now["revisions"].collect()))
+
+    batch(0, ks[:3])
+    batch(1, ks[3:5])
+    batch(2, [ks[5]])
+    written = spark.read.parquet(f"{path}/voxels/version=2")
+    assert {r.map_id for r in written.select("map_id").distinct().collect()} == {2}
+    want = batches.transform_points(points, frames).groupBy("map_id", F.floor("x").alias("vx"), F.floor("y").alias("vy"), F.floor("z").alias("vz")).agg(F.sum("x").alias("sx"), F.count("*").alias("n"))
+    whole = {(r.map_id, r.vx, r.vy, r.vz): (round(r.sx, 9), r.n) for r in want.collect()}
+    assert cells() == (whole, ks, {0: 1, 1: 2, 2: 2})
+    batch(2, [ks[5]])
+    assert cells() == (whole, ks, {0: 1, 1: 2, 2: 2})
+    batch(3, [ks[0]], keys.filter("map_id = 1").select("map_id"))
+    assert cells() == (whole, ks, {0: 1, 1: 3, 2: 2})
