@@ -424,12 +424,12 @@ def place_frames(spark, sf):
     shorter gap to recent frames: maps here have 25 keyframes, and a gap of 50 would leave no query.
     """
     p, k = points(spark, sf), keyframes(spark, sf)
-    polar_cells_ = D.polar_values(D.polar_cells(p))
+    cells = materialize(D.polar_cells(p))
     rhpd = D.submap_descriptors(k, p)
     frames = k.select(*CLOUD, F.col("kf_id").alias("arrival"))
     pos = retrieval.arrival_position(frames)
-    keys = D.ring_key_vectors(polar_cells_, frames)
-    out = pos.join(rhpd, CLOUD).join(keys, CLOUD).join(D.polar_descriptors(p), CLOUD)
+    keys = D.ring_key_vectors(D.polar_values(cells), frames)
+    out = pos.join(rhpd, CLOUD).join(keys, CLOUD).join(D.polar_descriptors(p, cells=cells), CLOUD)
     return materialize(out.withColumn("coarse", V.coarse_key("rhpd")))
 
 

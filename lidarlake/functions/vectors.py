@@ -68,7 +68,7 @@ def rhpd_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.minimum(one(a), one(a[:, _FLIP])))
 
 
-def polar_distances(a, b, channels, weights, eps=1e-6, search=3, order="near", batch=256):
+def polar_distances(a, b, channels, weights, eps=1e-6, search=3, order="near", batch=32):
     """Distances and column shifts (of ``b``) between two equally long lists of polar matrices.
 
     A missing or ill-sized matrix gives distance 1 and shift 0.
@@ -99,12 +99,13 @@ def _polar_batch(a, b, weights, eps, search, order):
         near = np.sort(near, axis=1)
     na, nb = np.sqrt((a * a).sum(2)), np.sqrt((b * b).sum(2))
     best, best_shift = np.full(len(a), np.inf), np.zeros(len(a), int)
+    # A shifted matrix is a run of columns of the matrix set beside itself.
+    runs, lengths = (np.lib.stride_tricks.sliding_window_view(np.concatenate([v, v], axis=-1), s, axis=-1) for v in (b, nb))
+    rows = np.arange(len(a))
     for k in near.T:
-        cols = (each[None, :] - k[:, None]) % s
-        bk = np.take_along_axis(b, cols[:, None, None, :], axis=3)
-        nk = np.take_along_axis(nb, cols[:, None, :], axis=2)
+        bk, nk = runs[rows, :, :, -k % s], lengths[rows, :, -k % s]
         ok = (na >= eps) & (nk >= eps) if eps > 0 else (na > 0) & (nk > 0)
-        sim = np.where(ok, (a * bk).sum(2) / np.where(ok, na * nk, 1.0), 0.0)
+        sim = np.where(ok, np.einsum("ncrs,ncrs->ncs", a, bk) / np.where(ok, na * nk, 1.0), 0.0)
         n = ok.sum(2)
         w = weights * (n > 0)
         total = w.sum(1)
@@ -158,7 +159,8 @@ def dense_vector(dim: int):
         return F.struct(i.cast("int").alias("i"), v.cast("double").alias("v"))
 
     def scatter(idx, val) -> Column:
-        entries = F.array_sort(F.zip_with(_col(idx), _col(val), entry))
+        # ``sort_array``: the comparison of ``array_sort`` is a lambda, interpreted for every pair of entries.
+        entries = F.sort_array(F.zip_with(_col(idx), _col(val), entry))
         before = F.concat(F.array(entry(F.lit(-1), F.lit(0.0))), entries)
         here = F.concat(entries, F.array(entry(F.lit(dim), F.lit(0.0))))
         # Each entry with the zeros between it and the one before; the last one only ends the row.

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from lidarlake.functions import vectors as V
 from lidarlake.functions.scores import azimuth_bin, azimuth_deg, clamp, polar_bin
-from lidarlake.operators.neighbors import POINTS_IN_TASK
+from lidarlake.operators.neighbors import POINTS_IN_TASK, split_large
+from lidarlake.operators.placevec import submap_vectors
 from lidarlake.session import materialize
 
 CLOUD = ["map_id", "kf_id"]
@@ -357,7 +358,17 @@ def rhpd_descriptors(points: DataFrame, min_points=MIN_POINTS, v3=False, confide
 
 
 def submap_descriptors(keyframes, points, radius=3, leaf=0.15, min_points=MIN_POINTS) -> DataFrame:
-    """Full vector of every keyframe from the thinned clouds of itself and earlier neighbours."""
+    """Full vector of every keyframe from the thinned clouds of itself and earlier neighbours.
+
+    Maps of at most POINTS_IN_TASK points are described in tasks, where their points are shuffled once.
+    """
+    (keyframes, points), large = split_large([keyframes, points], ["map_id"], POINTS_IN_TASK)
+    near = submap_vectors(keyframes, points, radius, leaf, min_points)
+    return near if large is None else near.unionByName(_submap_descriptors(*large, radius, leaf, min_points))
+
+
+def _submap_descriptors(keyframes, points, radius, leaf, min_points):
+    """The same over tables, for maps of any size."""
     from lidarlake.operators.clouds import causal_submap, voxel_downsample
 
     centers = keyframes.select("map_id", F.col("kf_id").alias("center_id"))
@@ -408,15 +419,15 @@ def polar_values(cells: DataFrame) -> DataFrame:
     )
 
 
-def polar_descriptors(points: DataFrame, rings=20, sectors=60, rmax=80.0) -> DataFrame:
-    """Dense seven-channel matrix of every cloud: map_id, kf_id, polar."""
-    values = polar_values(polar_cells(points, rings, sectors, rmax))
+def polar_descriptors(points: DataFrame, rings=20, sectors=60, rmax=80.0, cells=None) -> DataFrame:
+    """Dense seven-channel matrix of every cloud: map_id, kf_id, polar. ``cells``: its ``polar_cells``, where they are known."""
+    values = polar_values(polar_cells(points, rings, sectors, rmax) if cells is None else cells)
     return _dense_polar(points, values, len(POLAR_COLUMNS), rings, sectors)
 
 
 def _dense_polar(points, values, channels, rings, sectors):
     idx = ((F.col("ch") * rings + F.col("ring")) * sectors + F.col("sector")).cast("int")
-    pairs = values.groupBy(*CLOUD).agg(F.collect_list(F.struct(idx.alias("idx"), "v")).alias("e"))
+    pairs = values.filter("v <> 0").groupBy(*CLOUD).agg(F.collect_list(F.struct(idx.alias("idx"), "v")).alias("e"))
     clouds = points.select(*CLOUD).distinct()
     empty_i, empty_v = F.array().cast("array<int>"), F.array().cast("array<double>")
     return clouds.join(pairs, CLOUD, "left").select(

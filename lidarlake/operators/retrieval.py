@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from lidarlake.functions import vectors as V
 from lidarlake.functions.scores import fused_score
-from lidarlake.operators.neighbors import BLOCK, block_top_k, fresh
+from lidarlake.operators.neighbors import BLOCK, block_top_k, fresh, large_keys
 from lidarlake.operators.sequence import dense_position
 from lidarlake.session import materialize
 
 NO_LIMIT = 2**62
 #: Blocks a map is cut into, and the least (unless smaller ones are asked for) and most rows of one.
 BLOCKS, LEAST_ROWS, MOST_ROWS = 32, 512, 1 << 16
+#: Frames of a map that one task takes with their wide vectors, and frames of all maps per task.
+FRAMES_IN_TASK, FRAMES_PER_TASK = 512, 2_000
 
 
 def dedupe_keep_first(df: DataFrame, keys=("map_id", "kf_id"), arrival="arrival") -> DataFrame:
@@ -78,13 +80,79 @@ def top_by_key(queries: DataFrame, base: DataFrame, m: int, vec: str, block=BLOC
 
 def score_pairs(
     pairs: DataFrame, queries: DataFrame, base: DataFrame, vec: str, kernel, fields, block=512
-) -> DataFrame:
+) -> DataFrame:
     """Run ``kernel(a, b) -> list of arrays`` over the descriptors of chosen pairs.
 
-    Wide vectors are not copied per pair: pairs are grouped into blocks of queries and base
-    frames, each vector travels once per block pair, and the kernel indexes into the blocks.
-    ``fields``: list of (name, type) of the kernel's outputs.
+    Wide vectors are not copied per pair: those of a map of at most FRAMES_IN_TASK frames meet in one task, each
+    shuffled once; larger maps meet in blocks. ``fields``: list of (name, type) of the kernel's outputs.
     """
+    large = large_keys(base, ["map_id"], FRAMES_IN_TASK)
+    if large.isEmpty():
+        return _score_in_tasks(pairs, queries, base, vec, kernel, fields)
+    large = materialize(large)
+    near, far = ([d.join(large, "map_id", how) for d in (pairs, queries, base)] for how in ("left_anti", "left_semi"))
+    return _score_in_tasks(*near, vec, kernel, fields).unionByName(_score_in_blocks(*far, vec, kernel, fields, block))
+
+
+def _scorer(kernel, fields):
+    """(function of queries, wanted positions and base frames, its columns)."""
+    names = [n for n, _ in fields]
+    cols = ["map_id", "query_id", "match_pos", *names]
+
+    def score(map_id, asked, pos, vectors):
+        order = np.argsort(pos, kind="stable")
+        pos, parts = pos[order], []
+        vectors = np.stack([vectors[i] for i in order])
+        for q_id, want, qv in asked:
+            b = vectors[np.searchsorted(pos, want)]
+            out = kernel(np.broadcast_to(np.asarray(qv), b.shape), b)
+            parts.append((np.full(len(want), q_id), want, *out))
+        if not parts:
+            return pd.DataFrame({c: [] for c in cols})
+        return pd.DataFrame({"map_id": map_id, **dict(zip(cols[1:], (np.concatenate(c) for c in zip(*parts))))})[cols]
+
+    return score, cols
+
+
+def _score_ddl(fields):
+    return "map_id long, query_id long, match_pos long, " + ", ".join(f"{n} {t}" for n, t in fields)
+
+
+BASE, QUERY, PAIR = 0, 1, 2
+
+
+def _score_in_tasks(pairs, queries, base, vec, kernel, fields):
+    """The pairs of a map with the vectors of both sides in one task."""
+    none = F.lit(None)
+    kinds = [
+        base.select("map_id", F.lit(BASE).alias("kind"), F.col("pos").alias("id"), none.cast("long").alias("other"), F.col(vec).alias("vec")),
+        queries.select("map_id", F.lit(QUERY).alias("kind"), F.col("query_id").alias("id"), none.cast("long").alias("other"), F.col(vec).alias("vec")),
+        pairs.select("map_id", F.lit(PAIR).alias("kind"), F.col("query_id").alias("id"), F.col("match_pos").alias("other"), none.cast("array<double>").alias("vec")),
+    ]
+    score, cols = _scorer(kernel, fields)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        kind, ids, vectors = (rows[c].to_numpy() for c in ("kind", "id", "vec"))
+        b, q, p = (np.flatnonzero(kind == k) for k in (BASE, QUERY, PAIR))
+        if not len(p) or not len(b):
+            return pd.DataFrame({c: [] for c in cols})
+        other = rows["other"].to_numpy()[p].astype(np.int64)
+        asked, match = ids[p], np.isin(other, ids[b])
+        asked, other = asked[match], other[match]
+        order = np.lexsort((other, asked))
+        asked, other = asked[order], other[order]
+        first, last = (np.searchsorted(asked, ids[q], side) for side in ("left", "right"))
+        wanted = [(ids[i], other[f:e], vectors[i]) for i, f, e in zip(q, first, last) if e > f]
+        return score(rows["map_id"].iloc[0], wanted, ids[b], vectors[b])
+
+    # Little data, much work: a given number of partitions is not merged by their size. It grows with the frames.
+    width = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-base.count() // FRAMES_PER_TASK))
+    every = kinds[0].union(kinds[1]).union(kinds[2])
+    return every.repartition(width, "map_id").groupBy("map_id").applyInPandas(run, _score_ddl(fields))
+
+
+def _score_in_blocks(pairs, queries, base, vec, kernel, fields, block):
+    """Pairs in blocks of queries and base frames: each vector travels once per block pair."""
     left = (
         pairs.groupBy("map_id", "query_id", F.floor(F.col("match_pos") / block).alias("b_block"))
         .agg(F.collect_list("match_pos").alias("want"))
@@ -96,27 +164,16 @@ def score_pairs(
         F.floor(F.col("match_pos") / block).alias("b_block"), F.col("match_pos").alias("pos"),
     ).distinct()
     right = fresh(used.join(base.select("map_id", "pos", F.col(vec).alias("vec")), ["map_id", "pos"]))
-    names = [n for n, _ in fields]
-    ddl = "map_id long, query_id long, match_pos long, " + ", ".join(f"{n} {t}" for n, t in fields)
+    score, cols = _scorer(kernel, fields)
 
     def run(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
-        cols = ["map_id", "query_id", "match_pos", *names]
         if qs.empty or bs.empty:
             return pd.DataFrame({c: [] for c in cols})
-        bs = bs.sort_values("pos")
-        pos, bv = bs["pos"].to_numpy(), np.stack(bs["vec"].to_numpy())
-        parts = []
-        for q_id, want, qv in zip(qs["query_id"], qs["want"], qs["vec"]):
-            want = np.asarray(want)
-            b = bv[np.searchsorted(pos, want)]
-            out = kernel(np.broadcast_to(np.asarray(qv), b.shape), b)
-            parts.append(pd.DataFrame({"query_id": q_id, "match_pos": want, **dict(zip(names, out))}))
-        res = pd.concat(parts, ignore_index=True)
-        res["map_id"] = qs["map_id"].iloc[0]
-        return res[cols]
+        asked = [(i, np.asarray(want), v) for i, want, v in zip(qs["query_id"], qs["want"], qs["vec"])]
+        return score(qs["map_id"].iloc[0], asked, bs["pos"].to_numpy(), bs["vec"].to_numpy())
 
     on = ["map_id", "q_block", "b_block"]
-    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(run, ddl)
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(run, _score_ddl(fields))
 
 
 def _rhpd_kernel(a, b):
@@ -241,6 +298,14 @@ def _fallback_rows(hits, base):
     )
 
 
+def _unanswered(asked, primary):
+    """(primary candidates, written; the queries without any, or None if all have one)."""
+    primary = materialize(primary)
+    ids = asked.select("map_id", "query_id").join(primary.select("map_id", "query_id").distinct(), ["map_id", "query_id"], "left_anti")
+    ids = materialize(ids)
+    return primary, None if ids.isEmpty() else asked.join(ids, ["map_id", "query_id"], "left_semi")
+
+
 def detect_loops(
     frames: DataFrame, queries=None, exclude_recent=50, keep=10, sc_keep=10, preselect=100, thr=25.0,
     sc_thr=0.2, veto=None, veto_scale=0.6,
@@ -256,11 +321,12 @@ def detect_loops(
     primary = _primary(
         usable, frames, max(keep * 3, sc_keep * 4), preselect, keep, thr, veto_scale, veto, "rhpd", False
     )
-    rest = asked.join(primary.select("map_id", "query_id").distinct(), ["map_id", "query_id"], "left_anti")
-    fallback = _fallback_rows(knn_ring_key(rest, frames, 20, sc_keep, sc_thr), frames)
+    primary, rest = _unanswered(asked, primary)
+    if rest is not None:
+        primary = primary.unionByName(_fallback_rows(knn_ring_key(rest, frames, 20, sc_keep, sc_thr), frames))
     ids = frames.select("map_id", F.col("pos").alias("query_id"), F.col("kf_id").alias("_kf"))
     return (
-        primary.unionByName(fallback)
+        primary
         .join(ids, ["map_id", "query_id"])
         .withColumn("query_id", F.col("_kf"))
         .drop("_kf")
@@ -342,8 +408,8 @@ def reloc_candidates(
             usable, frame_base, top, max(preselect, top * 5), top, thr, veto_scale, veto, "rhpd_frame", True
         )
         primary = merge_frame_candidates(primary, frame, keep).select(*CANDIDATE)
-    rest = asked.join(primary.select("map_id", "query_id").distinct(), ["map_id", "query_id"], "left_anti")
-    return primary.unionByName(_fallback_rows(polar_scan(rest, base, keep, sc_thr), base))
+    primary, rest = _unanswered(asked, primary)
+    return primary if rest is None else primary.unionByName(_fallback_rows(polar_scan(rest, base, keep, sc_thr), base))
 
 
 def classic_detect(frames: DataFrame, thr=0.13, k=10, exclude_recent=50) -> DataFrame:

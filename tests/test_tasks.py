@@ -1,8 +1,10 @@
 """Work that one task does whole: its points, vectors and rounds travel once."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from lidarlake.operators import register, scanmatch
+from lidarlake.functions.pose import make_pose
+from lidarlake.operators import descriptors, register, retrieval, scanmatch
 from tests.test_scanmatch import MOVES, corridor, gaps, scans, starts
 
 
@@ -44,3 +46,48 @@ def test_large_clouds_are_refined_as_well(spark, monkeypatch):
     far = register.register_pairs(starts(spark, 1), src, tgt, leaf=0.3).collect()[0]
     assert (near.converged, near.inliers, near.success) == (far.converged, far.inliers, far.success)
     assert np.allclose(list(near["T"]), list(far["T"]), atol=1e-9) and abs(near.fitness - far.fitness) < 1e-9
+
+
+def test_submaps_of_small_maps_are_described_in_a_task(spark, monkeypatch):
+    """No copy of a point leaves the task; larger maps give the same vectors over tables."""
+    rows = []
+    for m in (0, 1):
+        for kf in range(6 if m else 4):
+            rows += [(m, kf, *map(float, p)) for p in corridor(np.random.default_rng(10 * m + kf), 15 if kf == 5 else 300) * 2.5]
+    points = spark.createDataFrame(rows, "map_id long, kf_id long, x double, y double, z double").withColumn("intensity", F.lit(0.0))
+    keys = spark.createDataFrame(sorted({r[:2] for r in rows} | {(1, 9)}), "map_id long, kf_id long")
+    zero, half = F.lit(0.0), F.col("kf_id") * 0.05
+    frames = keys.withColumn("opt", make_pose(F.col("kf_id") * 0.7, zero, zero, zero, zero, F.sin(half), F.cos(half)))
+    near = descriptors.submap_descriptors(frames, points, min_points=400)
+    assert near._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
+    monkeypatch.setattr(descriptors, "POINTS_IN_TASK", 1250)
+    both = descriptors.submap_descriptors(frames, points, min_points=400)
+    got, want = ({(r.map_id, r.kf_id): np.array(r.rhpd) for r in d.collect()} for d in (near, both))
+    assert got.keys() == want.keys() == {tuple(r) for r in keys.collect()} - {(1, 9)}
+    assert all(np.allclose(got[k], want[k], atol=1e-9) for k in got) and not got[0, 0].any() and got[1, 4].any()
+
+
+def test_vectors_of_small_maps_meet_once(spark, monkeypatch):
+    """Scoring shuffles every vector once per side; maps too large for a task meet in blocks with the same scores."""
+    v = spark.range(60).selectExpr("id % 2 map_id", "id div 2 pos", "array(sin(id * 1.7D), cos(id * 0.3D)) vec")
+    v = v.union(spark.range(5).selectExpr("1L", "30 + id", "array(1.0D, id * 0.5D)"))
+    pairs = v.select("map_id", F.col("pos").alias("query_id")).join(v.select("map_id", F.col("pos").alias("match_pos")), "map_id").filter("match_pos % 3 = query_id % 3 and query_id <> 7")
+    queries = v.withColumnRenamed("pos", "query_id")
+    args = (pairs, queries, v, "vec", retrieval._l2_kernel, [("distance", "double")])
+    near = retrieval.score_pairs(*args)
+    assert "FlatMapGroupsInPandas" in near._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(retrieval, "FRAMES_IN_TASK", 32)
+    got, want = ({(r.map_id, r.query_id, r.match_pos): r.distance for r in d.collect()} for d in (near, retrieval.score_pairs(*args, block=8)))
+    vec = {(r.map_id, r.pos): np.array(r.vec) for r in v.collect()}
+    assert got.keys() == want.keys() == {tuple(r) for r in pairs.collect()}
+    for (m, q, p), d in got.items():
+        assert d == want[m, q, p] and np.isclose(d, np.linalg.norm(vec[m, q] - vec[m, p]))
+
+
+def test_nothing_is_searched_again_where_all_have_candidates(spark, monkeypatch):
+    """The fallback looks only where a query has no primary candidate."""
+    asked = spark.range(4).selectExpr("0L map_id", "id query_id")
+    found, rest = retrieval._unanswered(asked, asked)
+    assert rest is None and found.count() == 4
+    _, rest = retrieval._unanswered(asked, asked.filter("query_id <> 2"))
+    assert [tuple(r) for r in rest.collect()] == [(0, 2)]
