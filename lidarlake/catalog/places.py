@@ -276,8 +276,8 @@ def _polar_distance_sql(lv, rows, weights, ids="select distinct map_id, kf_id fr
 
 @query("polar_distance", f"{_LONG}, {_polar_distance_sql('lv', 140, V.POLAR_WEIGHTS)}")
 def polar_distance(spark, sf):
-    d = materialize(D.polar_descriptors(points(spark, sf)))
-    p = _near_distances(d, "polar", retrieval._polar_kernel, [("distance", "double"), ("shift", "int")])
+    p = points(spark, sf)
+    p = retrieval.near_polar(p.select(*CLOUD).distinct(), D.polar_cells(p))
     return p.select("map_id", "a_id", "b_id", r6("distance").alias("distance"), "shift")
 
 

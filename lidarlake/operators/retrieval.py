@@ -375,6 +375,37 @@ def polar_scan(queries: DataFrame, base: DataFrame, keep=10, thr=0.3) -> DataFra
     return _rank(hits, ["sc_distance", "match_pos"], "sc_rank").filter(F.col("sc_rank") < keep)
 
 
+def near_polar(clouds: DataFrame, cells: DataFrame, reach=3, block=256) -> DataFrame:
+    """Polar distance and shift of each cloud to those of the next ``reach`` ids of its map: map_id, a_id, b_id, distance, shift.
+
+    ``clouds``: map_id, kf_id. ``cells``: their ``polar_cells``. Dense matrices exist in tasks only, for a block of ids
+    and the few beyond it, so no row is wide and a task holds no more in a larger map.
+    """
+    at = [c for c in cells.columns if c not in ("map_id", "kf_id", "ring", "sector")]
+    named = [F.col(c).cast("double").alias(c) for c in at]
+    every = clouds.select("map_id", "kf_id", *(F.lit(-1).alias(c) for c in ("ring", "sector")), *(F.lit(0.0).alias(c) for c in at))
+    every = every.unionByName(cells.select("map_id", "kf_id", "ring", "sector", *named))
+    own = F.floor(F.col("kf_id") / block)
+    blocks = F.array_distinct(F.array(own, F.floor((F.col("kf_id") - reach) / block)))
+    # Only the first few ids of a block belong to the one before as well.
+    rows = every.withColumn("block", F.explode(blocks))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, where = np.unique(pdf["kf_id"].to_numpy(), return_inverse=True)
+        ring, sector = pdf["ring"].to_numpy(), pdf["sector"].to_numpy()
+        dense = np.zeros((len(ids), V.POLAR_CHANNELS, V.POLAR_RINGS, V.POLAR_SECTORS))
+        some = ring >= 0
+        dense[where[some], :, ring[some], sector[some]] = pdf[at].to_numpy()[some]
+        dense = dense.reshape(len(ids), -1)
+        pairs = [(i, j) for i in range(len(ids)) for j in range(i + 1, min(i + reach + 1, len(ids))) if ids[j] - ids[i] <= reach]
+        pairs = [(i, j) for i, j in pairs if ids[i] // block == pdf["block"].iloc[0]]
+        a, b = (np.array([p[k] for p in pairs], int) for k in (0, 1))
+        distance, shift = _polar_kernel([dense[i] for i in a], [dense[j] for j in b])
+        return pd.DataFrame({"map_id": pdf["map_id"].iloc[0], "a_id": ids[a], "b_id": ids[b], "distance": distance, "shift": shift})
+
+    return rows.groupBy("map_id", "block").applyInPandas(run, "map_id long, a_id long, b_id long, distance double, shift int")
+
+
 def merge_frame_candidates(submap_hits: DataFrame, frame_hits: DataFrame, keep=10) -> DataFrame:
     """Union of both candidate lists, the lower score per match, ranked again."""
     both = submap_hits.unionByName(frame_hits)

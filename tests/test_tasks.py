@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from lidarlake.functions import vectors
 from lidarlake.functions.pose import make_pose
 from lidarlake.operators import descriptors, register, retrieval, scanmatch
 from tests.test_scanmatch import MOVES, corridor, gaps, scans, starts
@@ -91,3 +92,19 @@ def test_nothing_is_searched_again_where_all_have_candidates(spark, monkeypatch)
     assert rest is None and found.count() == 4
     _, rest = retrieval._unanswered(asked, asked.filter("query_id <> 2"))
     assert [tuple(r) for r in rest.collect()] == [(0, 2)]
+
+
+def test_near_polar_distances_have_no_wide_rows(spark):
+    """Cells travel, not dense matrices; the distances are those of the matrices, across blocks and for empty clouds."""
+    rng = np.random.default_rng(6)
+    rows = [(m, kf, *map(float, rng.uniform(-30, 30, 2)), float(rng.uniform(-2, 6))) for m in (0, 1) for kf in (0, 1, 3, 4, 5, 9) for _ in range(80)]
+    rows += [(1, 6, 0.0, 0.0, 0.0)]
+    p = spark.createDataFrame(rows, "map_id long, kf_id long, x double, y double, z double")
+    out = retrieval.near_polar(p.select("map_id", "kf_id").distinct(), descriptors.polar_cells(p), block=4)
+    assert "flatten" not in out._jdf.queryExecution().executedPlan().toString()
+    vec = {(r.map_id, r.kf_id): np.array(r.polar) for r in descriptors.polar_descriptors(p).collect()}
+    want = {(m, a, b) for m, a in vec for n, b in vec if m == n and 0 < b - a <= 3}
+    got = {(r.map_id, r.a_id, r.b_id): (r.distance, r["shift"]) for r in out.collect()}
+    assert got.keys() == want
+    for (m, a, b), found in got.items():
+        assert np.allclose(found, vectors.polar_distance_one(vec[m, a], vec[m, b], vectors.POLAR_CHANNELS, vectors.POLAR_WEIGHTS))
