@@ -3,9 +3,11 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from lidarlake.catalog import flows
 from lidarlake.functions import vectors
 from lidarlake.functions.pose import make_pose
 from lidarlake.operators import descriptors, register, retrieval, scanmatch
+from lidarlake.sources import maps
 from tests.test_scanmatch import MOVES, corridor, gaps, scans, starts
 
 
@@ -108,3 +110,27 @@ def test_near_polar_distances_have_no_wide_rows(spark):
     assert got.keys() == want
     for (m, a, b), found in got.items():
         assert np.allclose(found, vectors.polar_distance_one(vec[m, a], vec[m, b], vectors.POLAR_CHANNELS, vectors.POLAR_WEIGHTS))
+
+
+def test_a_store_has_few_folders(spark, tmp_path, monkeypatch):
+    """Neighbouring maps share a folder; a save replaces its maps only, and maps that lost all rows lose them."""
+    monkeypatch.setattr(maps, "MAPS_PER_PART", 4)
+    sf, store = "/root/testdata/sf0.001", str(tmp_path / "store")
+    one = flows.map_tables(spark, sf)
+    one = {n: df.filter("map_id = 0").drop("map_id") for n, df in one.items()}
+    many = {n: df.crossJoin(spark.range(-1, 9).select(F.col("id").alias("map_id"))) for n, df in one.items()}
+    maps.write_map(many, store)
+    assert sorted(p.name for p in (tmp_path / "store" / "points").glob("part=*")) == ["part=-1", "part=0", "part=1", "part=2"]
+
+    def rows(name, **options):
+        return {r.map_id: r["count"] for r in maps.read_table(spark, store, name, **options).groupBy("map_id").count().collect()}
+
+    n, track = one["points"].count(), one["trajectory"].count()
+    assert rows("points") == dict.fromkeys(range(-1, 9), n) and rows("points", map_ids=[-1, 5]) == {-1: n, 5: n}
+    # Map 8 is alone in its folder, map 5 is not.
+    again = {name: df.filter("map_id in (5, 8)") for name, df in many.items()}
+    again["trajectory"] = again["trajectory"].limit(0)
+    again["points"] = again["points"].unionByName(again["points"])
+    maps.write_map(again, store)
+    assert rows("points") == {m: n * (2 if m in (5, 8) else 1) for m in range(-1, 9)}
+    assert rows("trajectory") == {m: track for m in range(-1, 9) if m not in (5, 8)} and rows("maps") == dict.fromkeys(range(-1, 9), 1)
