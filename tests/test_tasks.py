@@ -134,3 +134,18 @@ def test_a_store_has_few_folders(spark, tmp_path, monkeypatch):
     maps.write_map(again, store)
     assert rows("points") == {m: n * (2 if m in (5, 8) else 1) for m in range(-1, 9)}
     assert rows("trajectory") == {m: track for m in range(-1, 9) if m not in (5, 8)} and rows("maps") == dict.fromkeys(range(-1, 9), 1)
+
+
+def test_registration_far_from_the_origin():
+    """Five kilometres from the origin of the map a registration ends where it does near the origin, with the sums about the origin."""
+    world = corridor(np.random.default_rng(8), 1200)
+    body = world - [0.2, -0.1, 0.05]
+    for c in (np.zeros(3), np.array([5000.0, -300.0, 2.0])):
+        src, tgt = scanmatch.Cloud(body, 10), scanmatch.Cloud(world + c, 10)
+        for kind in ("plane", "gicp"):
+            pose, _, error, inliers, h = scanmatch.align_clouds([*c, 0.0, 0.0, 0.0, 1.0], src, tgt, 1.0, 30, kind)
+            assert np.allclose(pose[:3], c + [0.2, -0.1, 0.05], atol=2e-3) and np.allclose(pose[3:6], 0, atol=1e-5) and inliers > 1000
+    p, n = tgt.points[:200], tgt.normals(np.arange(200))
+    about, (want, _, _) = np.eye(6), scanmatch.plane_equations(p, p, n, None)
+    about[:3, 3:] = np.cross(c, np.eye(3))
+    assert np.allclose(about.T @ scanmatch.plane_equations(p - c, p - c, n, None)[0] @ about, want, rtol=1e-6, atol=1.0)
